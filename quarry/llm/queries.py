@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.licenses import scan_licenses
 from quarry.llm.secrets import scan_secrets
 from quarry.llm.token_files import token_corpus
 from quarry.llm.urls import filter_urls
+from quarry.llm.warc import round_trip
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,6 +42,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_corpus(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
