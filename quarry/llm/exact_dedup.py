@@ -81,7 +81,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _combine(digest, arrow, flush_bytes, flush_rows),
         T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("digest", T.StringType()), T.StructField("content", T.BinaryType())]),
     )
-    salted = local.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(n)))
+    # both uses of the merged rows below keep the same columns and filters up to their
+    # exchange, so that Spark runs that exchange, the one that moves all texts, only once
+    salted = local.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(n))).where("digest IS NOT NULL AND salt IS NOT NULL")
     equal = Window.partitionBy("digest", "salt", "content")
     merged = (
         salted.withColumn("nth", F.row_number().over(equal.orderBy("ids")))
@@ -91,7 +93,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = merged.where("nth = 1").select(F.col("digest").alias("w_digest"), F.col("salt").alias("w_salt"), F.col("top").alias("w_top"), "copies", "content")
     across = Window.partitionBy("w_digest", "content")
     final = winners.select("w_digest", "w_salt", "w_top", F.max("w_top").over(across).alias("keep_id"), F.sum("copies").over(across).alias("group_size"))
-    members = merged.select("digest", "salt", "top", "ids")
+    members = merged.where("nth > 0").select("digest", "salt", "top", "ids")
     joined = members.join(final, (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt")) & F.col("top").eqNullSafe(F.col("w_top")))
     rows = joined.select(F.explode("ids").alias(id_col), "keep_id", "group_size", "digest")
     return rows.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
