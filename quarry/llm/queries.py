@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
+from quarry.llm.language import identify_languages
 from quarry.llm.licenses import scan_licenses
+from quarry.llm.near_dedup import Rule, near_dedup
+from quarry.llm.pieces import encode_pieces
 from quarry.llm.secrets import scan_secrets
 from quarry.llm.token_files import token_corpus
 from quarry.llm.urls import filter_urls
@@ -30,6 +33,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digests=True)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents")).drop("expressions")
 
@@ -46,6 +53,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_read(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents"), Rule(shingle=3, percent=85, words="space"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"))
 
