@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import ascii_lower, partitions
+from quarry.llm.common import ascii_lower, lowered, partitions
 
 #: A task's table of distinct texts is flushed beyond either.
 FLUSH_BYTES, FLUSH_ROWS = 16 << 20, 20_000
@@ -97,3 +97,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = members.join(final, (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt")) & F.col("top").eqNullSafe(F.col("w_top")))
     rows = joined.select(F.explode("ids").alias(id_col), "keep_id", "group_size", "digest")
     return rows.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup keeps; of a repeated row (same id and text) one."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(lowered(text_col).cast("binary"), 256).alias("sha"))
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")))
+    return met.dropDuplicates(["id", "sha"]).select("row.*")

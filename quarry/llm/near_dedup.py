@@ -285,3 +285,9 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     rest = narrow.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
     rows = linked.select("id", "n", "component").unionByName(rest)
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that near_dedup keeps."""
+    gone = near_dedup(docs, rule, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
