@@ -15,6 +15,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,10 @@ from quarry.llm.common import materialise, scratch_path
 
 #: File format.
 MAGIC, BLOCK_TOKENS, STRIDE, MAX_BITS = b"QTOK1\n", 1 << 16, 256, 20
+#: Blocks that are decoded together.
+AT_ONCE = 16
+#: Ids in transit: two bytes where the vocabulary allows it, else four.
+ID_TYPES = {False: ("<u2", "H"), True: ("<u4", "I")}
 #: Entries of a worker's memo of encoded words; it starts anew beyond that.
 MEMO = 500_000
 
@@ -56,37 +61,40 @@ class WordMemo(dict):
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model = self.tokenizer.model
+        self.dtype, self.code = ID_TYPES[self.tokenizer.get_vocab_size() > 1 << 16]
         kind = self.tokenizer.pre_tokenizer
         self.cuts = isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.tokenizer.normalizer is None
         # the library's letters for bytes, in the order of the bytes that it shows as themselves
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x1BB)}
+        self.space = letters[0x20]
         if self.cuts:
             self.newline = self.whole(["\n"])[0]
             self.marks = {m: self.whole([m])[0] for m in ".,"}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
-        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+    def _part(self, word: str, lead: str) -> bytes:
+        shown = word if word.isascii() else word.translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(lead + shown)]).tobytes()
 
     def __missing__(self, key: str) -> bytes:
-        lead, word = (self.newline, key[1:]) if key[0] == "\n" else (b"", " " + key)
-        letters = key[1:] if lead else key
-        if self.PLAIN.fullmatch(letters):
-            ids = lead + self._part(word)
-        elif letters[-1] in self.marks and self.PLAIN.fullmatch(letters, 0, len(letters) - 1):
+        first = key[0] == "\n"
+        word = key[1:] if first else key
+        if self.PLAIN.fullmatch(word):
+            ids = self.newline + self._part(word, "") if first else self._part(word, self.space)
+        elif word[-1] in self.marks and self.PLAIN.fullmatch(word, 0, len(word) - 1):
             ids = self[key[:-1]] + self.marks[key[-1]]
         else:
-            ids = lead + self.whole([word])[0]
+            ids = self.newline + self.whole([word])[0] if first else self.whole([" " + word])[0]
         self[key] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian integers of self.dtype."""
         if not self.cuts:
             return self.whole(texts)
         if len(self) > self.limit:
@@ -110,6 +118,10 @@ def _memo(path: str) -> WordMemo:
     return _MEMOS[path]
 
 
+def id_type_of(path: str) -> str:
+    return _memo(path).dtype
+
+
 def _chunks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
     some, n = [], 0
     for t in texts:
@@ -123,10 +135,9 @@ def _chunks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]
 
 
 def _encode_rows(path: str, end_id: int) -> Callable:
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
+        end = array(memo.code, [end_id]).tobytes()
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column(1).to_pylist()):
@@ -213,25 +224,35 @@ class Decoder:
         self.symbol = np.pad(self.symbol, (0, rest))
         self.length = np.pad(self.length, (0, rest))
 
-    def block(self, data: bytes, n: int, checkpoints: np.ndarray) -> np.ndarray:
-        """The n ids of a block, from all its checkpoints at once."""
-        words = np.frombuffer(data + bytes(-len(data) % 4 + 8), ">u4").astype(np.uint64)
-        at = checkpoints.astype(np.int64)
-        out = np.zeros((len(at), STRIDE), "<u4")
-        for k in range(min(STRIDE, n)):
-            if k == n - (len(at) - 1) * STRIDE:  # the last checkpoint has no more
-                at = at[:-1]
+    def blocks(self, parts: list[tuple[bytes, int, np.ndarray]]) -> np.ndarray:
+        """The ids of neighbouring blocks (bits, number of ids, checkpoints), from all their checkpoints at once."""
+        bits = b"".join(p[0] for p in parts)
+        words = np.frombuffer(bits + bytes(8), ">u4").astype(np.uint64)
+        at, left, base = [], [], 0
+        for data, n, marks in parts:
+            at.append(marks.astype(np.int64) + base)
+            left.append(np.minimum(n - np.arange(len(marks)) * STRIDE, STRIDE))
+            base += 8 * len(data)
+        at, left = np.concatenate(at), np.concatenate(left)
+        out = np.zeros((STRIDE, len(at)), "<u4")
+        lanes = np.arange(len(at))
+        for k in range(int(left.max(initial=0))):
+            if k and (left <= k).any():  # some blocks end within a stride
+                keep = left > k
+                lanes, at, left = lanes[keep], at[keep], left[keep]
             code = _bits_at(words, at, self.width)
-            out[: len(at), k] = self.symbol[code]
+            out[k, lanes] = self.symbol[code]
             at = at + self.length[code]
-        return out.reshape(-1)[:n]
+        whole = out.T.reshape(-1)
+        ends = np.cumsum([-(-n // STRIDE) * STRIDE for _, n, _ in parts])
+        return np.concatenate([whole[e - -(-n // STRIDE) * STRIDE :][:n] for e, (_, n, _) in zip(ends, parts)])
 
 
 # --- files ------------------------------------------------------------------
 
 
-def write_file(stream, lengths: np.ndarray, codes: np.ndarray, docs: Iterator[tuple[object, bytes]]) -> tuple[int, int]:
-    """Writes documents (id, ids as bytes); returns their number and the number of ids.
+def write_file(stream, lengths: np.ndarray, codes: np.ndarray, docs: Iterator[tuple[object, np.ndarray]]) -> tuple[int, int]:
+    """Writes documents (id, ids); returns their number and the number of ids.
 
     Layout: magic; code lengths (size, zlib); blocks; footer (JSON, zlib); its size.
     A block holds whole runs of ids, document borders aside: the footer has each
@@ -240,7 +261,6 @@ def write_file(stream, lengths: np.ndarray, codes: np.ndarray, docs: Iterator[tu
     packed = zlib.compress(lengths.tobytes())
     stream.write(MAGIC + struct.pack("<I", len(packed)) + packed)
     at, blocks, names, sizes = len(MAGIC) + 4 + len(packed), [], [], []
-    rest = np.zeros(0, "<u4")
     total = 0
 
     def flush(ids: np.ndarray) -> None:
@@ -250,10 +270,9 @@ def write_file(stream, lengths: np.ndarray, codes: np.ndarray, docs: Iterator[tu
         stream.write(bits + marks.tobytes())
         at += len(bits) + marks.nbytes
 
-    held = [rest]
+    held: list[np.ndarray] = []
     n_held = 0
-    for name, raw in docs:
-        ids = np.frombuffer(raw, "<u4")
+    for name, ids in docs:
         names.append(name)
         sizes.append(len(ids))
         total += len(ids)
@@ -283,8 +302,8 @@ def read_file(data: bytes) -> Iterator[tuple[object, np.ndarray]]:
     footer = json.loads(zlib.decompress(data[-4 - size : -4]))
 
     def decoded() -> Iterator[np.ndarray]:
-        for at, n_bytes, n_marks, n_ids in footer["blocks"]:
-            yield decoder.block(data[at : at + n_bytes], n_ids, np.frombuffer(data, "<u4", n_marks, at + n_bytes) if (at + n_bytes) % 4 == 0 else np.frombuffer(data[at + n_bytes : at + n_bytes + 4 * n_marks], "<u4"))
+        for i in range(0, len(footer["blocks"]), AT_ONCE):
+            yield decoder.blocks([(data[at : at + n_bytes], n_ids, np.frombuffer(data[at + n_bytes : at + n_bytes + 4 * n_marks], "<u4")) for at, n_bytes, n_marks, n_ids in footer["blocks"][i : i + AT_ONCE]])
 
     blocks, rest = decoded(), np.zeros(0, "<u4")
     for name, n_ids in zip(footer["ids"], footer["sizes"]):
@@ -300,15 +319,22 @@ def read_file(data: bytes) -> Iterator[tuple[object, np.ndarray]]:
 # --- the operator -----------------------------------------------------------
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch.column(0):
-            found = np.bincount(np.frombuffer(raw.as_py(), "<u4"), minlength=len(counts))
+def _count(dtype: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            _, ends, data = column.buffers()
+            if data is None:
+                continue
+            ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+            found = np.bincount(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype), minlength=len(counts))
             found[: len(counts)] += counts
             counts = found
-    ids = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], names=["token", "n"])
+        ids = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], names=["token", "n"])
+
+    return run
 
 
 def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
@@ -317,14 +343,14 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_encode_rows(tokenizer_path, end_id), f"id {kind}, ids binary")
 
 
-def write_token_files(encoded: DataFrame, folder: str, files_of_bytes: int = 64 << 20) -> DataFrame:
-    """Writes (id, ids) as token files in ascending id order, nulls first; returns the manifest.
+def write_token_files(encoded: DataFrame, folder: str, dtype: str = "<u4", files_of_bytes: int = 64 << 20) -> DataFrame:
+    """Writes (id, ids as bytes of dtype) as token files in ascending id order, nulls first; returns the manifest.
 
     Manifest: file_no, uri, n_docs, n_tokens, base (ids of all files before). Ranges of
     ids are dealt to tasks, one file a task; rows of one id stay together in any order.
     """
     spark = encoded.sparkSession
-    counts = encoded.select("ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counts = encoded.select("ids").mapInArrow(_count(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     top = max((r.token for r in counts), default=0)
     table = np.zeros(top + 1, np.int64)
     for r in counts:
@@ -335,7 +361,7 @@ def write_token_files(encoded: DataFrame, folder: str, files_of_bytes: int = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = TaskContext.get().partitionId()
-        rows = ((i.as_py(), x.as_py()) for b in batches for i, x in zip(b.column(0), b.column(1)))
+        rows = ((i.as_py(), np.frombuffer(x.as_py(), dtype)) for b in batches for i, x in zip(b.column(0), b.column(1)))
         first = next(rows, None)
         if first is None:
             return
@@ -385,4 +411,4 @@ def token_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     folder = folder or scratch_path(spark, "token-files")
     encoded = materialise(encode_corpus(docs, tokenizer_path, id_col, text_col, end_id), "token-ids")
     kind = docs.schema[id_col].dataType.simpleString()
-    return read_token_files(write_token_files(encoded, folder), kind).withColumnRenamed("id", id_col)
+    return read_token_files(write_token_files(encoded, folder, id_type_of(tokenizer_path)), kind).withColumnRenamed("id", id_col)
