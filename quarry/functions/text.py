@@ -56,7 +56,7 @@ def sentences(text: Column) -> Column:
     """Sentences with what follows them up to the next; a blank tail goes; a text without any is one."""
     found = F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
     n = F.size(found)
-    last = F.element_at(found, -1)
+    last = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
     ended = last.rlike(r"(?U)(?:[。？！]|[.?!][^\S\n]*)\z")
     kept = F.when((n > 0) & is_blank(last) & ~ended, F.slice(found, 1, F.greatest(n - 1, F.lit(0)))).otherwise(found)
     return F.when(F.size(kept) == 0, F.array(text)).otherwise(kept)
@@ -180,7 +180,7 @@ def pdf_windows(text: Column, size: int = PDF_SIZE, overlap: int = PDF_OVERLAP)
 def pdf_fallback(path: Column) -> Column:
     """A file's stem and the names of the two folders above it."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")
+    stem = F.regexp_replace(F.try_element_at(parts, F.lit(-1)), r"(?<=.)\.[^.]*$", "")
     return F.concat_ws(" ", stem, F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 3))
 
 

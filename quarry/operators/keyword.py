@@ -7,6 +7,7 @@ the best rows from one ordered take.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -33,6 +34,15 @@ class Node:
     def terms(self) -> list[str]:
         return [self.term] if self.kind == "term" else self.left.terms() + self.right.terms()
 
+    def counted(self, hits: dict[str, Column], when: Column) -> list[tuple[str, Column]]:
+        """Terms that score a row, and when: those of branches that match it, none behind NOT."""
+        if self.kind == "term":
+            return [(self.term, when)]
+        if self.kind == "NOT":
+            return self.left.counted(hits, when)
+        sides = [self.left, self.right]
+        return [x for side in sides for x in side.counted(hits, when if self.kind == "AND" else when & side.matches(hits))]
+
     def matches(self, hits: dict[str, Column]) -> Column:
         if self.kind == "term":
             return hits[self.term]
@@ -111,8 +121,7 @@ def bm25(docs: DataFrame, query: str, content: str = "content", strict: bool = F
     tree = parse(clean(query), strict)
     if tree is None:
         return empty
-    terms = tree.terms()
-    unique = sorted(set(terms))
+    unique = sorted(set(tree.terms()))
     low = F.lower(F.coalesce(F.col(content), F.lit("")))
     # the counts per term are made from a short array, so that the text is read in one projection
     counted = docs.withColumn("__f", F.array(*[F.when(F.contains(low, F.lit(t)), occurrences(low, t)).otherwise(0) for t in unique])).withColumn("__d", F.greatest(F.char_length(low) - 2, F.lit(0)))
@@ -121,19 +130,18 @@ def bm25(docs: DataFrame, query: str, content: str = "content", strict: bool = F
         return empty
     place = {t: i for i, t in enumerate(unique)}
     f = F.col("__f")
+    hits = {t: f[i] > 0 for t, i in place.items()}
     total = F.lit(0.0)
-    for t in terms:
+    for t, when in tree.counted(hits, F.lit(True)):
         i = place[t]
         have = stats[f"n{i}"] or 0
         idf = _idf(stats.n, have)
-        total = total + F.lit(idf) * (f[i] * (K1 + 1)) / (f[i] + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__d") / F.lit(stats.avg or 1.0)))
-    hits = {t: f[i] > 0 for t, i in place.items()}
+        part = F.lit(idf) * (f[i] * (K1 + 1)) / (f[i] + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__d") / F.lit(stats.avg or 1.0)))
+        total = total + F.when(when, part).otherwise(0.0)
     return counted.where(tree.matches(hits)).withColumn("bm25", -total).drop("__f", "__d")
 
 
 def _idf(rows: int, have: int) -> float:
-    import math
-
     idf = math.log((rows - have + 0.5) / (have + 0.5))
     return idf if idf > 0 else LEAST_IDF
 

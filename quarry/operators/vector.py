@@ -11,6 +11,8 @@ from quarry.functions import vectors as V
 
 #: Vectors from which search is approximate, floor of vector mode and rows below it, least fetched.
 ANN_FROM, FLOOR, FALLBACK, LEAST_FETCH = 2000, 0.45, 5, 30
+#: Cells of the inverted file and how many of them a query reads.
+CELLS, PROBES = 32, 20
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "chunk_id", vector: str = "embedding", scale: str = "shifted") -> DataFrame:
@@ -74,7 +76,7 @@ class InvertedFile:
     vector: str
 
     @classmethod
-    def build(cls, vectors: DataFrame, dim: int, n_cells: int = 32, sample_rows: int = 20_000, seed: int = 7, key: str = "chunk_id", vector: str = "embedding", path: str | None = None) -> InvertedFile:
+    def build(cls, vectors: DataFrame, dim: int, n_cells: int = CELLS, sample_rows: int = 20_000, seed: int = 7, key: str = "chunk_id", vector: str = "embedding", path: str | None = None) -> InvertedFile:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
@@ -93,7 +95,19 @@ class InvertedFile:
         scored = sorted(((sum(a * b for a, b in zip(query, c)) - sum(x * x for x in c) / 2, -i) for i, c in enumerate(self.centroids)), reverse=True)
         return [-i for _, i in scored[:n]]
 
-    def search(self, query: list[float], k: int, probes: int = 12, scale: str = "cosine") -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int, probes: int = PROBES, query_key: str = "query_id", query_vector: str = "query", block: int = 64) -> DataFrame:
+        """(query_key, key, score, rank): a stated set of queries, in blocks, each against the rows of its cells."""
+        rows = queries.select(query_key, query_vector).collect()
+        out = None
+        for at in range(0, len(rows), block):
+            some = F.array(*[F.struct(F.lit(r[0]).alias("q"), V.literal(list(r[1])).alias("v"), F.lit(self.probe(list(r[1]), probes)).alias("cells")) for r in rows[at : at + block]])
+            met = self.cells.select(self.key, F.col(self.vector).alias("__v"), F.explode(F.filter(some, lambda q: F.array_contains(q["cells"], F.col("cell")))).alias("__q"))
+            scored = met.select(F.col("__q.q").alias(query_key), self.key, V.dot(F.col("__v"), F.col("__q.v")).alias("score"))
+            ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), self.key))).where(F.col("rank") <= k)
+            out = ranked if out is None else out.unionByName(ranked)
+        return out if out is not None else self.cells.limit(0).select(F.lit(None).alias(query_key), self.key, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+
+    def search(self, query: list[float], k: int, probes: int = PROBES, scale: str = "cosine") -> DataFrame:
         """Exact scores of all rows in the nearest cells; a partitioned index reads those cells alone."""
         return top_k(self.cells.where(F.col("cell").isin(*self.probe(query, probes))), query, k, self.key, self.vector, scale).drop("cell")
 
