@@ -115,8 +115,9 @@ def text_evidence(docs: DataFrame, model: TextModel, text: Column) -> Column:
             if not counted:
                 out.append([0.0] * (n + 1))
                 continue
-            for w in counted.keys() - memo.keys():
-                memo[w] = own.word(w)
+            for w in counted:
+                if w not in memo:
+                    memo[w] = own.word(w)
             sums = np.fromiter(counted.values(), np.float64, len(counted)) @ np.array([memo[w] for w in counted])
             scores = np.clip(TEMPER * (sums[:n] - sums[:n].max()), -MOST, 0.0)
             out.append([*scores.tolist(), float(sums[n] / max(sums[n + 1], 1.0))])
