@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,19 @@ def spaced_words(text: str | None) -> list[bytes]:
     return ascii_lower(text).translate(SPACE_BYTES).split()
 
 
+def chunks_of(texts: list, chars: int = 1 << 20) -> Iterator[list]:
+    """Runs of texts of about so many characters."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t or "")
+        if n >= chars:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def lowered(col: Column | str) -> Column:
     """A-Z lower-cased in the JVM; null counts as empty."""
     return F.translate(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), UPPER, LOWER)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import alnum_words
+from quarry.llm.common import alnum_words, chunks_of
 
 #: Words of a window, of a shingle, and bytes of benchmark text that a block holds.
 WINDOW, SHINGLE, BLOCK_BYTES = 13, 5, 2 << 20
@@ -152,7 +152,7 @@ def _count_tokens(shared) -> Callable:
         block, tokens = shared.value
         counts = np.zeros(len(tokens), np.int64)
         for batch in batches:
-            for texts in _some(batch.column(0).to_pylist()):
+            for texts in chunks_of(batch.column(0).to_pylist()):
                 docs = Words(texts, block.vocabulary)
                 for k in block.lengths:
                     keys = shingle_keys(docs.ids, k)[1]
@@ -165,18 +165,6 @@ def _count_tokens(shared) -> Callable:
     return run
 
 
-def _some(texts: list, chars: int = 1 << 20) -> Iterator[list]:
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t or "")
-        if n > chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
@@ -187,7 +175,7 @@ def _find(shared) -> Callable:
         block = shared.value
         for batch in batches:
             at = 0
-            for texts in _some(batch.column("text").to_pylist()):
+            for texts in chunks_of(batch.column("text").to_pylist()):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 docs = Words(texts, block.vocabulary)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import alnum_words, drop_table, materialise, send_back, spaced_words
+from quarry.llm.common import alnum_words, chunks_of, drop_table, materialise, send_back, spaced_words
 
 #: First and last level of a tree; documents and shingles of a small node; target recall.
 FIRST, LAST, NODE_DOCS, NODE_SHINGLES, RECALL = 2, 6, 1500, 2_000_000, 0.9995
@@ -97,18 +97,6 @@ def shingle_sets(texts: list[str | None], rule: Rule, hashes: dict) -> tuple[np.
     return key, np.append(firsts, total), digests
 
 
-def _chunks(texts: list, chars: int = 1 << 20) -> Iterator[list]:
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t or "")
-        if n > chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 def _sketch(rule: Rule) -> Callable:
     seeds = [_mix(np.array([7919 * (i + 1)], np.uint64) * _P)[0] for i in range(rule.trees * LAST)]
 
@@ -116,7 +104,7 @@ def _sketch(rule: Rule) -> Callable:
         hashes = _Hashes()
         for batch in batches:
             at = 0
-            for texts in _chunks(batch.column(1).to_pylist()):
+            for texts in chunks_of(batch.column(1).to_pylist()):
                 keys, firsts, digests = shingle_sets(texts, rule, hashes)
                 full = np.flatnonzero(np.diff(firsts) > 0)
                 mins = np.empty((len(seeds), len(full)), np.int64)

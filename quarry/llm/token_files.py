@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import files
-from quarry.llm.common import materialise, scratch_path
+from quarry.llm.common import chunks_of, materialise, scratch_path
 
 #: File format.
 MAGIC, BLOCK_TOKENS, STRIDE, MAX_BITS = b"QTOK1\n", 1 << 16, 256, 20
@@ -122,25 +122,13 @@ def id_type_of(path: str) -> str:
     return _memo(path).dtype
 
 
-def _chunks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
-    some, n = [], 0
-    for t in texts:
-        some.append(t or "")
-        n += len(some[-1])
-        if n >= chars:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
-
-
 def _encode_rows(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
         end = array(memo.code, [end_id]).tobytes()
         for batch in batches:
             at = 0
-            for texts in _chunks(batch.column(1).to_pylist()):
+            for texts in chunks_of([t or "" for t in batch.column(1).to_pylist()]):
                 ids = [x + end for x in memo.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())], names=["id", "ids"])
                 at += len(texts)
