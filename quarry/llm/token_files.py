@@ -34,7 +34,7 @@ AT_ONCE = 16
 #: Ids in transit: two bytes where the vocabulary allows it, else four.
 ID_TYPES = {False: ("<u2", "H"), True: ("<u4", "I")}
 #: Entries of a worker's memo of encoded words; it starts anew beyond that.
-MEMO = 500_000
+MEMO = 1_000_000
 
 
 # --- encoding of texts ------------------------------------------------------
