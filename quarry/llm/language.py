@@ -9,16 +9,15 @@ the whole corpus and are smoothed down a hierarchy: all documents, suffix, host.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import alnum_words, materialise, send_back
+from quarry.llm.common import ascii_lower, chunks_of, materialise, send_back
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Function words that a model knows before any training.
@@ -28,100 +27,99 @@ SEEDS = {
     "es": "el la los las de que y en un una ser se no haber por con su para como estar tener le lo más pero sus sobre este ya muy",
     "fr": "le la les de des et un une est que pas pour dans qui sur se ce au plus par avec sont nous vous mais ou être était ne du",
 }
-#: Rows of the labelled sample and bytes of each, pseudo-count of an n-gram, longest n-gram.
-TRAIN_ROWS, TRAIN_BYTES, ALPHA, GRAM = 1000, 20_000, 0.5, 3
+#: Rows of the labelled sample and bytes of each, pseudo-count of an n-gram, bits of an n-gram's bucket, weight of the function words.
+TRAIN_ROWS, TRAIN_BYTES, ALPHA, BUCKET_BITS, SEED_WEIGHT = 1000, 20_000, 0.5, 17, 20
 #: Weight of an n-gram's log-likelihood (they overlap), and how far a text's may go at most either way.
-TEMPER, MOST = 0.25, 60.0
+TEMPER, MOST = 0.5, 60.0
 #: How often a declared language is right; documents that a suffix's or host's prior counts as.
 DECLARED_RIGHT, SUFFIX_WEIGHT, HOST_WEIGHT = 0.9, 20.0, 20.0
 #: A document is kept with at least this posterior and share of known n-grams.
 LEAST_POSTERIOR, LEAST_KNOWN = 0.5, 0.3
 #: Hosts whose priors are broadcast; more are joined by salted keys.
 BROADCAST_HOSTS = 200_000
-#: Words that a worker remembers.
-MEMO = 300_000
+#: Bytes that are letters: a-z and all of non-ASCII characters.
+LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
-def word_grams(word: str, most: int = GRAM) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + k] for k in range(1, most + 1) for i in range(len(padded) - k + 1) if padded[i : i + k] != " "]
+def letters_of(text: str | None) -> bytes:
+    """Lower-cased words of letters with single spaces between and around; empty without any."""
+    words = ascii_lower(text).translate(LETTERS).split()
+    return b" " + b" ".join(words) + b"  " if words else b""
+
+
+def buckets(letters: bytes) -> np.ndarray:
+    """Buckets of the runs of three bytes that begin at each place but the last two."""
+    a = np.frombuffer(letters, np.uint8).astype(np.uint32)
+    if len(a) < 3:
+        return np.zeros(0, np.uint32)
+    key = (a[:-2] << np.uint32(16)) | (a[1:-1] << np.uint32(8)) | a[2:]
+    return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
 
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log-likelihoods of n-grams by language."""
+    """Log-likelihoods of hashed character n-grams by language, against their mean; a last column is 1 for known ones."""
 
     languages: tuple[str, ...]
-    grams: dict[str, tuple[float, ...]]
-    memo: dict[bytes, tuple[float, ...]] = field(default_factory=dict, compare=False, repr=False)
+    table: np.ndarray
 
     @classmethod
     def train(cls, rows: Iterator[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, alpha: float = ALPHA) -> TextModel:
         """From (language, text); languages that aren't listed are passed over."""
-        words: dict[str, Counter] = {name: Counter(dict.fromkeys(SEEDS.get(name, "").split(), 20)) for name in languages}
+        counts = np.zeros((len(languages), 1 << BUCKET_BITS))
+        for i, name in enumerate(languages):
+            counts[i] += SEED_WEIGHT * np.bincount(buckets(letters_of(SEEDS.get(name, ""))), minlength=1 << BUCKET_BITS)
+        place = {name: i for i, name in enumerate(languages)}
         for name, text in rows:
-            if name in words:
-                words[name].update(w.decode("utf-8", "replace") for w in alnum_words(text))
-        counts = {name: Counter() for name in languages}
-        for name, found in words.items():
-            for word, n in found.items():
-                if not word.isdigit():
-                    for g in word_grams(word):
-                        counts[name][g] += n
-        every = set().union(*counts.values())
-        totals = [sum(counts[name].values()) + alpha * (len(every) + 1) for name in languages]
-        grams = {g: tuple(math.log((counts[name][g] + alpha) / t) for name, t in zip(languages, totals)) for g in every}
-        return cls(languages, grams)
-
-    def word(self, word: bytes) -> tuple[float, ...]:
-        """Log-likelihoods against their mean, known n-grams, n-grams; zeros for numbers."""
-        text = word.decode("utf-8", "replace")
-        if text.isdigit():
-            return (0.0,) * (len(self.languages) + 2)
-        found = word_grams(text)
-        known = [self.grams[g] for g in found if g in self.grams]
-        sums = [sum(x) for x in zip(*known)] if known else [0.0] * len(self.languages)
-        mean = sum(sums) / len(sums)
-        return (*(s - mean for s in sums), float(len(known)), float(len(found)))
+            if name in place:
+                np.add.at(counts[place[name]], buckets(letters_of(text)), 1.0)
+        logs = np.log((counts + alpha) / (counts.sum(1, keepdims=True) + alpha * (1 << BUCKET_BITS)))
+        known = counts.sum(0) > 0
+        logs = np.where(known, logs - logs.mean(0), 0.0)
+        return cls(languages, np.vstack([logs, known]).T.astype(np.float32).copy())
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """A row a text: tempered log-likelihoods, 0 for the best, then the share of n-grams that are known."""
+        n = len(self.languages)
+        parts = [letters_of(t) for t in texts]
+        sizes = np.array(list(map(len, parts)))
+        out = np.zeros((len(texts), n + 1))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            starts = (np.cumsum(sizes) - sizes)[full]
+            found = self.table[buckets(b"".join(parts) + b"  ")]
+            sums = np.add.reduceat(found, starts, axis=0, dtype=np.float64)
+            scores = sums[:, :n]
+            out[full, :n] = np.clip(TEMPER * (scores - scores.max(1, keepdims=True)), -MOST, 0.0)
+            out[full, n] = sums[:, n] / sizes[full]
+        return out
 
 
 def train_on(docs: DataFrame, text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> TextModel:
-    """Fits the text model on a bounded sample: the rows of least hash among labelled texts of at most most_bytes.
+    """Fits the text model on a bounded sample of labelled rows: those of small hash, texts of at most most_bytes.
 
-    At most rows * most_bytes bytes reach the driver. Without labels the seeds alone count.
+    About rows of them, at most twice as many, so 2 * rows * most_bytes bytes at most
+    reach the driver. Without labels the function words alone count.
     """
     if label_col not in docs.columns:
         return TextModel.train(iter(()), languages)
-    named = docs.select(F.col(label_col).cast("string").alias("l"), F.col(text_col).alias("t")).where(F.col("l").isin(*languages) & F.col("t").isNotNull() & (F.octet_length("t") <= most_bytes))
-    sample = named.withColumn("h", F.xxhash64("t")).orderBy("h", "l").limit(rows).select("l", "t").collect()
+    labelled = docs.where(F.col(label_col).isin(*languages))
+    share = min(1.0, rows / max(1, labelled.count()))
+    small = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = labelled.where(small & (F.octet_length(text_col) <= most_bytes)).limit(2 * rows).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).collect()
     return TextModel.train(((r.l, r.t) for r in sample), languages)
 
 
 def text_evidence(docs: DataFrame, model: TextModel, text: Column) -> Column:
     """array<double>: tempered log-likelihoods of the whole text, then the share of n-grams that are known."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(model.languages)
 
     @F.arrow_udf("array<double>")
     def evidence(texts: pa.Array) -> pa.Array:
-        own = shared.value
-        memo = own.memo
-        out = []
-        for text in texts:
-            words = alnum_words(text.as_py())
-            if len(memo) > MEMO:
-                memo.clear()
-            counted = Counter(words)
-            if not counted:
-                out.append([0.0] * (n + 1))
-                continue
-            for w in counted:
-                if w not in memo:
-                    memo[w] = own.word(w)
-            sums = np.fromiter(counted.values(), np.float64, len(counted)) @ np.array([memo[w] for w in counted])
-            scores = np.clip(TEMPER * (sums[:n] - sums[:n].max()), -MOST, 0.0)
-            out.append([*scores.tolist(), float(sums[n] / max(sums[n + 1], 1.0))])
-        return pa.array(out, pa.list_(pa.float64()))
+        rows = [shared.value.evidence(part) for part in chunks_of(texts.to_pylist())]
+        flat = np.concatenate(rows) if rows else np.zeros((0, len(shared.value.languages) + 1))
+        offsets = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.reshape(-1)))
 
     return evidence(text)
 
@@ -169,7 +167,7 @@ def identify(docs: DataFrame, model: TextModel | None = None, text_col: str = "t
 
     # priors: expected documents of each language by host, then by suffix, then in all
     worth = F.col("evidence")[len(languages)] >= LEAST_KNOWN
-    own = rows.where(worth).select("host", "suffix", *[p.alias(name) for name, p in zip(languages, _softmax(logs))])
+    own = rows.select("host", "suffix", *[F.when(worth, p).otherwise(0.0).alias(name) for name, p in zip(languages, _softmax(logs))])
     hosts = materialise(own.groupBy("host", "suffix").agg(*[F.sum(name).alias(name) for name in languages]), "host-languages")
     whole = hosts.agg(*[F.sum(name).alias(name) for name in languages]).first()
     total = sum(whole[name] or 0.0 for name in languages)
@@ -185,7 +183,7 @@ def identify(docs: DataFrame, model: TextModel | None = None, text_col: str = "t
     n_hosts = hosts.count()
     if n_hosts <= BROADCAST_HOSTS:
         met = rows.join(F.broadcast(priors), "host", "left")
-    else:  # a host without a prior has no document that is worth anything
+    else:
         keyed = rows.select("host", rows["row"], "suffix", "declared", "evidence")
         met = send_back(keyed, "host", keyed.select("host").distinct().join(priors, "host", "left"))
     flat = F.array(*[F.lit(b) for b in base])
