@@ -25,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import chunks_of
+
 SPACE = "▁"
 #: Words of up to so many characters are solved as arrays, so many at a time; entries of a worker's memo.
-ARRAY_CHARS, ARRAY_WORDS, MEMO = 20, 4096, 400_000
+ARRAY_CHARS, ARRAY_WORDS, MEMO = 20, 4096, 500_000
+#: Bits of a piece key that are its slot.
+SLOT_BITS = 20
 #: What an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -63,13 +67,35 @@ class Lattice:
         self.limit = memo
         self.memo: dict[str, tuple[bytes, float, float]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
-        # pieces by length: sorted keys, scores and ids
-        self.tables = []
+        # pieces by the slot of their key: those of slot i are entries first[i] to first[i + 1]
+        keys, values, ids = [], [], []
         for size in range(1, min(self.longest, ARRAY_CHARS) + 1):
             own = [(p, *v) for p, v in self.scores.items() if len(p) == size]
-            keys = self._keys(np.frombuffer("".join(p for p, _, _ in own).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(own), size))
-            order = np.argsort(keys)
-            self.tables.append((keys[order], np.array([s for _, s, _ in own])[order], np.array([i for _, _, i in own], np.int64)[order]))
+            keys.append(self._keys(np.frombuffer("".join(p for p, _, _ in own).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(own), size)))
+            values += [s for _, s, _ in own]
+            ids += [i for _, _, i in own]
+        self.most = len(keys)
+        flat = np.concatenate(keys)
+        order = np.argsort(flat)
+        self.keys = flat[order]
+        self.values, self.ids = np.array(values)[order], np.array(ids, np.int32)[order]
+        self.first = np.searchsorted(self.keys >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def _find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are pieces', and those pieces' entries. Most slots are empty, so most keys need one look."""
+        slot = (asked >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        entry, end = self.first[slot], self.first[slot + 1]
+        open_ = np.flatnonzero(entry < end)
+        entry, end = entry[open_], end[open_]
+        places, entries = [], []
+        while len(open_):
+            same = self.keys[entry] == asked[open_]
+            places.append(open_[same])
+            entries.append(entry[same])
+            entry = entry + 1
+            more = ~same & (entry < end)
+            open_, entry, end = open_[more], entry[more], end[more]
+        return (np.concatenate(places), np.concatenate(entries)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     @staticmethod
     def _keys(chars: np.ndarray) -> np.ndarray:
@@ -95,11 +121,11 @@ class Lattice:
         if not alone:
             yield end - 1, self.unknown, self.unknown_id, text[end - 1 : end]
 
-    def forward(self, text: str) -> list[float]:
-        """Best score of each place from the left."""
+    def forward(self, edges: list[list[tuple[int, float, int, str]]]) -> list[float]:
+        """Best score of each place from the left; edges by the place where they end."""
         best = [0.0]
-        for end in range(1, len(text) + 1):
-            best.append(max(best[s] + score for s, score, _, _ in self.edges(text, end)))
+        for own in edges[1:]:
+            best.append(max([best[start] + score for start, score, _, _ in own]))
         return best
 
     def search(self, text: str, n: int) -> list[tuple[float, bytes]]:
@@ -108,7 +134,8 @@ class Lattice:
         A hypothesis is a path from a place to the end; its score and the best score of
         the place from the left bound all its completions, and are reached.
         """
-        best = self.forward(text)
+        edges = [[], *(list(self.edges(text, end)) for end in range(1, len(text) + 1))]
+        best = self.forward(edges)
         agenda: list = [(-best[-1], 0, len(text), 0.0, None)]
         pushed, out = 0, []
         while agenda and len(out) < n:
@@ -120,7 +147,7 @@ class Lattice:
                     ids += self.ids_of(i, piece)
                 out.append((done, np.array(ids, "<u4").tobytes()))
                 continue
-            for start, score, i, piece in self.edges(text, at):
+            for start, score, i, piece in edges[at]:
                 pushed += 1
                 heapq.heappush(agenda, (-(best[start] + done + score), pushed, start, done + score, (i, piece, path)))
         return out
@@ -142,15 +169,16 @@ class Lattice:
 
     def learn(self, words: list[str]) -> None:
         """Puts ids, score and gap to the second best of each word into the memo."""
-        short = sorted((w for w in words if len(w) <= ARRAY_CHARS), key=len)
+        short = sorted((w for w in words if len(w) < ARRAY_CHARS), key=lambda w: len(self.spelled(w)))
         for at in range(0, len(short), ARRAY_WORDS):
             self._learn_arrays(short[at : at + ARRAY_WORDS])
         for word in words:
-            if len(word) > ARRAY_CHARS:
-                found = self.search(word, 2)
+            if len(word) >= ARRAY_CHARS:
+                found = self.search(self.spelled(word), 2)
                 self.memo[word] = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
 
-    def _learn_arrays(self, words: list[str]) -> None:
+    def _learn_arrays(self, keys: list[str]) -> None:
+        words = list(map(self.spelled, keys))
         n, width = len(words), len(words[-1])
         sizes = np.array(list(map(len, words)))
         chars = np.zeros((width, n), np.int64)  # place first, so that a place of all words is one run
@@ -158,22 +186,17 @@ class Lattice:
         row = np.repeat(np.arange(n), sizes)
         col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         chars[col, row] = flat
-        most = min(len(self.tables), width)
+        most = min(self.most, width)
         score = np.full((most, width, n), -np.inf)
         ids = np.zeros((most, width, n), np.int32)
         key = np.zeros((width, n), np.uint64)
         for k in range(most):  # pieces of k + 1 characters that start at each place
             m = width - k
             key = self._next(key[:m], chars[k:])
-            inside = np.arange(m)[:, None] + k < sizes[None, :]
-            asked = key[inside]
-            keys, values, numbers = self.tables[k]
-            if len(keys):
-                i = np.searchsorted(keys, asked)
-                i[i == len(keys)] = 0
-                hit = keys[i] == asked
-                score[k, :m][inside] = np.where(hit, values[i], -np.inf)
-                ids[k, :m][inside] = numbers[i]
+            inside = np.flatnonzero(np.arange(m)[:, None] + k < sizes[None, :])
+            hit, entry = self._find(key.reshape(-1)[inside])
+            score[k, :m].reshape(-1)[inside[hit]] = self.values[entry]
+            ids[k, :m].reshape(-1)[inside[hit]] = self.ids[entry]
         lone = (score[0] == -np.inf) & (np.arange(width)[:, None] < sizes[None, :])
         score[0][lone], ids[0][lone] = self.unknown, self.unknown_id
         left = np.full((width + 1, n), -np.inf)
@@ -212,8 +235,8 @@ class Lattice:
         flat_ids, counts = table[used].astype("<u4"), used.sum(1)
         ends = np.cumsum(counts)
         raw = flat_ids.tobytes()
-        for word, a, b, s, g, odd in zip(words, ((ends - counts) * 4).tolist(), (ends * 4).tolist(), total.tolist(), gaps.tolist(), unknown.tolist()):
-            self.memo[word] = (self._with_bytes(word, flat_ids[a // 4 : b // 4].tolist()) if odd else raw[a:b], s, g)
+        for name, word, a, b, s, g, odd in zip(keys, words, ((ends - counts) * 4).tolist(), (ends * 4).tolist(), total.tolist(), gaps.tolist(), unknown.tolist()):
+            self.memo[name] = (self._with_bytes(word, flat_ids[a // 4 : b // 4].tolist()) if odd else raw[a:b], s, g)
 
     def _with_bytes(self, word: str, path: list[int]) -> bytes:
         ids: list[int] = []
@@ -227,21 +250,30 @@ class Lattice:
     # --- texts
 
     def words(self, text: str) -> list[str]:
-        """The words of a text, each with the spaces before it; one more space begins the text."""
+        """The words of a text; one more space begins the text.
+
+        A word behind one space stands without it, any other with all its spaces.
+        """
         if not text:
             return []
-        flat = SPACE + text.replace(" ", SPACE)
+        flat = text.replace(" ", SPACE)
         if not self.by_words:
-            return [flat]
-        if SPACE * 2 not in flat:
-            return [SPACE + w for w in flat[1:].split(SPACE)] if flat[-1] != SPACE else [SPACE + w for w in flat[1:-1].split(SPACE)] + [SPACE]
-        out, spaces = [], ""
-        for w in flat[1:].split(SPACE):
-            spaces += SPACE
+            return [SPACE + SPACE + flat]  # one word; the first mark says that it is whole
+        if SPACE * 2 not in flat and flat[0] != SPACE:
+            return flat.split(SPACE)
+        out, spaces = [], 0
+        for w in flat.split(SPACE):
+            spaces += 1
             if w:
-                out.append(spaces + w)
-                spaces = ""
-        return [*out, spaces] if spaces else out
+                out.append(w if spaces == 1 else SPACE * spaces + w)
+                spaces = 0
+        return [*out, SPACE * spaces if spaces > 1 else ""] if spaces else out
+
+    def spelled(self, word: str) -> str:
+        """A word of words() with its spaces."""
+        if not self.by_words:
+            return word[1:]
+        return word if word.startswith(SPACE) else SPACE + word
 
     def segment(self, texts: list[str], n: int) -> Iterator[list[tuple[float, bytes]]]:
         """The n best segmentations of each text, (score, ids); one without ids for an empty text."""
@@ -251,7 +283,7 @@ class Lattice:
         met: set[str] = set()
         for words in parts:
             met.update(words)
-        self.learn(list(met - self.memo.keys()))
+        self.learn([w for w in met if w not in self.memo])
         get = self.memo.__getitem__
         for words in parts:
             ids, scores, gaps = zip(*map(get, words)) if words else ((), (), ())
@@ -266,7 +298,7 @@ class Lattice:
         open_words = sorted(smallest[gaps[smallest] < np.inf].tolist())
         choices = []
         for i in open_words:
-            ways = self.list_of(words[i], n)
+            ways = self.list_of(self.spelled(words[i]), n)
             if ways[0][1] != ids[i]:  # of equal scores, the best path stays first
                 ways = [(ways[0][0], ids[i]), *(w for w in ways if w[1] != ids[i])][:n]
             choices.append(ways)
@@ -304,24 +336,12 @@ def lattice(path: str) -> Lattice:
     return _LATTICES[path]
 
 
-def _texts(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
-    some, n = [], 0
-    for t in column.to_pylist():
-        some.append(t or "")
-        n += len(some[-1])
-        if n > chars:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
-
-
 def _segment(path: str, n: int, digests: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = lattice(path)
         for batch in batches:
             at = 0
-            for texts in _texts(batch.column(1)):
+            for texts in chunks_of([t or "" for t in batch.column(1).to_pylist()]):
                 found = list(pieces.segment(texts, n))
                 ids = [f[0][1] for f in found]
                 arrays = [np.frombuffer(i, "<u4") for i in ids]

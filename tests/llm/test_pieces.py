@@ -43,14 +43,20 @@ def test_n_best_are_the_n_best_of_all_paths(lattice, text, n):
 @settings(max_examples=25, deadline=None)
 @given(st.text(alphabet="abcdefghin", min_size=1, max_size=ARRAY_CHARS + 6))
 def test_arrays_agree_with_the_search(lattice, word):
-    lattice.memo.pop("▁" + word, None)
-    lattice.learn(["▁" + word])
-    ids, score, gap = lattice.memo["▁" + word]
+    lattice.memo.pop(word, None)
+    lattice.learn([word])
+    ids, score, gap = lattice.memo[word]
     found = lattice.search("▁" + word, 2)
     assert score == pytest.approx(found[0][0]) and gap == pytest.approx(found[0][0] - found[1][0])
     assert sum(lattice.scores[p][0] for p in pieces_of(lattice, ids)) == pytest.approx(score)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab ▁\n", max_size=12))
+def test_words_make_up_the_text(lattice, text):
+    assert "".join(map(lattice.spelled, lattice.words(text))) == ("▁" + text.replace(" ", "▁") if text else "")
+
+
 def pieces_of(lattice, ids):
     by_id = {i: p for p, (_, i) in lattice.scores.items()}
     return [by_id[i] for i in np.frombuffer(ids, "<u4").tolist()]
