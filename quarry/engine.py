@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quarry.errors import FileNotIndexed, ModelNotLoaded
 from quarry.functions.paths import IgnoreConfig
 from quarry.operators import catalog, ingest, merge
-from quarry.operators.search import search
+from quarry.operators.search import image_hits, search
+from quarry.operators.vector import InvertedFile, use_ann
 from quarry.plugins import EmbeddingModel, HashEmbedder, ModelRegistry, WordWeights
 from quarry.schema import MODELS, SearchMode, SearchQuery
 from quarry.sources.parsers import ParserRegistry
@@ -24,6 +25,8 @@ class Options:
 
     root: str
     model: str = "hash"
+    image_model: str | None = None
+    ann: str = "auto"  # or "force" or "off"
     ignore: IgnoreConfig = field(default_factory=IgnoreConfig)
     scale: str = "shifted"
     strict: bool = False
@@ -43,11 +46,30 @@ class Engine:
         self.options = options if isinstance(options, Options) else Options(options)
         self.store = Store(spark, self.options.root)
         self.parsers, self.models = parsers or ParserRegistry(), models or default_models()
+        self._index: tuple[tuple, InvertedFile | None] = ((), None)
 
     @property
     def model(self) -> EmbeddingModel:
         return self.models.get(self.options.model)
 
+    @property
+    def image_model(self) -> EmbeddingModel | None:
+        return self.models.get(self.options.image_model) if self.options.image_model else None
+
+    def vector_index(self) -> InvertedFile | None:
+        """The inverted file of the current vectors, built when there are many (or ann is force), kept until they change."""
+        made_of = (self.store.current().get("embeddings"), self.options.model, self.options.ann)
+        if made_of[0] is None or self.options.ann == "off":
+            return None
+        if self._index[0] != made_of:
+            own = self.store.table("embeddings").where(F.col("model_id") == self.model.model_id)
+            n = own.count()
+            index = None
+            if n and use_ann(n, self.options.ann):
+                index = InvertedFile.build(own, self.model.dim, path=f"{self.store.root}/ann/{made_of[0].rpartition('/')[2]}-{self.options.model}")
+            self._index = (made_of, index)
+        return self._index[1]
+
     def switch_model(self, model_id: str) -> None:
         """Files are indexed anew under another model when they are scanned again."""
         self.models.get(model_id)
@@ -66,7 +88,7 @@ class Engine:
         try:
             files = ingest.file_rows(changed)
             chunks = ingest.chunk_rows(changed, self.parsers).persist()
-            new = {"files": files, "chunks": chunks, "embeddings": ingest.embedding_rows(chunks, self.model)}
+            new = {"files": files, "chunks": chunks, "embeddings": ingest.embedding_rows(chunks, self.model, self.image_model)}
             sparse = ingest.sparse_rows(chunks, self.model)
             new |= {} if sparse is None else {"sparse": sparse}
             by_type = {r.file_type: r.n_files for r in catalog.files_by_type(changed.select("file_type")).collect()}
@@ -119,12 +141,14 @@ class Engine:
 
     # --- queries
 
-    def search(self, query: SearchQuery | str, image_hits: DataFrame | None = None, **options) -> DataFrame:
+    def search(self, query: SearchQuery | str, images: DataFrame | None = None, **options) -> DataFrame:
         q = query if isinstance(query, SearchQuery) else SearchQuery(query, **options)
         tables = self.store.tables()
+        if images is None and self.image_model is not None and q.text.strip():
+            images = image_hits(tables, q, self.image_model)
         if self.model.sparse_query("x") is None:
             tables.pop("sparse")
-        return search(self.spark, tables, q, self.model, scale=self.options.scale, strict=self.options.strict, pushdown_types=self.options.pushdown_types, image_hits=image_hits)
+        return search(self.spark, tables, q, self.model, scale=self.options.scale, strict=self.options.strict, pushdown_types=self.options.pushdown_types, images=images, index=self.vector_index())
 
     def keyword(self, text: str, limit: int = 20) -> DataFrame:
         return self.search(SearchQuery(text, limit=limit, mode=SearchMode.KEYWORD))

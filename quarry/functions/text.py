@@ -25,6 +25,11 @@ _SENTENCE = r"(?U)[\s\S]*?(?:[。？！]|[.?!](?=\s|\z)[^\S\n]*)|[\s\S]+\z"
 _INFORMATIVE = r"(?:\p{IsAlphabetic}|[0-9一-鿿぀-ヿ가-힯]){2,}"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, though f names it more than once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def trim(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
@@ -49,17 +54,19 @@ def _plus(done: Column, more: Column) -> Column:
 def blank_line_blocks(text: Column) -> Column:
     """Trimmed parts between runs of two or more line feeds; blank parts go, of a blank text one empty part stays."""
     parts = F.filter(F.transform(F.split(text, "\n{2,}", -1), trim), lambda p: p != "")
-    return F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
+    return let(parts, lambda p: F.when(F.size(p) == 0, F.array(F.lit(""))).otherwise(p))
 
 
 def sentences(text: Column) -> Column:
     """Sentences with what follows them up to the next; a blank tail goes; a text without any is one."""
     found = F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
-    n = F.size(found)
-    last = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
-    ended = last.rlike(r"(?U)(?:[。？！]|[.?!][^\S\n]*)\z")
-    kept = F.when((n > 0) & is_blank(last) & ~ended, F.slice(found, 1, F.greatest(n - 1, F.lit(0)))).otherwise(found)
-    return F.when(F.size(kept) == 0, F.array(text)).otherwise(kept)
+
+    def without_blank_tail(all_: Column) -> Column:
+        last = F.coalesce(F.try_element_at(all_, F.lit(-1)), F.lit(""))
+        unended = is_blank(last) & ~last.rlike(r"(?U)(?:[。？！]|[.?!][^\S\n]*)\z")
+        return F.when((F.size(all_) > 0) & unended, F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0)))).otherwise(all_)
+
+    return let(let(found, without_blank_tail), lambda kept: F.when(F.size(kept) == 0, F.array(text)).otherwise(kept))
 
 
 def raw_parts(text: Column, size: int) -> Column:
@@ -83,7 +90,7 @@ def word_parts(text: Column, size: int) -> Column:
         .when(F.char_length(acc["open"]) + 1 + F.char_length(w) <= size, _state(acc["done"], F.concat(acc["open"], F.lit(" "), w)))
         .otherwise(_state(_plus(acc["done"], F.array(acc["open"])), w)),
     )
-    return F.transform(F.array(packed), lambda p: F.when(p["open"] == "", p["done"]).otherwise(_plus(p["done"], F.array(p["open"]))))[0]
+    return let(packed, lambda p: F.when(p["open"] == "", p["done"]).otherwise(_plus(p["done"], F.array(p["open"]))))
 
 
 def sentence_parts(text: Column, size: int) -> Column:
@@ -98,7 +105,7 @@ def sentence_parts(text: Column, size: int) -> Column:
         )
 
     packed = F.aggregate(sentences(text), _state(_none(), F.lit("")), step)
-    return F.transform(F.array(packed), lambda p: F.when(is_blank(p["open"]), p["done"]).otherwise(_plus(p["done"], F.array(trim(p["open"])))))[0]
+    return let(packed, lambda p: F.when(is_blank(p["open"]), p["done"]).otherwise(_plus(p["done"], F.array(trim(p["open"])))))
 
 
 def pack_blocks(blocks: Column, target: int = TARGET, most: int = MOST) -> Column:
@@ -110,7 +117,7 @@ def pack_blocks(blocks: Column, target: int = TARGET, most: int = MOST) -> Colum
         .when(F.char_length(acc["open"]) + F.char_length(b) + 2 <= target, _state(acc["done"], F.concat(acc["open"], F.lit("\n\n"), b)))
         .otherwise(_state(_plus(acc["done"], F.array(acc["open"])), b)),
     )
-    whole = F.transform(F.array(packed), lambda p: F.when(p["open"] == "", p["done"]).otherwise(_plus(p["done"], F.array(p["open"]))))[0]
+    whole = let(packed, lambda p: F.when(p["open"] == "", p["done"]).otherwise(_plus(p["done"], F.array(p["open"]))))
     return F.flatten(F.transform(whole, lambda c: F.when(F.char_length(c) > most, sentence_parts(c, most)).otherwise(F.array(c))))
 
 
@@ -122,24 +129,37 @@ def code(text: Column) -> Column:
     return prose(text)
 
 
+def sections(text: Column) -> Column:
+    """Trimmed sections that begin with a heading; of a blank text none."""
+    lines = F.regexp_replace(text, "\r\n", "\n")
+    return F.filter(F.transform(F.split(lines, r"(?Umd)^(?=[^\S\n]*#[# ])", -1), trim), lambda p: p != "")
+
+
+def _prose_if_long(part: Column, always: Column | None = None) -> Column:
+    long = F.char_length(part) > MOST
+    return F.when(long if always is None else long | always, prose(part)).otherwise(F.array(part))
+
+
 def markdown(text: Column) -> Column:
     """Sections that begin with a heading; long ones as prose."""
-    lines = F.regexp_replace(text, "\r\n", "\n")
-    parts = F.filter(F.transform(F.split(lines, r"(?Umd)^(?=[^\S\n]*#[# ])", -1), trim), lambda p: p != "")
-    cut = F.flatten(F.transform(parts, lambda s: F.when(F.char_length(s) > MOST, prose(s)).otherwise(F.array(s))))
-    return F.when(F.size(parts) == 0, prose(text)).otherwise(cut)
+    return F.flatten(F.transform(let(sections(text), lambda s: F.when(F.size(s) == 0, F.array(F.lit(""))).otherwise(s)), lambda p: _prose_if_long(p)))
 
 
 def with_overlap(chunks: Column, n: int = OVERLAP, most: int = MOST) -> Column:
     """Each chunk but the first after the last n sentences of the chunk before it, where both fit."""
 
-    def joined(chunk: Column, i: Column) -> Column:
-        before = sentences(F.get(chunks, i - 1))
-        tail = trim(F.array_join(F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), F.lit(n)), ""))
-        fits = (i > 0) & (tail != "") & (F.char_length(tail) + 1 + F.char_length(chunk) <= most)
-        return F.when(fits, F.concat(tail, F.lit("\n"), chunk)).otherwise(chunk)
+    def tail(before: Column) -> Column:
+        return let(sentences(before), lambda s: trim(F.array_join(F.slice(s, F.greatest(F.size(s) - n + 1, F.lit(1)), F.lit(n)), "")))
+
+    def joined(chunk: Column, last: Column) -> Column:
+        fits = (last != "") & (F.char_length(last) + 1 + F.char_length(chunk) <= most)
+        return F.when(fits, F.concat(last, F.lit("\n"), chunk)).otherwise(chunk)
 
-    return F.transform(chunks, joined)
+    def lapped(all_: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0))))
+        return F.zip_with(all_, F.when(F.size(all_) == 0, _none()).otherwise(F.transform(before, tail)), joined)
+
+    return let(chunks, lapped)
 
 
 def chunk(text: Column, strategy: Callable[[Column], Column] = prose, overlap: bool = True) -> Column:
@@ -149,9 +169,14 @@ def chunk(text: Column, strategy: Callable[[Column], Column] = prose, overlap: b
 
 
 def chunk_by_extension(text: Column, ext: Column, overlap: bool = True) -> Column:
-    """Markdown, code or prose, by extension; no chunk of a blank text."""
-    parts = F.when(ext.isin(*MARKDOWN), markdown(text)).otherwise(prose(text))
-    kept = F.when(is_blank(text), _none()).otherwise(F.filter(parts, lambda c: ~is_blank(c)))
+    """Markdown, code or prose, by extension; no chunk of a blank text.
+
+    Both ways are one: prose is a text that is its only section and always cut.
+    """
+    is_markdown = ext.isin(*MARKDOWN)
+    parts = F.when(is_markdown, sections(text)).when(is_blank(text), _none()).otherwise(F.array(text))
+    cut = F.flatten(F.transform(parts, lambda p: _prose_if_long(p, ~is_markdown)))
+    kept = F.filter(cut, lambda c: ~is_blank(c))
     return with_overlap(kept) if overlap else kept
 
 
@@ -161,8 +186,7 @@ def word_chars(text: Column) -> Column:
 
 
 def is_quality(text: Column) -> Column:
-    bare = trim(text)
-    return (F.char_length(bare) >= LEAST) & (word_chars(bare) >= LEAST_WORDS)
+    return let(trim(text), lambda bare: (F.char_length(bare) >= LEAST) & (word_chars(bare) >= LEAST_WORDS))
 
 
 def keep_quality(chunks: Column) -> Column:

@@ -32,8 +32,15 @@ def chunk_rows(changed: DataFrame, registry: ParserRegistry) -> DataFrame:
     return parts.select(F.concat_ws(":", "file_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "file_id", "chunk_index", F.col("part.kind").alias("kind"), F.col("part.text").alias("content"))
 
 
-def embedding_rows(chunks: DataFrame, model: EmbeddingModel) -> DataFrame:
-    return chunks.select("chunk_id", F.lit(model.model_id).alias("model_id"), F.lit(model.dim).alias("dim"), model.embed(F.col("content")).alias("embedding"))
+def embedding_rows(chunks: DataFrame, model: EmbeddingModel, image_model: EmbeddingModel | None = None) -> DataFrame:
+    """Vectors of contents; with an image model, parts of images go to that one alone."""
+
+    def of(rows: DataFrame, m: EmbeddingModel) -> DataFrame:
+        return rows.select("chunk_id", F.lit(m.model_id).alias("model_id"), F.lit(m.dim).alias("dim"), m.embed(F.col("content")).alias("embedding"))
+
+    if image_model is None:
+        return of(chunks, model)
+    return of(chunks.where("kind <> 'image'"), model).unionByName(of(chunks.where("kind = 'image'"), image_model))
 
 
 def sparse_rows(chunks: DataFrame, model: EmbeddingModel) -> DataFrame | None:

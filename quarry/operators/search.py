@@ -11,11 +11,17 @@ from quarry.plugins import EmbeddingModel
 from quarry.schema import RESULTS, SearchMode, SearchQuery
 
 
-def _vector_arm(tables: dict[str, DataFrame], query: list[float], k: int, scale: str, model_id: str | None) -> DataFrame:
-    """The best chunk ids and scores; contents are fetched for those alone."""
-    rows = tables["embeddings"]
-    rows = rows if model_id is None else rows.where(F.col("model_id") == model_id)
-    return vector.top_k(rows, query, k, scale=scale).select("chunk_id", "score")
+def _vector_arm(tables: dict[str, DataFrame], query: list[float], k: int, scale: str, model_id: str, index: vector.InvertedFile | None = None) -> DataFrame:
+    """The best chunk ids and scores, from an index if there is one; contents are fetched for those alone."""
+    if index is not None:
+        return index.search(query, k, scale=scale).select("chunk_id", "score")
+    return vector.top_k(tables["embeddings"].where(F.col("model_id") == model_id), query, k, scale=scale).select("chunk_id", "score")
+
+
+def image_hits(tables: dict[str, DataFrame], query: SearchQuery, model: EmbeddingModel) -> DataFrame:
+    """The best images of an image model, scored by cosine."""
+    k = fusion.image_fetch(query.limit + query.offset, SearchMode.of(query.mode).value)
+    return _with_chunks(_vector_arm(tables, model.embed_query(query.text), k, "cosine", model.model_id), tables["chunks"])
 
 
 def _with_chunks(best: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -31,20 +37,21 @@ def _keyword_arm(tables: dict[str, DataFrame], text: str, weights: dict[int, flo
 
 def search(
     spark: SparkSession, tables: dict[str, DataFrame], query: SearchQuery, model: EmbeddingModel, *, scale: str = "shifted", strict: bool = False,
-    pushdown_types: bool = False, image_hits: DataFrame | None = None,
+    pushdown_types: bool = False, images: DataFrame | None = None, index: vector.InvertedFile | None = None,
 ) -> DataFrame:
     """Rows of RESULTS, best first, ties by chunk.
 
     Vector mode keeps scores above the floor; keyword mode is BM25, or sparse weights where the
     model has them; hybrid fuses both. Types are filtered after the limit, or before with
     pushdown_types. image_hits (chunk_id, file_id, chunk_index, snippet, score) are merged
-    in. A blank query finds nothing.
+    in; an index of the model's vectors stands for the scan unless types are pushed down. A blank query finds nothing.
     """
     if not query.text.strip() or query.limit <= 0:
         return spark.createDataFrame([], RESULTS)
     mode, limit = SearchMode.of(query.mode), query.limit + query.offset
     files = tables["files"]
     if pushdown_types and query.file_types:
+        index = None
         files = files.where(F.col("file_type").isin(*query.file_types))
         own = files.select(F.col("id").alias("file_id"))
         chunks = tables["chunks"].join(own, "file_id", "left_semi")
@@ -52,17 +59,17 @@ def search(
         tables = tables | {"chunks": chunks} | {name: tables[name].join(ids, "chunk_id", "left_semi") for name in ("embeddings", "sparse") if name in tables}
     weights = model.sparse_query(query.text) if "sparse" in tables else None
     if mode is SearchMode.VECTOR:
-        near = _vector_arm(tables, model.embed_query(query.text), max(3 * limit, vector.LEAST_FETCH), scale, model.model_id)
+        near = _vector_arm(tables, model.embed_query(query.text), max(3 * limit, vector.LEAST_FETCH), scale, model.model_id, index)
         hits = _with_chunks(vector.floor_or_fallback(near, limit), tables["chunks"])
     elif mode is SearchMode.KEYWORD:
         hits = _keyword_arm(tables, query.text, weights, limit, strict)
     else:
         k = limit * fusion.OVERFETCH
-        near = _with_chunks(_vector_arm(tables, model.embed_query(query.text), k, scale, model.model_id), tables["chunks"])
+        near = _with_chunks(_vector_arm(tables, model.embed_query(query.text), k, scale, model.model_id, index), tables["chunks"])
         hits = fusion.hybrid(near, _keyword_arm(tables, query.text, weights, k, strict), limit, query.vector_weight, query.keyword_weight)
     hits = hits.select("chunk_id", "file_id", "chunk_index", "snippet", "score", F.lit(mode.value).alias("match_type"))
-    if image_hits is not None:
-        hits = fusion.merge_images(hits, image_hits.select("chunk_id", "file_id", "chunk_index", "snippet", "score", F.lit("vector").alias("match_type")), limit, mode.value)
+    if images is not None and mode is not SearchMode.KEYWORD:
+        hits = fusion.merge_images(hits, images.select("chunk_id", "file_id", "chunk_index", "snippet", "score", F.lit("vector").alias("match_type")), limit, mode.value)
     record = files.select(F.col("id").alias("file_id"), F.struct(*[F.col(c) for c in ("id", "path", "file_type", "size", "modified_at", "indexed_at", "content_hash")]).alias("file_record"))
     rows = record.join(F.broadcast(hits), "file_id")
     if query.file_types and not pushdown_types:

@@ -13,6 +13,8 @@ from quarry.functions import vectors as V
 ANN_FROM, FLOOR, FALLBACK, LEAST_FETCH = 2000, 0.45, 5, 30
 #: Cells of the inverted file and how many of them a query reads.
 CELLS, PROBES = 32, 20
+#: Rows of the sample for each cell, at least.
+LEAST_CELL = 8
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "chunk_id", vector: str = "embedding", scale: str = "shifted") -> DataFrame:
@@ -82,8 +84,12 @@ class InvertedFile:
 
         same = vectors.where(F.size(vector) == dim)
         sample = same.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.xxhash64(key).alias("h")).orderBy("h").limit(sample_rows)
-        model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(sample.select("features"))
-        centroids = [[float(x) for x in c] for c in model.clusterCenters()]
+        k = min(n_cells, sample.count() // LEAST_CELL)
+        if k > 1:
+            model = KMeans(k=k, seed=seed, maxIter=10).fit(sample.select("features"))
+            centroids = [[float(x) for x in c] for c in model.clusterCenters()]
+        else:
+            centroids = [[0.0] * dim]
         near = F.array_max(F.array(*[F.struct((V.dot(F.col(vector), V.literal(c)) - sum(x * x for x in c) / 2).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(centroids)]))
         cells = same.withColumn("cell", -near["i"])
         if path:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.errors import UnsupportedFileType
 from quarry.functions import paths
@@ -15,8 +16,12 @@ from quarry.sources import images, pdf
 PARTS = "array<struct<kind:string,text:string>>"
 
 
-def _parts(kind: str, texts: Column) -> Column:
-    return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))).cast(PARTS)
+def _part(kind: str, text: Column) -> Column:
+    return F.array(F.struct(F.lit(kind).alias("kind"), text.alias("text"))).cast(PARTS)
+
+
+def _texts(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"))).cast(PARTS)
 
 
 def decode_text(content: Column) -> Column:
@@ -27,11 +32,14 @@ def decode_text(content: Column) -> Column:
 class TextParser(FileParser):
     extensions = tuple(paths.PARSED["text"])
 
-    def parts(self, path: Column, name: Column, ext: Column, content: Column) -> Column:
-        return _parts("text", tf.keep_quality(tf.chunk_by_extension(decode_text(content), ext)))
+    def extract(self, content: Column) -> Column:
+        return decode_text(content)
+
+    def parts(self, path: Column, name: Column, ext: Column, extracted: Column) -> Column:
+        return _texts(tf.keep_quality(tf.chunk_by_extension(extracted, ext)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _pdf_text(content: pa.Array) -> pa.Array:
     out = []
     for data in content:
@@ -42,7 +50,7 @@ def _pdf_text(content: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _image_size(content: pa.Array) -> pa.Array:
     sizes = (images.dimensions(data.as_py() or b"") for data in content)
     return pa.array([f"{s[0]}×{s[1]}" if s else None for s in sizes], pa.string())
@@ -51,17 +59,23 @@ def _image_size(content: pa.Array) -> pa.Array:
 class PdfParser(FileParser):
     extensions = ("pdf",)
 
-    def parts(self, path: Column, name: Column, ext: Column, content: Column) -> Column:
-        text = tf.trim(_pdf_text(content))
-        return _parts("text", F.when(text == "", F.array(tf.pdf_fallback(path))).otherwise(tf.pdf_windows(text)))
+    def extract(self, content: Column) -> Column:
+        return _pdf_text(content)
+
+    def parts(self, path: Column, name: Column, ext: Column, extracted: Column) -> Column:
+        text = tf.trim(extracted)
+        return _texts(F.when(text == "", F.array(tf.pdf_fallback(path))).otherwise(tf.pdf_windows(text)))
 
 
 class ImageParser(FileParser):
     extensions = tuple(paths.PARSED["image"])
 
-    def parts(self, path: Column, name: Column, ext: Column, content: Column) -> Column:
-        size = _image_size(content)
-        return _parts("image", F.array(F.when(size.isNull(), F.concat(F.lit("Image file: "), name)).otherwise(F.concat(F.lit("Image: "), name, F.lit(" ("), size, F.lit(" pixels)")))))
+    def extract(self, content: Column) -> Column:
+        return _image_size(content)
+
+    def parts(self, path: Column, name: Column, ext: Column, extracted: Column) -> Column:
+        sized = F.concat(F.lit("Image: "), name, F.lit(" ("), extracted, F.lit(" pixels)"))
+        return _part("image", F.coalesce(sized, F.concat(F.lit("Image file: "), name)))
 
 
 class AudioParser(FileParser):
@@ -70,17 +84,18 @@ class AudioParser(FileParser):
     def __init__(self, transcriber: Transcriber | None = None):
         self.transcriber = transcriber
 
-    def parts(self, path: Column, name: Column, ext: Column, content: Column) -> Column:
-        stub = F.concat(F.lit("Audio ("), ext, F.lit("): "), name)
-        said = stub if self.transcriber is None else F.coalesce(self.transcriber.transcribe(content), stub)
-        return _parts("audio_transcript", F.array(said))
+    def extract(self, content: Column) -> Column:
+        return F.lit(None).cast("string") if self.transcriber is None else self.transcriber.transcribe(content)
+
+    def parts(self, path: Column, name: Column, ext: Column, extracted: Column) -> Column:
+        return _part("audio_transcript", F.coalesce(extracted, F.concat(F.lit("Audio ("), ext, F.lit("): "), name)))
 
 
 class VideoParser(FileParser):
     extensions = tuple(paths.PARSED["video"])
 
-    def parts(self, path: Column, name: Column, ext: Column, content: Column) -> Column:
-        return _parts("video_keyframe", F.array(F.concat(F.lit("Video file: "), name)))
+    def parts(self, path: Column, name: Column, ext: Column, extracted: Column) -> Column:
+        return _part("video_keyframe", F.concat(F.lit("Video file: "), name))
 
 
 class ParserRegistry:
@@ -104,13 +119,14 @@ class ParserRegistry:
         return paths.extension(path).isin(*self.by_extension)
 
     def parse(self, files: DataFrame) -> DataFrame:
-        """Files (path, content) with parts; each parser sees its own extensions alone."""
+        """Files (path, content) with parts instead of content; each parser sees its own extensions alone."""
         ext, name = paths.extension(F.col("path")), F.element_at(F.split("path", "/"), -1)
         groups: dict[int, tuple[FileParser, list[str]]] = {}
         for e, p in self.by_extension.items():
             groups.setdefault(id(p), (p, []))[1].append(e)
         out = None
         for parser, exts in groups.values():
-            own = files.where(ext.isin(*exts)).withColumn("parts", parser.parts(F.col("path"), name, ext, F.col("content")))
+            own = files.where(ext.isin(*exts)).withColumn("content", parser.extract(F.col("content")))
+            own = own.withColumn("parts", parser.parts(F.col("path"), name, ext, F.col("content"))).drop("content")
             out = own if out is None else out.unionByName(own)
         return out
