@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: Bytes that part words of the form [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z is lower-cased; the rest of ASCII becomes a space.
@@ -33,19 +37,38 @@ def spaced_words(text: str | None) -> list[bytes]:
     return ascii_lower(text).translate(SPACE_BYTES).split()
 
 
-def chunks_of(texts: list, chars: int = 1 << 20) -> Iterator[list]:
-    """Runs of texts of about so many characters."""
+def chunks_of(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Runs of texts of about so many characters; never more of a batch than that stands in memory as Python strings."""
     part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t or "")
-        if n >= chars:
-            yield part
-            part, n = [], 0
+    for at in range(0, len(texts), 64):
+        for t in texts.slice(at, 64).to_pylist():
+            part.append(t)
+            n += len(t or "")
+            if n >= chars:
+                yield part
+                part, n = [], 0
     if part:
         yield part
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: the state of one operator, so that those of several never add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Gives back what another operator has kept."""
+    held(None, lambda: None)
+
+
 def lowered(col: Column | str) -> Column:
     """A-Z lower-cased in the JVM; null counts as empty."""
     return F.translate(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), UPPER, LOWER)

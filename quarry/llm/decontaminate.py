@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import alnum_words, chunks_of, materialise
+from quarry.llm.common import alnum_words, chunks_of, materialise, release
 
 #: Words of a window, of a shingle, and bytes of benchmark text that a block holds.
 WINDOW, SHINGLE, BLOCK_BYTES = 13, 5, 2 << 20
@@ -151,10 +151,11 @@ def search(block: Block, docs: Words) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _count_tokens(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         block, tokens = shared.value
         counts = np.zeros(len(tokens), np.int64)
         for batch in batches:
-            for texts in chunks_of(batch.column(0).to_pylist()):
+            for texts in chunks_of(batch.column(0)):
                 docs = Words(texts, block.vocabulary)
                 for k in block.lengths:
                     keys = shingle_keys(docs.ids, k)[1]
@@ -174,10 +175,11 @@ def _find(shared) -> Callable:
     """Rows (row, text, spans, items) with a block's places added: merged runs of hit words, and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         block = shared.value
         for batch in batches:
             at = 0
-            for texts in chunks_of(batch.column("text").to_pylist()):
+            for texts in chunks_of(batch.column("text")):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 docs = Words(texts, block.vocabulary)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import ascii_lower, lowered, partitions
+from quarry.llm.common import ascii_lower, lowered, partitions, release
 
 #: A task's table of distinct texts is flushed beyond either.
 FLUSH_BYTES, FLUSH_ROWS = 16 << 20, 20_000
@@ -42,8 +42,9 @@ def _combine(digest: Callable[[bytes], str], id_type: pa.DataType, flush_bytes:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table: dict[str, list[tuple[bytes, list]]] = {}
-        held = rows = 0
+        size = rows = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 content = ascii_lower(text.as_py())
@@ -55,10 +56,10 @@ def _combine(digest: Callable[[bytes], str], id_type: pa.DataType, flush_bytes:
                         break
                 else:
                     variants.append((content, [doc_id]))
-                    held += len(content)
-                if held > flush_bytes or rows >= flush_rows:
+                    size += len(content)
+                if size > flush_bytes or rows >= flush_rows:
                     yield from out(table)
-                    table, held, rows = {}, 0, 0
+                    table, size, rows = {}, 0, 0
         yield from out(table)
 
     return run

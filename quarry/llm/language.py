@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, chunks_of, materialise, send_back
+from quarry.llm.common import ascii_lower, chunks_of, materialise, release, send_back
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Function words that a model knows before any training.
@@ -116,7 +116,8 @@ def text_evidence(docs: DataFrame, model: TextModel, text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def evidence(texts: pa.Array) -> pa.Array:
-        rows = [shared.value.evidence(part) for part in chunks_of(texts.to_pylist())]
+        release()
+        rows = [shared.value.evidence(part) for part in chunks_of(texts, 1 << 18)]
         flat = np.concatenate(rows) if rows else np.zeros((0, len(shared.value.languages) + 1))
         offsets = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.reshape(-1)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import alnum_words, chunks_of, drop_table, materialise, send_back, spaced_words
+from quarry.llm.common import alnum_words, chunks_of, drop_table, materialise, release, send_back, spaced_words
 
 #: First and last level of a tree; documents and shingles of a small node; target recall.
 FIRST, LAST, NODE_DOCS, NODE_SHINGLES, RECALL = 2, 6, 1500, 2_000_000, 0.9995
@@ -101,10 +101,11 @@ def _sketch(rule: Rule) -> Callable:
     seeds = [_mix(np.array([7919 * (i + 1)], np.uint64) * _P)[0] for i in range(rule.trees * LAST)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes = _Hashes()
         for batch in batches:
             at = 0
-            for texts in chunks_of(batch.column(1).to_pylist()):
+            for texts in chunks_of(batch.column(1)):
                 keys, firsts, digests = shingle_sets(texts, rule, hashes)
                 full = np.flatnonzero(np.diff(firsts) > 0)
                 mins = np.empty((len(seeds), len(full)), np.int64)
@@ -170,16 +171,18 @@ def _compare(rule: Rule, id_type: pa.DataType) -> Callable:
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         node, rows = None, []
         for batch in batches:
-            for n, i, d, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if n != node:
-                    if rows:
-                        yield node, rows
-                    node, rows = n, []
-                rows.append((i, d, t))
+            for at in range(0, batch.num_rows, 64):
+                for n, i, d, t in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    if n != node:
+                        if rows:
+                            yield node, rows
+                        node, rows = n, []
+                    rows.append((i, d, t))
         if rows:
             yield node, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes, out = _Hashes(), []
         for node, rows in groups(batches):
             keys, firsts, digests = shingle_sets([t for _, _, t in rows], rule, hashes)

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks_of
+from quarry.llm.common import chunks_of, held
 
 SPACE = "▁"
 #: Words of up to so many characters are solved as arrays, so many at a time; entries of a worker's memo.
-ARRAY_CHARS, ARRAY_WORDS, MEMO = 20, 4096, 500_000
+ARRAY_CHARS, ARRAY_WORDS, MEMO = 20, 4096, 400_000
 #: Bits of a piece key that are its slot.
 SLOT_BITS = 20
 #: What an unknown character costs below the worst piece.
@@ -327,13 +327,8 @@ class Lattice:
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
-_LATTICES: dict[str, Lattice] = {}
-
-
 def lattice(path: str) -> Lattice:
-    if path not in _LATTICES:
-        _LATTICES[path] = Lattice(path)
-    return _LATTICES[path]
+    return held(("pieces", path), lambda: Lattice(path))
 
 
 def _segment(path: str, n: int, digests: bool) -> Callable:
@@ -341,7 +336,8 @@ def _segment(path: str, n: int, digests: bool) -> Callable:
         pieces = lattice(path)
         for batch in batches:
             at = 0
-            for texts in chunks_of([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in chunks_of(batch.column(1)):
+                texts = [t or "" for t in texts]
                 found = list(pieces.segment(texts, n))
                 ids = [f[0][1] for f in found]
                 arrays = [np.frombuffer(i, "<u4") for i in ids]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import files
-from quarry.llm.common import chunks_of, materialise, scratch_path
+from quarry.llm.common import chunks_of, held, materialise, scratch_path
 
 #: File format.
 MAGIC, BLOCK_TOKENS, STRIDE, MAX_BITS = b"QTOK1\n", 1 << 16, 256, 20
@@ -109,13 +109,8 @@ class WordMemo(dict):
         return out
 
 
-_MEMOS: dict[str, WordMemo] = {}
-
-
 def _memo(path: str) -> WordMemo:
-    if path not in _MEMOS:
-        _MEMOS[path] = WordMemo(path)
-    return _MEMOS[path]
+    return held(("tokens", path), lambda: WordMemo(path))
 
 
 def id_type_of(path: str) -> str:
@@ -128,8 +123,8 @@ def _encode_rows(path: str, end_id: int) -> Callable:
         end = array(memo.code, [end_id]).tobytes()
         for batch in batches:
             at = 0
-            for texts in chunks_of([t or "" for t in batch.column(1).to_pylist()]):
-                ids = [x + end for x in memo.encode(texts)]
+            for texts in chunks_of(batch.column(1)):
+                ids = [x + end for x in memo.encode([t or "" for t in texts])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())], names=["id", "ids"])
                 at += len(texts)
 

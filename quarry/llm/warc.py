@@ -106,7 +106,7 @@ def read_records(stream) -> Iterator[Record]:
 
 def _write(folder: str, roll: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        rows = (r for b in batches for at in range(0, b.num_rows, 64) for r in zip(*(c.to_pylist() for c in b.slice(at, 64).columns)))
         row = next(rows, None)
         while row is not None:
             n = size = 0
