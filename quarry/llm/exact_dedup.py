@@ -100,9 +100,46 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that exact_dedup keeps; of a repeated row (same id and text) one."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(lowered(text_col).cast("binary"), 256).alias("sha"))
-    met = rows.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")))
-    return met.dropDuplicates(["id", "sha"]).select("row.*")
+def _best_rows(digest: Callable[[bytes], str]) -> Callable:
+    """Of the equal texts of a batch, the row with the largest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            best: dict[str, list[tuple[bytes, int]]] = {}
+            ids = batch.column(1).to_pylist()
+            for i, text in enumerate(batch.column(2)):
+                content = ascii_lower(text.as_py())
+                variants = best.setdefault(digest(content), [])
+                for k, (known, j) in enumerate(variants):
+                    if known == content:
+                        if ids[j] is None or ids[i] is not None and ids[i] > ids[j]:
+                            variants[k] = (known, i)
+                        break
+                else:
+                    variants.append((content, i))
+            rows = [(i, d) for d, variants in best.items() for _, i in variants]
+            kept = batch.take(pa.array([i for i, _ in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([d for _, d in rows], pa.string())], names=["row", "digest"])
+
+    return run
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: Callable[[bytes], str] = sha256_hex, salts: int | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup keeps; of a repeated row one.
+
+    The same three stages on whole rows: the best of a batch, of a salt, of all; texts
+    are compared anew in each. Nothing is joined, since only winners go on.
+    """
+    n = salts or max(8, partitions(docs.sparkSession))
+    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    local = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_best_rows(digest), f"row {kind}, digest string")
+    top, content = F.desc_nulls_last(F.col("row")[id_col]), lowered(F.col("row")[text_col])
+
+    def winners(rows: DataFrame, *keys: str) -> DataFrame:
+        ranked = rows.withColumn("content", content).withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "content").orderBy(top)))
+        return ranked.where("nth = 1").select("row", "digest")
+
+    salted = local.withColumn("salt", F.pmod(F.xxhash64(F.col("row")[id_col]), F.lit(n)))
+    first = winners(salted.repartition("digest", "salt"), "digest", "salt")
+    return winners(first.repartition("digest"), "digest").select("row.*")
