@@ -7,7 +7,6 @@ whose state is the weights; the weights (DIMS numbers) then stand in the plan as
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
