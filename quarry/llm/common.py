@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import string
 import tempfile
@@ -60,6 +62,8 @@ def held(key: object, make: Callable[[], T]) -> T:
         _HELD.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
         _HELD[key] = make()
     return _HELD[key]
 

@@ -13,13 +13,12 @@ places found so far, so nothing is shuffled and no row needs an identity.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import alnum_words, chunks_of, materialise, release
@@ -171,15 +170,15 @@ def _count_tokens(shared) -> Callable:
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _find(shared) -> Callable:
-    """Rows (row, text, spans, items) with a block's places added: merged runs of hit words, and items."""
+def _find(shared, text_at: int) -> Callable:
+    """Rows (row, n_words, spans, items) with a block's places added: merged runs of hit words, and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         block = shared.value
         for batch in batches:
             at = 0
-            for texts in chunks_of(batch.column("text")):
+            for texts in chunks_of(batch.column("row").field(text_at)):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 docs = Words(texts, block.vocabulary)
@@ -196,31 +195,22 @@ def _find(shared) -> Callable:
                     if block.names[i] is not None:
                         old_items[d].append(block.names[i])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("text"), pa.array(docs.sizes, pa.int64()), pa.array(old_spans, _SPANS), pa.array(old_items, pa.list_(pa.string()))],
-                    names=["row", "text", "n_words", "spans", "items"],
+                    [part.column("row"), pa.array(docs.sizes, pa.int64()), pa.array(old_spans, _SPANS), pa.array(old_items, pa.list_(pa.string()))],
+                    names=["row", "n_words", "spans", "items"],
                 )
 
     return run
 
 
-def _merged(spans: list[dict]) -> int:
-    n = end = 0
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
-        n += max(0, b - max(a, end))
-        end = max(end, b)
-    return n
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = [_merged(s) for s in batch.column("spans").to_pylist()]
-        items = [sorted(set(i)) for i in batch.column("items").to_pylist()]
-        sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
-        bad = [h > 0 and 20 * h >= n for h, n in zip(hits, batch.column("n_words").to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(sha), pa.array(bad, pa.bool_()), pa.array(items, pa.list_(pa.string())), batch.column("spans")],
-            names=["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
-        )
+def _hit_words(spans: Column) -> Column:
+    """Words in any of the spans, which may overlap."""
+    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    return F.aggregate(
+        F.array_sort(spans),
+        state,
+        lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), s["b"] - F.greatest(s["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end")),
+        lambda acc: acc["n"],
+    )
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -236,7 +226,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     n_blocks = max(1, -(-int(size) // block_bytes))
     named = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).alias("text")).withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n_blocks)))
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    text_at = docs.columns.index(text_col)
+    rows = docs.select(F.struct("*").alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(n_blocks):
         block = make_block([(r.name, r.text) for r in named.where(F.col("block") == b).collect()], window, shingle)
         tokens = all_tokens(block, shingle)
@@ -244,10 +235,14 @@ def judge(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_tokens(shared), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         counts = {r.token & 0xFFFFFFFFFFFFFFFF: r.n for r in counted.collect()}  # at most a row a shingle of the block
         choose_prefixes(block, counts, shingle)
-        rows = rows.mapInArrow(_find(spark.sparkContext.broadcast(block)), f"row {kind}, text string, n_words long, spans array<struct<a:bigint,b:bigint>>, items array<string>")
+        rows = rows.mapInArrow(_find(spark.sparkContext.broadcast(block), text_at), f"row {kind}, n_words long, spans array<struct<a:bigint,b:bigint>>, items array<string>")
         if b % CHAIN == CHAIN - 1 and b < n_blocks - 1:
             rows = materialise(rows, "benchmark-places")
-    return rows.mapInArrow(_finish, f"row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<a:bigint,b:bigint>>")
+    named = rows.select("row", "n_words", _hit_words(F.col("spans")).alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans")
+    return named.select(
+        "row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items", "spans",
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -100,27 +100,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def _best_rows(digest: Callable[[bytes], str]) -> Callable:
-    """Of the equal texts of a batch, the row with the largest id."""
+def _best_rows(digest: Callable[[bytes], str], id_at: int, text_at: int, rows_at_once: int = 2048) -> Callable:
+    """Of the equal texts of some neighbouring rows, the row with the largest id; places are those of the row's columns."""
+
+    def best_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        best: dict[str, list[tuple[bytes, int]]] = {}
+        ids = batch.column(0).field(id_at).to_pylist()
+        for i, text in enumerate(batch.column(0).field(text_at)):
+            content = ascii_lower(text.as_py())
+            variants = best.setdefault(digest(content), [])
+            for k, (known, j) in enumerate(variants):
+                if known == content:
+                    if ids[j] is None or ids[i] is not None and ids[i] > ids[j]:
+                        variants[k] = (known, i)
+                    break
+            else:
+                variants.append((content, i))
+        rows = [(i, d) for d, variants in best.items() for _, i in variants]
+        kept = batch.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
+        return pa.RecordBatch.from_arrays([kept, pa.array([d for _, d in rows], pa.string())], names=["row", "digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            best: dict[str, list[tuple[bytes, int]]] = {}
-            ids = batch.column(1).to_pylist()
-            for i, text in enumerate(batch.column(2)):
-                content = ascii_lower(text.as_py())
-                variants = best.setdefault(digest(content), [])
-                for k, (known, j) in enumerate(variants):
-                    if known == content:
-                        if ids[j] is None or ids[i] is not None and ids[i] > ids[j]:
-                            variants[k] = (known, i)
-                        break
-                else:
-                    variants.append((content, i))
-            rows = [(i, d) for d, variants in best.items() for _, i in variants]
-            kept = batch.take(pa.array([i for i, _ in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([d for _, d in rows], pa.string())], names=["row", "digest"])
+            for at in range(0, batch.num_rows, rows_at_once):
+                yield best_of(batch.slice(at, rows_at_once))
 
     return run
 
@@ -133,7 +137,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     n = salts or max(8, partitions(docs.sparkSession))
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    local = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_best_rows(digest), f"row {kind}, digest string")
+    places = docs.columns.index(id_col), docs.columns.index(text_col)
+    local = docs.select(F.struct("*").alias("row")).mapInArrow(_best_rows(digest, *places), f"row {kind}, digest string")
     top, content = F.desc_nulls_last(F.col("row")[id_col]), lowered(F.col("row")[text_col])
 
     def winners(rows: DataFrame, *keys: str) -> DataFrame:
