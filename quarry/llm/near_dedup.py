@@ -5,8 +5,9 @@ tokens: below a node go those that share the node's next minwise token. Nodes th
 small are compared exhaustively, on full sets and all pairs; larger ones branch again;
 what is still large at the last level is cut into pairs of blocks that are compared in
 the same way, so no pair of a node is skipped. Independent trees are repeated until a
-pair at the threshold meets with the target recall. Nodes with the same members in
-several trees are compared once.
+pair at the threshold meets with the target recall: below the first level for all
+documents, down to the last level for those that a large node makes branch, which get
+further trees of their own. Nodes with the same members in several trees are compared once.
 
 Copies with the same words are one document here. A node gives each of its linked
 groups as memberships, never as pairs; components come from minima that alternate
@@ -48,7 +49,15 @@ class Rule:
     @property
     def trees(self) -> int:
         """Trees after which a pair at the threshold has met below the first level."""
-        meet = (self.percent / 100) ** FIRST
+        return self._trees(FIRST)
+
+    @property
+    def deep_trees(self) -> int:
+        """Trees after which it has met below the last level, and so below each one before."""
+        return self._trees(LAST)
+
+    def _trees(self, level: int) -> int:
+        meet = (self.percent / 100) ** level
         return 1 if meet >= 1 else max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - meet)))
 
     def split(self, text: str | None) -> list[bytes]:
@@ -97,8 +106,8 @@ def shingle_sets(texts: list[str | None], rule: Rule, hashes: dict) -> tuple[np.
     return key, np.append(firsts, total), digests
 
 
-def _sketch(rule: Rule) -> Callable:
-    seeds = [_mix(np.array([7919 * (i + 1)], np.uint64) * _P)[0] for i in range(rule.trees * LAST)]
+def _sketch(rule: Rule, trees: range) -> Callable:
+    seeds = [_mix(np.array([7919 * (i + 1)], np.uint64) * _P)[0] for i in range(trees.start * LAST, trees.stop * LAST)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -203,33 +212,52 @@ def _compare(rule: Rule, id_type: pa.DataType) -> Callable:
     return run
 
 
-def plant_trees(reps: DataFrame, rule: Rule) -> DataFrame:
-    """Memberships (id, node) of nodes to compare. reps: id, n, mins, one row a set."""
-    n_trees = rule.trees
-    tree = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.slice("mins", t * LAST + 1, LAST).alias("path")) for t in range(n_trees)]))
-    rows = reps.select("id", "n", tree.alias("t")).select(
+def _roots(reps: DataFrame, trees: range) -> DataFrame:
+    """A row (id, n, path, node) for each set and tree; mins are those of these trees."""
+    tree = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.slice("mins", k * LAST + 1, LAST).alias("path")) for k, t in enumerate(trees)]))
+    return reps.select("id", "n", tree.alias("t")).select(
         "id", "n", F.col("t.path").alias("path"), F.xxhash64(F.col("t.tree"), *[F.col("t.path")[i] for i in range(FIRST)]).alias("node")
     )
-    found = None
-    for level in range(FIRST, LAST + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).cast("string").alias("members")).where("docs > 1")
-        sizes = materialise(sizes, f"nodes-{level}")
-        small = (F.col("docs") <= NODE_DOCS) & (F.col("shingles") <= NODE_SHINGLES)
-        once = sizes.where(small).groupBy("docs", "shingles", "members").agg(F.min("node").alias("node"))
-        leaves = rows.join(once.select("node"), "node").select("id", "node")
-        found = leaves if found is None else found.unionByName(leaves)
-        large = sizes.where(~small)
-        if large.isEmpty():
+
+
+def _settle(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """Memberships of the small nodes, and the rows of the large ones with docs and shingles (none: None)."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).cast("string").alias("members")).where("docs > 1")
+    sizes = materialise(sizes, f"nodes-{label}")
+    small = (F.col("docs") <= NODE_DOCS) & (F.col("shingles") <= NODE_SHINGLES)
+    once = sizes.where(small).groupBy("docs", "shingles", "members").agg(F.min("node").alias("node"))
+    leaves = rows.join(once.select("node"), "node").select("id", "node")
+    large = sizes.where(~small)
+    return leaves, None if large.isEmpty() else rows.join(large, "node")
+
+
+def plant_trees(reps: DataFrame, rule: Rule, more: Callable[[DataFrame, range], DataFrame]) -> DataFrame:
+    """Memberships (id, node) of nodes to compare. reps: id, n, mins, one row a set.
+
+    Documents of a large node branch, so pairs there must agree on more minima. They get
+    as many further trees as keep the recall at the last level; more(ids, trees) gives
+    their rows of reps with the minima of these trees. Two documents of one large node
+    are both among them.
+    """
+    found, rows = _settle(_roots(reps, range(rule.trees)), f"{FIRST}")
+    if rows is not None and rule.deep_trees > rule.trees:
+        deep = range(rule.trees, rule.deep_trees)
+        ids = materialise(rows.select("id").distinct(), "branching")
+        leaves, further = _settle(_roots(materialise(more(ids, deep), "deep-sketches"), deep), f"{FIRST}-deep")
+        found = found.unionByName(leaves)
+        rows = rows if further is None else rows.unionByName(further)
+    for level in range(FIRST, LAST):
+        if rows is None:
             return found
-        rows = rows.join(large, "node")
-        if level < LAST:
-            rows = materialise(rows.select("id", "n", "path", F.xxhash64("node", F.col("path")[level]).alias("node")), f"branch-{level}")
-        else:
-            blocks = F.ceil(F.greatest(F.col("docs") * 2.0 / NODE_DOCS, F.col("shingles") * 2.0 / NODE_SHINGLES)).cast("int")
-            own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-            cut = rows.withColumn("blocks", blocks).withColumn("own", own).select("id", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            found = found.unionByName(cut.select("id", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")))
-    return found
+        rows = materialise(rows.select("id", "n", "path", F.xxhash64("node", F.col("path")[level]).alias("node")), f"branch-{level}")
+        leaves, rows = _settle(rows, f"{level + 1}")
+        found = found.unionByName(leaves)
+    if rows is None:
+        return found
+    blocks = F.ceil(F.greatest(F.col("docs") * 2.0 / NODE_DOCS, F.col("shingles") * 2.0 / NODE_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("own", own).select("id", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return found.unionByName(cut.select("id", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")))
 
 
 def components(groups: DataFrame) -> DataFrame:
@@ -262,10 +290,17 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[kind]
     sql = kind.simpleString()
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    narrow = materialise(named.mapInArrow(_sketch(rule), f"id {sql}, n long, digest binary, mins array<bigint>"), "sketches")
+    sketched = f"id {sql}, n long, digest binary, mins array<bigint>"
+    narrow = materialise(named.mapInArrow(_sketch(rule, range(rule.trees)), sketched), "sketches")
     linkable = narrow.where("n > 0 AND id IS NOT NULL")
     classes = materialise(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
-    members = materialise(plant_trees(classes, rule), "members").groupBy("id").agg(F.collect_set("node").alias("nodes"))
+
+    def more(ids: DataFrame, trees: range) -> DataFrame:
+        meant = ids.join(classes.select("id", "digest"), "id")
+        again = named.join(ids, "id").select("id", "text").mapInArrow(_sketch(rule, trees), sketched)
+        return again.join(meant, ["id", "digest"]).groupBy("id", "digest").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
+
+    members = materialise(plant_trees(classes, rule, more), "members").groupBy("id").agg(F.collect_set("node").alias("nodes"))
     wanted = members.join(classes.select("id", "digest"), "id")
     texts = named.join(wanted, "id").select(F.explode("nodes").alias("node"), "id", "digest", "text")
     sorted_texts = texts.repartition("node").sortWithinPartitions("node")

@@ -119,3 +119,32 @@ def test_groups_are_those_of_all_pairs(sets, percent):
 
 def test_trees_for_a_recall():
     assert CONTRACT.trees == 6 and Rule().trees == 8 and Rule(percent=100).trees == 1
+
+
+def threshold_pairs(n, seed=3):
+    """n pairs at exactly 80 % in one template: texts of different pairs share 78 of 102 words."""
+    rng = random.Random(seed)
+    base = [f"base{i}" for i in range(78)]
+    rows = []
+    for k in range(n):
+        both = [f"p{k}x{i}" for i in range(2)]
+        for j in (0, 1):
+            words = base + both + [f"o{k}x{j}x{i}" for i in range(10)]
+            rng.shuffle(words)
+            rows.append((2 * k + j, " ".join(words)))
+    return rows
+
+
+def test_recall_holds_where_nodes_branch(spark, monkeypatch):
+    """Isolated pairs at the threshold inside a template whose nodes are large at every level."""
+    monkeypatch.setattr(nd, "NODE_DOCS", 20)
+    rule = Rule(shingle=1, percent=80, words="space")
+    rows = near_dedup(spark.createDataFrame(threshold_pairs(300), "doc_id long, text string").repartition(5), rule).collect()
+    assert len(rows) == 600 and [r.doc_id for r in rows if r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_trees_down_to_the_last_level():
+    for rule in (CONTRACT, Rule()):
+        s = rule.percent / 100
+        assert all(1 - (1 - s**level) ** rule.deep_trees >= rule.recall for level in range(nd.FIRST, nd.LAST + 1))
+    assert Rule(percent=100).deep_trees == 1
