@@ -19,9 +19,12 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
-#: Kinds that the method adds.
+#: White space as it stands in a key or escaped in a string literal; the end of a key; what is left of one that is cut off.
+_SPACE, _KEY_END = r"(?:\s|\\[nrt])", r"-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_KEY_LINES = rf"(?:{_SPACE}++(?:(?:Proc-Type|DEK-Info): [A-Za-z0-9,-]++|[A-Za-z0-9+/=]{{16,}}+))*+"
+#: Kinds that the method adds. The secret of a key is its body, without white space.
 ADDED = {
-    "private_key": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    "private_key": (rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----((?:[^-]++|-(?!----))*+(?={_KEY_END})|{_KEY_LINES})(?:{_KEY_END})?", 1, 1, _SPACE),
     "forge": (r"(?:ghp|gho|ghs|ghu|glpat)[_-][A-Za-z0-9_-]{20,}", 0, 24),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
     "url_password": (r"[a-z][a-z0-9+.-]{1,15}://[^\s:@/]{1,64}:[^\s:@/]{3,64}@", 0, 8),
@@ -32,15 +35,22 @@ EXAMPLE_OWNERS = 3
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,hash:string>"
 
 
-def kind_spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
+def kind_spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, dropped: str | None = None) -> Column:
     """Spans of a kind: leftmost matches that don't overlap, those with too short a secret dropped.
 
-    Offsets are code points, the end exclusive.
+    Offsets are code points, the end exclusive. The secret is hashed without what matches
+    dropped; where nothing else is in it, the whole match stands for it.
     """
+
+    def secret(m: Column) -> Column:
+        if dropped is None:
+            return m["secret"]
+        return F.coalesce(F.nullif(F.regexp_replace(m["secret"], dropped, ""), F.lit("")), m["whole"])
+
     places = F.zip_with(
         F.split(text, pattern, -1),
         F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("secret")),
-        lambda gap, m: F.struct(F.char_length(gap).cast("bigint").alias("gap"), F.char_length(m["whole"]).cast("bigint").alias("size"), m["secret"].alias("secret")),
+        lambda gap, m: F.struct(F.char_length(gap).cast("bigint").alias("gap"), F.char_length(m["whole"]).cast("bigint").alias("size"), secret(m).alias("secret")),
     )
     empty = F.lit(None).cast(f"array<{SPAN}>")
     folded = F.aggregate(

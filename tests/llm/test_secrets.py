@@ -53,3 +53,32 @@ def test_ownership(spark, hot):
 def test_no_python_in_the_plan(small_docs):
     plan = scan_secrets(small_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def pem(body, kind="RSA ", join="\n"):
+    return join.join([f"-----BEGIN {kind}PRIVATE KEY-----", *(body[i : i + 64] for i in range(0, len(body), 64)), f"-----END {kind}PRIVATE KEY-----"])
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    """Keys of one type and several owners are live each; one key that many hold is an example however it is wrapped."""
+    own = [hashlib.sha512(b"%d" % i).hexdigest() * 12 for i in range(5)]
+    texts = [f"key {i}: {pem(own[i])} end" for i in range(4)]
+    texts += [pem("MIIexample0" * 20), "x " + pem("MIIexample0" * 20, join="\r\n"), pem("MIIexample0" * 20, join="\\n") + " -- one - two"]
+    texts += [pem(own[4]).replace("-----END RSA PRIVATE KEY-----", "cut off"), pem(own[0]) + "\n" + pem(own[0])]
+    locked = pem("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" + own[4][:50])
+    texts += [locked, "-----BEGIN RSA PRIVATE KEY-----\n" * 300 + "- " * 20_000, "-----BEGIN PRIVATE KEY-----" + "A" * 100_000]
+    rows = [(i, t, f"owner{i}", "en") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+
+    def keys(i):
+        return [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("private_key")]
+
+    plain = {r.doc_id: len(r.spans.split(",")) - len(keys(r.doc_id)) for r in got.values()}
+    for i in range(4):
+        assert keys(i) == [(7, len(texts[i]) - 4)] and got[i].n_example == 0
+        assert got[i].max_owners == (2 if i == 0 else 1)
+    for i in (4, 5, 6):
+        assert (got[i].n_live, got[i].n_example, got[i].max_owners) == (0, 1, 3) and plain[i] == 0
+    assert keys(7) == [(0, len(texts[7]) - 8)] and got[7].n_example == 0
+    assert len(keys(8)) == 2 and got[8].n_example == 0 and got[9].n_example == 0 and keys(9) == [(0, len(locked))]
+    assert len(keys(10)) == 300 and len(keys(11)) == 1
