@@ -27,7 +27,7 @@ ADDED = {
     "private_key": (rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----((?:[^-]++|-(?!----))*+(?={_KEY_END})|{_KEY_LINES})(?:{_KEY_END})?", 1, 1, _SPACE),
     "forge": (r"(?:ghp|gho|ghs|ghu|glpat)[_-][A-Za-z0-9_-]{20,}", 0, 24),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    "url_password": (r"[a-z][a-z0-9+.-]{1,15}://[^\s:@/]{1,64}:[^\s:@/]{3,64}@", 0, 8),
+    "url_password": (r"[a-z][a-z0-9+.-]{1,15}://[^\s:@/]++:[^\s:@/]{3,}+@", 0, 8),
 }
 #: A secret that at least so many owners hold is an example.
 EXAMPLE_OWNERS = 3

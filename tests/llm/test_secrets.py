@@ -82,3 +82,11 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     assert keys(7) == [(0, len(texts[7]) - 8)] and got[7].n_example == 0
     assert len(keys(8)) == 2 and got[8].n_example == 0 and got[9].n_example == 0 and keys(9) == [(0, len(locked))]
     assert len(keys(10)) == 300 and len(keys(11)) == 1
+
+
+@pytest.mark.parametrize(("user", "password"), [("oauth2", "x" * 93), ("u" * 65, "hunter22"), ("u" * 3000, "p" * 3000)])
+def test_long_credentials_in_urls(spark, user, password):
+    text = f"see https://host/a and https://{user}:{password}@host/x"
+    own = spark.createDataFrame([(0, text, "s", "l"), (1, "a://" * 20_000 + "z" * 50_000, "s", "l")], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.spans for r in scan_secrets(own).collect()}
+    assert got[0] == f"url_password:23:{text.index('@') + 1}" and got[1] == ""
