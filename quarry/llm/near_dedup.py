@@ -174,8 +174,8 @@ def link_groups(sets: list[np.ndarray], percent: int) -> list[list[int]]:
 
 
 def _compare(rule: Rule, id_type: pa.DataType) -> Callable:
-    """Rows (node, id, digest, text), sorted by node: (node, head, id) for each member of a linked group."""
-    schema = pa.schema([("node", pa.int64()), ("head", id_type), ("id", id_type)])
+    """Rows (node, id, digest, text), sorted by node: (node, head, digest, id) for each member of a linked group."""
+    schema = pa.schema([("node", pa.int64()), ("head", pa.binary()), ("digest", pa.binary()), ("id", id_type)])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         node, rows = None, []
@@ -196,13 +196,13 @@ def _compare(rule: Rule, id_type: pa.DataType) -> Callable:
         for node, rows in groups(batches):
             keys, firsts, digests = shingle_sets([t for _, _, t in rows], rule, hashes)
             # a repeated id with another text isn't the row that is meant; a repeated row is the same again
-            own = {i: k for k, ((i, d, _), now) in enumerate(zip(rows, digests)) if d == now}
-            ids = sorted(own)
-            if len(ids) < 2:
+            own = {d: k for k, ((_, d, _), now) in enumerate(zip(rows, digests)) if d == now}
+            if len(own) < 2:
                 continue
-            sets = [np.unique(keys[firsts[own[i]] : firsts[own[i] + 1]]) for i in ids]
+            sets = [np.unique(keys[firsts[k] : firsts[k + 1]]) for k in own.values()]
+            names = [(d, rows[k][0]) for d, k in own.items()]
             for group in link_groups(sets, rule.percent):
-                out += [(node, ids[group[0]], ids[k]) for k in group]
+                out += [(node, names[group[0]][0], *names[k]) for k in group]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                 out = []
@@ -213,67 +213,68 @@ def _compare(rule: Rule, id_type: pa.DataType) -> Callable:
 
 
 def _roots(reps: DataFrame, trees: range) -> DataFrame:
-    """A row (id, n, path, node) for each set and tree; mins are those of these trees."""
+    """A row (digest, n, path, node) for each set and tree; mins are those of these trees."""
     tree = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.slice("mins", k * LAST + 1, LAST).alias("path")) for k, t in enumerate(trees)]))
-    return reps.select("id", "n", tree.alias("t")).select(
-        "id", "n", F.col("t.path").alias("path"), F.xxhash64(F.col("t.tree"), *[F.col("t.path")[i] for i in range(FIRST)]).alias("node")
+    return reps.select("digest", "n", tree.alias("t")).select(
+        "digest", "n", F.col("t.path").alias("path"), F.xxhash64(F.col("t.tree"), *[F.col("t.path")[i] for i in range(FIRST)]).alias("node")
     )
 
 
 def _settle(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
     """Memberships of the small nodes, and the rows of the large ones with docs and shingles (none: None)."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).cast("string").alias("members")).where("docs > 1")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).cast("string").alias("members")).where("docs > 1")
     sizes = materialise(sizes, f"nodes-{label}")
     small = (F.col("docs") <= NODE_DOCS) & (F.col("shingles") <= NODE_SHINGLES)
     once = sizes.where(small).groupBy("docs", "shingles", "members").agg(F.min("node").alias("node"))
-    leaves = rows.join(once.select("node"), "node").select("id", "node")
+    leaves = rows.join(once.select("node"), "node").select("digest", "node")
     large = sizes.where(~small)
     return leaves, None if large.isEmpty() else rows.join(large, "node")
 
 
 def plant_trees(reps: DataFrame, rule: Rule, more: Callable[[DataFrame, range], DataFrame]) -> DataFrame:
-    """Memberships (id, node) of nodes to compare. reps: id, n, mins, one row a set.
+    """Memberships (digest, node) of nodes to compare. reps: digest, n, mins, one row a set.
 
     Documents of a large node branch, so pairs there must agree on more minima. They get
-    as many further trees as keep the recall at the last level; more(ids, trees) gives
+    as many further trees as keep the recall at the last level; more(digests, trees) gives
     their rows of reps with the minima of these trees. Two documents of one large node
     are both among them.
     """
     found, rows = _settle(_roots(reps, range(rule.trees)), f"{FIRST}")
     if rows is not None and rule.deep_trees > rule.trees:
         deep = range(rule.trees, rule.deep_trees)
-        ids = materialise(rows.select("id").distinct(), "branching")
-        leaves, further = _settle(_roots(materialise(more(ids, deep), "deep-sketches"), deep), f"{FIRST}-deep")
+        digests = materialise(rows.select("digest").distinct(), "branching")
+        leaves, further = _settle(_roots(materialise(more(digests, deep), "deep-sketches"), deep), f"{FIRST}-deep")
         found = found.unionByName(leaves)
         rows = rows if further is None else rows.unionByName(further)
     for level in range(FIRST, LAST):
         if rows is None:
             return found
-        rows = materialise(rows.select("id", "n", "path", F.xxhash64("node", F.col("path")[level]).alias("node")), f"branch-{level}")
+        rows = materialise(rows.select("digest", "n", "path", F.xxhash64("node", F.col("path")[level]).alias("node")), f"branch-{level}")
         leaves, rows = _settle(rows, f"{level + 1}")
         found = found.unionByName(leaves)
     if rows is None:
         return found
     blocks = F.ceil(F.greatest(F.col("docs") * 2.0 / NODE_DOCS, F.col("shingles") * 2.0 / NODE_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("own", own).select("id", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return found.unionByName(cut.select("id", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")))
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("own", own).select("digest", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return found.unionByName(cut.select("digest", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")))
 
 
 def components(groups: DataFrame) -> DataFrame:
-    """(id, component) of memberships (node, head, id): the least id that can be reached.
+    """(digest, component) of memberships (node, head, digest, id): the least id that can be reached.
 
     Minima go from documents to groups and back until nothing changes. Groups are no
-    larger than nodes and a document has a few groups, so no window is hot.
+    larger than nodes, or the texts of one id, and a document has a few groups, so no
+    window is hot while ids are not shared by many texts.
     """
-    state = materialise(groups.withColumn("label", F.min("head").over(Window.partitionBy("id"))), "labels")
+    state = materialise(groups.select("node", "head", "digest", F.min("id").over(Window.partitionBy("digest")).alias("label")), "labels")
     while True:
         wide = state.withColumn("low", F.min("label").over(Window.partitionBy("node", "head")))
-        new = materialise(wide.select("node", "head", "id", F.col("label").alias("old"), F.min("low").over(Window.partitionBy("id")).alias("label")), "labels")
+        new = materialise(wide.select("node", "head", "digest", F.col("label").alias("old"), F.min("low").over(Window.partitionBy("digest")).alias("label")), "labels")
         drop_table(state)
-        state = new.select("node", "head", "id", "label")
+        state = new.select("node", "head", "digest", "label")
         if new.where("old != label").isEmpty():
-            return state.select("id", F.col("label").alias("component")).distinct()
+            return state.select("digest", F.col("label").alias("component")).distinct()
 
 
 def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,18 +296,22 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     linkable = narrow.where("n > 0 AND id IS NOT NULL")
     classes = materialise(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
 
-    def more(ids: DataFrame, trees: range) -> DataFrame:
-        meant = ids.join(classes.select("id", "digest"), "id")
-        again = named.join(ids, "id").select("id", "text").mapInArrow(_sketch(rule, trees), sketched)
-        return again.join(meant, ["id", "digest"]).groupBy("id", "digest").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
+    def more(digests: DataFrame, trees: range) -> DataFrame:
+        meant = digests.join(classes.select("digest", "id"), "digest")
+        again = named.join(meant.select("id").distinct(), "id").select("id", "text").mapInArrow(_sketch(rule, trees), sketched)
+        return again.join(meant, ["id", "digest"]).groupBy("digest").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
 
-    members = materialise(plant_trees(classes, rule, more), "members").groupBy("id").agg(F.collect_set("node").alias("nodes"))
-    wanted = members.join(classes.select("id", "digest"), "id")
+    members = materialise(plant_trees(classes, rule, more), "members").groupBy("digest").agg(F.collect_set("node").alias("nodes"))
+    wanted = members.join(classes.select("digest", "id"), "digest")
     texts = named.join(wanted, "id").select(F.explode("nodes").alias("node"), "id", "digest", "text")
     sorted_texts = texts.repartition("node").sortWithinPartitions("node")
-    groups = sorted_texts.mapInArrow(_compare(rule, arrow), f"node long, head {sql}, id {sql}")
-    found = components(groups)
-    labels = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    groups = sorted_texts.mapInArrow(_compare(rule, arrow), f"node long, head binary, digest binary, id {sql}")
+    # the texts of one id are a group of their own
+    print_of = F.xxhash64("digest")
+    shared = linkable.groupBy("id").agg(F.min(print_of).alias("low"), F.max(print_of).alias("high")).where("low != high").select("id")
+    same_id = linkable.join(shared, "id").select(F.xxhash64("id").alias("node"), F.lit(b"").alias("head"), "digest").distinct().join(classes.select("digest", "id"), "digest")
+    found = components(groups.unionByName(same_id))
+    labels = classes.select("digest", "id").join(found, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"))
     linked = send_back(linkable.select("id", "n", "digest"), "digest", labels)
     rest = narrow.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
     rows = linked.select("id", "n", "component").unionByName(rest)

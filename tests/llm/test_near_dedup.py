@@ -148,3 +148,16 @@ def test_trees_down_to_the_last_level():
         s = rule.percent / 100
         assert all(1 - (1 - s**level) ** rule.deep_trees >= rule.recall for level in range(nd.FIRST, nd.LAST + 1))
     assert Rule(percent=100).deep_trees == 1
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_an_id_of_several_texts_joins_their_components(spark, turned):
+    """Whichever of the rows comes first, and where another id stands for one of the texts."""
+    rows = []
+    for k in range(0, 60, 20):
+        a, b = ([f"{x}{k}w{i}" for i in range(100)] for x in "ab")
+        rows += [(k + 5, " ".join(a)), (k + 5, " ".join(b)), (k + 9, " ".join(a[:-1] + ["x"])), (k + 12, " ".join(b[:-1] + ["x"]))]
+    rows += [(41, rows[8][1])]
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    got = near_dedup(docs).collect()
+    assert len(got) == 13 and all(r.component_id == {0: 5, 20: 25, 40: 41}[r.doc_id // 20 * 20] for r in got)
