@@ -133,7 +133,7 @@ def _softmax(logs: list[Column]) -> list[Column]:
 
 def declared_language(text: Column, declared: Column | None, languages: tuple[str, ...]) -> Column:
     """What the markup of the text says, else what the metadata says; null if neither names a known language."""
-    tag = F.lower(F.regexp_extract(text, r"(?i)<html\b[^>]{0,500}?\blang\s*=\s*[\"']?([a-z]{2})\b", 1))
+    tag = F.lower(F.regexp_extract(text, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})\b", 1))
     meta = F.lower(F.substring(declared, 1, 2)) if declared is not None else F.lit(None).cast("string")
     return F.coalesce(F.when(tag.isin(*languages), tag), F.when(meta.isin(*languages), meta))
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.language import LANGUAGES, TextModel, address, identify, identify_languages, train_on, with_known_language
+from quarry.llm.language import LANGUAGES, TextModel, address, declared_language, identify, identify_languages, train_on, with_known_language
 
 
 def test_held_out_accuracy_of_the_text_model(small_docs):
@@ -77,3 +77,11 @@ def test_missing_columns(spark):
     docs = spark.createDataFrame([(1, "the and of to in is that")], "doc_id long, text string")
     [row] = identify(docs).collect()
     assert row.language == "en" and row.accepted and row.row.doc_id == 1
+
+
+def test_declared_language_behind_many_attributes(spark):
+    """The tag's end alone bounds the search."""
+    long = " ".join(f'data-a{i}="{i}"' for i in range(2000))
+    rows = spark.createDataFrame([(0, f"<html {long} lang='es'> x"), (1, f"<html {long}> lang='es'"), (2, "<html lang=fr>"), (3, f"<html {long} lang='es' " + "x" * 100_000)], "i long, t string")
+    got = {r.i: r.d for r in rows.select("i", declared_language(F.col("t"), F.lit("de"), LANGUAGES).alias("d")).collect()}
+    assert got == {0: "es", 1: "de", 2: "fr", 3: "es"}
