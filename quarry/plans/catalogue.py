@@ -306,7 +306,7 @@ def pdf_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = HashEmbedder(dim=64)
+    model = HashEmbedder()
     return read(spark, sf_dir, "documents").select("doc_id", F.transform(model.embed(F.col("text")), lambda x: F.round(x, 4)).alias("embedding"))
 
 

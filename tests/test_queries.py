@@ -54,3 +54,14 @@ def test_works_without_the_optional_part(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()
     assert out == [str(len(catalogue.queries())), "False", str(len(catalogue.oracle_sql()))]
+
+
+def test_hash_embedding_reads_as_much_as_the_operator(spark, tmp_path):
+    from quarry.plugins import HashEmbedder
+
+    texts = ["a" * 1000 + x + "a" * 1000 for x in "bc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.embedding for r in catalogue.queries()["hash_embedding"](spark, str(tmp_path)).collect()}
+    assert got[0] != got[1]
+    for i, text in enumerate(texts):
+        assert list(got[i]) == pytest.approx(HashEmbedder().embed_query(text), abs=1e-4)
