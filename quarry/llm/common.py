@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-T = TypeVar("T")
+V = TypeVar("V")
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: Bytes that part words of the form [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z is lower-cased; the rest of ASCII becomes a space.
@@ -24,6 +26,12 @@ WORD_BYTES = bytes(b if b >= 0x80 or chr(b) in string.digits + LOWER else 0x20 f
 SPACE_BYTES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
 
 
+#: Words of which a worker remembers hashes, and their bytes at most.
+HASH_WORDS, HASH_BYTES = 300_000, 48
+#: Rows below which no key is worth salting.
+HOT_ROWS = 16
+
+
 def ascii_lower(text: str | None) -> bytes:
     """UTF-8 of the text with A-Z alone lower-cased; null counts as empty. bytes.lower() touches ASCII only."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
@@ -53,10 +61,22 @@ def chunks_of(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None
         yield part
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, never 0; short words are remembered, the rest never stay."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word) or 1
+        if len(word) <= HASH_BYTES:
+            if len(self) >= HASH_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
 _HELD: dict[object, object] = {}
 
 
-def held(key: object, make: Callable[[], T]) -> T:
+def held(key: object, make: Callable[[], V]) -> V:
     """What a Python worker keeps from task to task: the state of one operator, so that those of several never add up."""
     if key not in _HELD:
         _HELD.clear()
@@ -83,12 +103,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir, as a whole URI.
+
+    Only a local session, where all tasks share this machine's disks, gets one of its own.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quarry-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return qualified(spark, root).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority that Spark itself would give it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -96,9 +127,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/quarry-{uuid.uuid4().hex}-{label}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    for paths in _SCOPES:
+        paths.append(path)
     return path
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Yields the paths that scratch_path() gives out within; at its end those still in the list are deleted."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()  # scopes end in the order opposite to their begin
+        for path in paths:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: written once as Parquet in the shared folder, so that a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, label)
@@ -114,13 +164,47 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def send_back(rows: DataFrame, key: str, facts: DataFrame, salts: int | None = None) -> DataFrame:
+def column(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(docs: DataFrame) -> DataFrame:
+    """Whole rows as the struct "row", so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*map(column, docs.columns)).alias("row"))
+
+
+def rows_back(judged: DataFrame) -> DataFrame:
+    """What row_of() took: the fields of "row" as columns."""
+    names = judged.schema["row"].dataType.names
+    return judged.select(*[F.col("row")[name].alias(name) for name in names])
+
+
+def with_field(kind: T.DataType, name: str, *more: tuple[str, T.DataType]) -> T.StructType:
+    """A schema of one column of any type, and more of the given types."""
+    return T.StructType([T.StructField(name, kind), *(T.StructField(n, k) for n, k in more)])
+
+
+def hot_keys(counts: DataFrame, total: int, salts: int, n: str = "n") -> list:
+    """Keys (first column) with more than a quarter of a task's share of the rows: at most four a task."""
+    most = max(HOT_ROWS, total // (4 * salts))
+    found = counts.where((F.col(n) > most) & F.col(counts.columns[0]).isNotNull()).orderBy(F.desc(n)).limit(4 * salts).select(counts.columns[0]).collect()
+    return [bytes(k) if isinstance(k, bytearray) else k for (k,) in found]
+
+
+def send_back(rows: DataFrame, key: str, facts: DataFrame, hot: list | None = None, salts: int | None = None) -> DataFrame:
     """Joins rows with facts (one row a key, no null) though a key may hold most of the rows.
 
-    Rows are parted by (key, salt). The distinct pairs, at most one a salt and key,
-    fetch the facts; then rows meet their own pair, so a hot key spreads over all salts.
+    A hot key's rows are dealt over all salts by their place, so that repeated rows part
+    too, and its fact goes to each salt; other keys have one salt. Keys are counted unless
+    hot names those that hold many rows (see hot_keys).
     """
     n = salts or max(8, partitions(rows.sparkSession))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(n)))
-    pairs = salted.select(key, "__salt").distinct().join(facts, key)
-    return salted.join(pairs, [key, "__salt"]).drop("__salt")
+    if hot is None:
+        hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), rows.count(), n)
+    if not hot:
+        return rows.join(facts, key)
+    is_hot, one = F.col(key).isin(hot), F.lit(0).cast("long")
+    place = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(n))).otherwise(one)
+    every = F.when(is_hot, F.sequence(one, F.lit(n - 1).cast("long"))).otherwise(F.array(one))
+    return rows.withColumn("__salt", place).join(facts.withColumn("__salt", F.explode(every)), [key, "__salt"]).drop("__salt")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import ascii_lower, lowered, partitions, release
+from quarry.llm.common import ascii_lower, column, lowered, partitions, release, row_of, rows_back, with_field
 
 #: A task's table of distinct texts is flushed beyond either.
 FLUSH_BYTES, FLUSH_ROWS = 16 << 20, 20_000
@@ -78,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType
     arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[kind]
     n = salts or max(8, partitions(spark))
-    local = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    local = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(
         _combine(digest, arrow, flush_bytes, flush_rows),
         T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("digest", T.StringType()), T.StructField("content", T.BinaryType())]),
     )
@@ -96,8 +96,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = winners.select("w_digest", "w_salt", "w_top", F.max("w_top").over(across).alias("keep_id"), F.sum("copies").over(across).alias("group_size"))
     members = merged.where("nth > 0").select("digest", "salt", "top", "ids")
     joined = members.join(final, (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt")) & F.col("top").eqNullSafe(F.col("w_top")))
-    rows = joined.select(F.explode("ids").alias(id_col), "keep_id", "group_size", "digest")
-    return rows.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    rows = joined.select(F.explode("ids").alias("id"), "keep_id", "group_size", "digest")
+    return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def _best_rows(digest: Callable[[bytes], str], id_at: int, text_at: int, rows_at_once: int = 2048) -> Callable:
@@ -133,12 +133,13 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs, with all their columns, that exact_dedup keeps; of a repeated row one.
 
     The same three stages on whole rows: the best of a batch, of a salt, of all; texts
-    are compared anew in each. Nothing is joined, since only winners go on.
+    are compared anew in each. Nothing is joined, since only winners go on. Columns of docs
+    can have any names and types.
     """
     n = salts or max(8, partitions(docs.sparkSession))
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    rows = row_of(docs)
     places = docs.columns.index(id_col), docs.columns.index(text_col)
-    local = docs.select(F.struct("*").alias("row")).mapInArrow(_best_rows(digest, *places), f"row {kind}, digest string")
+    local = rows.mapInArrow(_best_rows(digest, *places), with_field(rows.schema["row"].dataType, "row", ("digest", T.StringType())))
     top, content = F.desc_nulls_last(F.col("row")[id_col]), lowered(F.col("row")[text_col])
 
     def winners(rows: DataFrame, *keys: str) -> DataFrame:
@@ -147,4 +148,4 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     salted = local.withColumn("salt", F.pmod(F.xxhash64(F.col("row")[id_col]), F.lit(n)))
     first = winners(salted.repartition("digest", "salt"), "digest", "salt")
-    return winners(first.repartition("digest"), "digest").select("row.*")
+    return rows_back(winners(first.repartition("digest"), "digest"))

@@ -13,8 +13,20 @@ from contextlib import contextmanager
 from pyarrow import fs
 
 
+#: Schemes of Hadoop's object stores, as the Arrow file systems call them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A whole URI as Arrow takes it; common.qualified() makes one of a bare path, so that tasks and Spark mean the same place."""
+    scheme, found, rest = uri.partition(":")
+    if not found or "/" in scheme:
+        raise ValueError(f"{uri} has no scheme: resolve it with common.qualified() first")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 def _at(uri: str):
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 @contextmanager
