@@ -11,6 +11,11 @@ distinct word is solved once for its best path and for the gap to its second bes
 (arrays of many words at a time). Only the n - 1 words of a text with the smallest gaps
 can differ from their best in its n best segmentations: for those the A* search is run,
 and a second one combines them.
+
+Every hypothesis of the search stands for segmentations that no other one has, and one of
+them reaches its bound. So those that n others beat are dropped at once: the agenda
+never holds more than n, the deepest of equal ones goes first, and no more than n * length
+hypotheses are ever opened, however many segmentations tie.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
+from array import array
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks_of, held
+from quarry.llm.common import chunks_of, column, held
 
 SPACE = "▁"
-#: Words of up to so many characters are solved as arrays, so many at a time; entries of a worker's memo.
-ARRAY_CHARS, ARRAY_WORDS, MEMO = 20, 4096, 400_000
+#: Words of fewer characters are solved as arrays, so many at a time.
+ARRAY_CHARS, ARRAY_WORDS = 20, 4096
+#: Bytes of a worker's memo, about; longest word that it keeps; characters of the texts that are solved together.
+MEMO_BYTES, MEMO_CHARS, TOGETHER = 48 << 20, 64, 1 << 18
+#: What an entry of the memo takes beside its ids and characters.
+ENTRY = 300
 #: Bits of a piece key that are its slot.
 SLOT_BITS = 20
 #: What an unknown character costs below the worst piece.
@@ -40,7 +51,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 class Lattice:
     """Pieces of a SentencePiece model file, with byte pieces for what they don't cover."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,7 +75,7 @@ class Lattice:
         self.unknown = min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.scores))
         self.by_words = all(set(p) == {SPACE} for p in self.scores if SPACE in p[1:])
-        self.limit = memo
+        self.limit, self.weight = memo, 0
         self.memo: dict[str, tuple[bytes, float, float]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
         # pieces by the slot of their key: those of slot i are entries first[i] to first[i + 1]
@@ -111,21 +122,21 @@ class Lattice:
 
     # --- one word or text, edge by edge
 
-    def edges(self, text: str, end: int) -> Iterator[tuple[int, float, int, str]]:
-        """Edges that end at a place: start, score, id, piece; an unknown character only where no piece is one character."""
+    def edges(self, text: str, end: int) -> Iterator[tuple[int, float, int]]:
+        """Edges that end at a place: start, score, id; an unknown character only where no piece is one character."""
         alone = False
         for start in range(max(0, end - self.longest), end):
             if (found := self.scores.get(text[start:end])) is not None:
                 alone |= start == end - 1
-                yield start, *found, text[start:end]
+                yield start, *found
         if not alone:
-            yield end - 1, self.unknown, self.unknown_id, text[end - 1 : end]
+            yield end - 1, self.unknown, self.unknown_id
 
-    def forward(self, edges: list[list[tuple[int, float, int, str]]]) -> list[float]:
-        """Best score of each place from the left; edges by the place where they end."""
-        best = [0.0]
-        for own in edges[1:]:
-            best.append(max([best[start] + score for start, score, _, _ in own]))
+    def forward(self, text: str) -> array:
+        """Best score of each place from the left."""
+        best = array("d", [0.0])
+        for end in range(1, len(text) + 1):
+            best.append(max([best[start] + score for start, score, _ in self.edges(text, end)]))
         return best
 
     def search(self, text: str, n: int) -> list[tuple[float, bytes]]:
@@ -134,24 +145,27 @@ class Lattice:
         A hypothesis is a path from a place to the end; its score and the best score of
         the place from the left bound all its completions, and are reached.
         """
-        edges = [[], *(list(self.edges(text, end)) for end in range(1, len(text) + 1))]
-        best = self.forward(edges)
-        agenda: list = [(-best[-1], 0, len(text), 0.0, None)]
+        best = self.forward(text)
+        agenda: list = [(-best[-1], len(text), 0, 0.0, None)]
         pushed, out = 0, []
-        while agenda and len(out) < n:
-            _, _, at, done, path = heapq.heappop(agenda)
+        while agenda:
+            _, at, _, done, path = agenda.pop(0)
             if at == 0:
-                ids: list[int] = []
-                while path:
-                    i, piece, path = path
-                    ids += self.ids_of(i, piece)
-                out.append((done, np.array(ids, "<u4").tobytes()))
+                out.append((done, self._spelled_out(text, path)))
                 continue
-            for start, score, i, piece in edges[at]:
+            for start, score, i in self.edges(text, at):
                 pushed += 1
-                heapq.heappush(agenda, (-(best[start] + done + score), pushed, start, done + score, (i, piece, path)))
+                insort(agenda, (-(best[start] + done + score), start, pushed, done + score, (i, start, path)))
+                del agenda[n - len(out) :]
         return out
 
+    def _spelled_out(self, text: str, path: tuple | None) -> bytes:
+        ids: list[int] = []
+        while path:
+            i, start, path = path
+            ids += self.ids_of(i, text[start])
+        return np.array(ids, "<u4").tobytes()
+
     def ids_of(self, i: int, piece: str) -> list[int]:
         """An unknown character becomes its bytes' pieces where the model has them."""
         if i != self.unknown_id or not self.byte_ids:
@@ -159,23 +173,28 @@ class Lattice:
         return [self.byte_ids[b] for b in piece.replace(SPACE, " ").encode("utf-8", "surrogatepass")]
 
     def list_of(self, word: str, n: int) -> list[tuple[float, bytes]]:
-        if (word, n) not in self.lists:
-            if len(self.lists) > self.limit // 8:
-                self.lists.clear()
-            self.lists[word, n] = self.search(word, n)
-        return self.lists[word, n]
+        if (word, n) in self.lists:
+            return self.lists[word, n]
+        found = self.search(word, n)
+        if len(word) <= MEMO_CHARS:
+            self.lists[word, n] = found
+            self.weight += sum(ENTRY + len(ids) for _, ids in found)
+        return found
 
     # --- many words at a time
 
-    def learn(self, words: list[str]) -> None:
-        """Puts ids, score and gap to the second best of each word into the memo."""
+    def learn(self, words: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """Puts ids, score and gap to the second best of each word into the memo; returns those of words too long for it."""
         short = sorted((w for w in words if len(w) < ARRAY_CHARS), key=lambda w: len(self.spelled(w)))
         for at in range(0, len(short), ARRAY_WORDS):
             self._learn_arrays(short[at : at + ARRAY_WORDS])
+        long = {}
         for word in words:
             if len(word) >= ARRAY_CHARS:
                 found = self.search(self.spelled(word), 2)
-                self.memo[word] = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+                (self.memo if len(word) <= MEMO_CHARS else long)[word] = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+        self.weight += sum(ENTRY + 5 * len(w) for w in words if len(w) <= MEMO_CHARS)
+        return long
 
     def _learn_arrays(self, keys: list[str]) -> None:
         words = list(map(self.spelled, keys))
@@ -278,13 +297,15 @@ class Lattice:
     def segment(self, texts: list[str], n: int) -> Iterator[list[tuple[float, bytes]]]:
         """The n best segmentations of each text, (score, ids); one without ids for an empty text."""
         parts = [self.words(t) for t in texts]
-        if len(self.memo) > self.limit:
+        if self.weight > self.limit:
             self.memo.clear()
+            self.lists.clear()
+            self.weight = 0
         met: set[str] = set()
         for words in parts:
             met.update(words)
-        self.learn([w for w in met if w not in self.memo])
-        get = self.memo.__getitem__
+        long = self.learn([w for w in met if w not in self.memo])
+        get = (self.memo | long).__getitem__ if long else self.memo.__getitem__
         for words in parts:
             ids, scores, gaps = zip(*map(get, words)) if words else ((), (), ())
             out = [(sum(scores), b"".join(ids))]
@@ -336,7 +357,7 @@ def _segment(path: str, n: int, digests: bool) -> Callable:
         pieces = lattice(path)
         for batch in batches:
             at = 0
-            for texts in chunks_of(batch.column(1)):
+            for texts in chunks_of(batch.column(1), TOGETHER):
                 texts = [t or "" for t in texts]
                 found = list(pieces.segment(texts, n))
                 ids = [f[0][1] for f in found]
@@ -373,7 +394,7 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "d
     """
     kind = docs.schema[id_col].dataType.simpleString()
     more = "ids_crc32 long, decoded_sha256 string, nbest_scores array<double>, nbest_crc32 array<long>" if digests else "ids array<int>, decoded string, others array<struct<score:double,ids:array<int>>>"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     return rows.mapInArrow(_segment(model_path, n, digests), f"id {kind}, n_pieces long, score double, round_trip boolean, {more}").withColumnRenamed("id", id_col)
 
 
@@ -386,4 +407,4 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pieces.decode(i or []) for i in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(column(id_col).alias("id"), column(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)

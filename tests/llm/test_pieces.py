@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.pieces import ARRAY_CHARS, Lattice, decode_pieces, encode_pieces
+from quarry.llm.pieces import ARRAY_CHARS, MEMO_CHARS, Lattice, decode_pieces, encode_pieces
 from quarry.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("piece_bpe_32k.model")
@@ -20,7 +20,7 @@ def every_path(lattice, text):
     """Scores of all segmentations."""
     ways = [[0.0]] + [None] * len(text)
     for end in range(1, len(text) + 1):
-        ways[end] = [a + score for start, score, _, _ in lattice.edges(text, end) for a in ways[start]]
+        ways[end] = [a + score for start, score, _ in lattice.edges(text, end) for a in ways[start]]
     return ways[-1]
 
 
@@ -51,6 +51,47 @@ def test_arrays_agree_with_the_search(lattice, word):
     assert sum(lattice.scores[p][0] for p in pieces_of(lattice, ids)) == pytest.approx(score)
 
 
+def kept_paths(lattice, text, n):
+    """Scores of the n best segmentations, by keeping the n best of every place."""
+    ways = [[0.0]]
+    for end in range(1, len(text) + 1):
+        ways.append(heapq.nlargest(n, [a + score for start, score, _ in lattice.edges(text, end) for a in ways[start]]))
+    return ways[-1]
+
+
+@pytest.mark.parametrize("size", [200, 600, 1001, 5000, 20_000])
+@pytest.mark.parametrize("unit", ["-", "#", "a", "ab", "=-", "日本", "aab"])
+def test_long_words_of_equal_scores(lattice, unit, size):
+    """Many orderings of the same pieces tie; the search opens no more than n hypotheses a place."""
+    import time
+
+    word = (unit * size)[:size]
+    before = time.time()
+    found = lattice.search("▁" + word, 2)
+    assert time.time() - before < 1
+    if size <= 1001:
+        lattice._learn_arrays([word])
+        ids, score, gap = lattice.memo.pop(word)
+        assert score == found[0][0] and gap == (found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+    [some] = lattice.segment([word], 4)
+    assert [s for s, _ in some] == kept_paths(lattice, "▁" + word, 4) and len({i for _, i in some}) == len(some)
+    assert all(lattice.decode(np.frombuffer(i, "<u4").tolist()) == word for _, i in some)
+
+
+@pytest.mark.parametrize("text", ["\n" + "#" * 300 + "\n", ("-" * 79 + "\nword\n") * 20, "x " + "-" * 600 + " y " + "-" * 1000, ("=" * 40 + " ") * 30])
+def test_rules_in_texts(lattice, text):
+    [found] = lattice.segment([text], 4)
+    assert [s for s, _ in found] == pytest.approx(kept_paths(lattice, "▁" + text.replace(" ", "▁"), 4))
+
+
+def test_long_words_never_stay():
+    own = Lattice(PATH, memo=200_000)
+    for k in range(30):
+        list(own.segment([f"{k} " + "".join(chr(97 + (i * i + k) % 26) for i in range(3000)) + f" w{k} " + " ".join(f"q{k}x{i}" for i in range(150))], 3))
+        assert own.weight <= 400_000
+    assert max(map(len, own.memo)) <= MEMO_CHARS and max(len(w) for w, _ in own.lists) <= MEMO_CHARS
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab ▁\n", max_size=12))
 def test_words_make_up_the_text(lattice, text):
