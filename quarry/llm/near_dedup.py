@@ -2,16 +2,21 @@
 
 Each document is a set of word shingles. A tree branches documents by selected minwise
 tokens: below a node go those that share the node's next minwise token. Nodes that are
-small are compared exhaustively, on full sets and all pairs; larger ones branch again;
-what is still large at the last level is cut into pairs of blocks that are compared in
-the same way, so no pair of a node is skipped. Independent trees are repeated until a
-pair at the threshold meets with the target recall: below the first level for all
-documents, down to the last level for those that a large node makes branch, which get
-further trees of their own. Nodes with the same members in several trees are compared once.
+small are compared exhaustively, on full sets and all pairs; larger ones branch again.
+Independent trees are repeated until a pair at the threshold meets with the target
+recall: below the first level for all documents, down to the last level for those that
+a large node makes branch, which get further trees of their own. Nodes with the same
+members in several trees are compared once.
+
+A node that is still large at the last level mostly holds copies of one template. Each of
+its documents goes to one block and meets that block and a few pivots of the node, which
+links what the template links. Only documents of such a node that are then in different
+components are compared further, in pairs of blocks whose sizes allow a link, so the
+work beyond one comparison a document grows with what the template doesn't link.
 
 Copies with the same words are one document here. A node gives each of its linked
-groups as memberships, never as pairs; components come from minima that alternate
-between groups and documents, both of bounded size.
+groups as memberships, never as pairs. Components come from whole components that hook
+to the least one they touch, and from pointer jumping along the hooks.
 """
 
 from __future__ import annotations
@@ -23,17 +28,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import alnum_words, chunks_of, drop_table, materialise, release, send_back, spaced_words
+from quarry.llm.common import WordHashes, alnum_words, chunks_of, column, drop_table, hot_keys, materialise, partitions, release, row_of, rows_back, send_back, spaced_words
 
 #: First and last level of a tree; documents and shingles of a small node; target recall.
-FIRST, LAST, NODE_DOCS, NODE_SHINGLES, RECALL = 2, 6, 1500, 2_000_000, 0.9995
-#: Words of which a worker remembers hashes.
-MEMO = 500_000
+FIRST, LAST, NODE_DOCS, NODE_SHINGLES, RECALL = 2, 6, 500, 1_000_000, 0.9995
+#: Documents that each block of a large node meets beside its own; hooks that are broadcast; jumps between two looks at the hooks.
+PIVOTS, BROADCAST_HOOKS, JUMPS = 8, 200_000, 4
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -64,14 +68,6 @@ class Rule:
         return spaced_words(text) if self.words == "space" else alnum_words(text)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _Q
     return x ^ (x >> np.uint64(31))
@@ -111,7 +107,7 @@ def _sketch(rule: Rule, trees: range) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        hashes = _Hashes()
+        hashes = WordHashes()
         for batch in batches:
             at = 0
             for texts in chunks_of(batch.column(1)):
@@ -192,7 +188,7 @@ def _compare(rule: Rule, id_type: pa.DataType) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        hashes, out = _Hashes(), []
+        hashes, out = WordHashes(), []
         for node, rows in groups(batches):
             keys, firsts, digests = shingle_sets([t for _, _, t in rows], rule, hashes)
             # a repeated id with another text isn't the row that is meant; a repeated row is the same again
@@ -221,18 +217,24 @@ def _roots(reps: DataFrame, trees: range) -> DataFrame:
 
 
 def _settle(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
-    """Memberships of the small nodes, and the rows of the large ones with docs and shingles (none: None)."""
+    """Memberships of the small nodes, and the rows of the large ones (none: None)."""
+    n = max(8, partitions(rows.sparkSession))
     sizes = rows.groupBy("node").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).cast("string").alias("members")).where("docs > 1")
     sizes = materialise(sizes, f"nodes-{label}")
     small = (F.col("docs") <= NODE_DOCS) & (F.col("shingles") <= NODE_SHINGLES)
-    once = sizes.where(small).groupBy("docs", "shingles", "members").agg(F.min("node").alias("node"))
-    leaves = rows.join(once.select("node"), "node").select("digest", "node")
-    large = sizes.where(~small)
-    return leaves, None if large.isEmpty() else rows.join(large, "node")
+    once = sizes.where(small).groupBy("docs", "shingles", "members").agg(F.min("node").alias("node")).select("node", F.lit(True).alias("leaf"))
+    large = sizes.where(~small).select("node", F.lit(False).alias("leaf"))
+    if large.isEmpty():
+        return rows.join(once, "node").select("digest", "node"), None
+    total = sizes.agg(F.sum("docs")).first()[0]
+    met = materialise(send_back(rows, "node", once.unionByName(large), hot_keys(sizes, total, n, "docs")), f"met-{label}")
+    return met.where("leaf").select("digest", "node"), met.where("NOT leaf").drop("leaf")
+
 
+def plant_trees(reps: DataFrame, rule: Rule, more: Callable[[DataFrame, range], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """Memberships (digest, node) of nodes to compare, and rows (digest, n, node) of those still large at the last level.
 
-def plant_trees(reps: DataFrame, rule: Rule, more: Callable[[DataFrame, range], DataFrame]) -> DataFrame:
-    """Memberships (digest, node) of nodes to compare. reps: digest, n, mins, one row a set.
+    reps: digest, n, mins, one row a set.
 
     Documents of a large node branch, so pairs there must agree on more minima. They get
     as many further trees as keep the recall at the last level; more(digests, trees) gives
@@ -248,33 +250,116 @@ def plant_trees(reps: DataFrame, rule: Rule, more: Callable[[DataFrame, range],
         rows = rows if further is None else rows.unionByName(further)
     for level in range(FIRST, LAST):
         if rows is None:
-            return found
+            return found, None
         rows = materialise(rows.select("digest", "n", "path", F.xxhash64("node", F.col("path")[level]).alias("node")), f"branch-{level}")
         leaves, rows = _settle(rows, f"{level + 1}")
         found = found.unionByName(leaves)
-    if rows is None:
-        return found
-    blocks = F.ceil(F.greatest(F.col("docs") * 2.0 / NODE_DOCS, F.col("shingles") * 2.0 / NODE_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("own", own).select("digest", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return found.unionByName(cut.select("digest", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")))
+    return found, None if rows is None else rows.select("digest", "n", "node")
+
+
+def _blocks_for(docs: Column, shingles: Column) -> Column:
+    """Blocks of which any two make a small node, about."""
+    return F.ceil(F.greatest(docs * 2.0 / NODE_DOCS, shingles * 2.0 / NODE_SHINGLES, F.lit(1.0))).cast("int")
+
+
+def _block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("digest"), blocks).cast("int")
+
+
+def blocks_with_pivots(large: DataFrame) -> DataFrame:
+    """Memberships (digest, node): each document of large nodes in one block of one of them, and pivots in all its blocks."""
+    n = max(8, partitions(large.sparkSession))
+    chosen = materialise(large.groupBy("digest", "n").agg(F.min("node").alias("node")), "chosen-nodes")
+    pivot = F.min(F.struct(F.xxhash64("digest", "node").alias("h"), "digest"))
+    mine = F.pmod(F.xxhash64("digest"), F.lit(PIVOTS))
+    facts = chosen.withColumn("mine", mine).groupBy("node", "mine").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), pivot.alias("pivot"))
+    nodes = facts.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"), F.collect_list("pivot.digest").alias("pivots"))
+    nodes = materialise(nodes.withColumn("blocks", _blocks_for(F.col("docs"), F.col("shingles"))), "large-nodes")
+    total = nodes.agg(F.sum("docs")).first()[0]
+    own = send_back(chosen, "node", nodes.select("node", "blocks"), hot_keys(nodes, total, n, "docs")).select("digest", "node", _block_of(F.col("blocks")).alias("block"))
+    pivots = nodes.select("node", F.explode("pivots").alias("digest"), "blocks").select("digest", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return own.unionByName(pivots).select("digest", F.xxhash64("node", "block", F.lit("pivots")).alias("node")).distinct()
+
+
+def unlinked_pairs(large: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Memberships (digest, node) of pairs of blocks that hold all pairs of a large node whose documents are in different components.
+
+    found: (digest, component). Beside the node's main component, the others meet one another
+    and the main one; blocks hold texts of like size, and only sizes that allow a link meet.
+    """
+    n = max(8, partitions(large.sparkSession))
+    label = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("alone "), F.hex("digest")))
+    rows = materialise(large.join(found, "digest", "left").select("digest", "n", "node", label.alias("label")), "large-labels")
+    per = rows.groupBy("node", "label").agg(F.count("*").alias("docs"))
+    nodes = materialise(per.groupBy("node").agg(F.sum("docs").alias("docs"), F.max_by("label", F.struct("docs", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1"), "large-mains")
+    total = nodes.agg(F.sum("docs")).first()[0] or 0
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99)) + 1e-9).cast("int")
+    sided = send_back(rows, "node", nodes.select("node", "main"), hot_keys(nodes, total, n, "docs")).select("digest", "n", "node", (F.col("label") == F.col("main")).alias("is_main"), size.alias("size"))
+    sided = materialise(sided, "large-sides")
+    keys = ["node", "is_main", "size"]
+    sizes = materialise(sided.groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).select(*keys, _blocks_for(F.col("docs"), F.col("shingles")).alias("blocks")), "large-blocks")
+    blocks = sizes.select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    name = F.struct("is_main", "size", "block")
+    a = blocks.where("NOT is_main").select("node", "size", name.alias("a"))
+    b = blocks.select("node", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"), name.alias("b"))
+    met = a.join(b, ["node", "size"]).where("b.is_main OR a <= b").select("node", "a", "b", F.xxhash64("node", "a", "b", F.lit("sides")).alias("pair"))
+    ends = met.select("node", F.explode(F.array("a", "b")).alias("own"), "pair").groupBy("node", "own.is_main", "own.size", "own.block").agg(F.collect_set("pair").alias("pairs"))
+    dealt = sided.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_HOOKS else sizes, keys).withColumn("block", _block_of(F.col("blocks")))
+    return dealt.join(ends, [*keys, "block"]).select("digest", F.explode("pairs").alias("node"))
+
+
+def _follow(hooks: DataFrame) -> DataFrame:
+    """Hooks (label, up) after one jump: to where up itself hooks."""
+    above = hooks.select(F.col("label").alias("up"), F.col("up").alias("top"))
+    return hooks.join(above, "up", "left").select("label", F.coalesce("top", "up").alias("up"))
 
 
 def components(groups: DataFrame) -> DataFrame:
     """(digest, component) of memberships (node, head, digest, id): the least id that can be reached.
 
-    Minima go from documents to groups and back until nothing changes. Groups are no
-    larger than nodes, or the texts of one id, and a document has a few groups, so no
-    window is hot while ids are not shared by many texts.
+    Each round, every component hooks to the least one that a group joins it to; hooks are
+    followed to their end by jumps that double, so a chain takes rounds by its logarithm.
+    Groups are no larger than nodes, so no window is hot.
     """
-    state = materialise(groups.select("node", "head", "digest", F.min("id").over(Window.partitionBy("digest")).alias("label")), "labels")
+    digests = groups.groupBy("digest").agg(F.min("id").alias("label"))
+    state = materialise(groups.select("node", "head", "digest").distinct().join(digests, "digest"), "labels")
     while True:
-        wide = state.withColumn("low", F.min("label").over(Window.partitionBy("node", "head")))
-        new = materialise(wide.select("node", "head", "digest", F.col("label").alias("old"), F.min("low").over(Window.partitionBy("digest")).alias("label")), "labels")
-        drop_table(state)
-        state = new.select("node", "head", "digest", "label")
-        if new.where("old != label").isEmpty():
+        low = state.select("label", F.min("label").over(Window.partitionBy("node", "head")).alias("up")).where("up < label")
+        hooks = materialise(low.groupBy("label").agg(F.min("up").alias("up")), "hooks")
+        n = hooks.count()
+        if not n:
             return state.select("digest", F.col("label").alias("component")).distinct()
+        while True:
+            further = hooks
+            for _ in range(JUMPS):
+                further = _follow(further)
+            further = materialise(further, "hooks")
+            same = further.join(hooks, ["label", "up"], "left_anti").isEmpty()
+            drop_table(hooks)
+            hooks = further
+            if same:
+                break
+        if n <= BROADCAST_HOOKS:
+            met = state.join(F.broadcast(hooks), "label", "left")
+        else:
+            met = send_back(state, "label", state.select("label").distinct().join(hooks, "label", "left"))
+        new = materialise(met.select("node", "head", "digest", F.coalesce("up", "label").alias("label")), "labels")
+        drop_table(state)
+        drop_table(hooks)
+        state = new
+
+
+def _texts_of_one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Groups (node, head, digest, id) that join the texts of an id: blocks of them, each with the same pivot."""
+    print_of = F.xxhash64("digest")
+    shared = rows.groupBy("id").agg(F.min(print_of).alias("low"), F.max(print_of).alias("high"), F.count("*").alias("docs")).where("low != high")
+    shared = materialise(shared.select("id", F.ceil(F.col("docs") / NODE_DOCS).cast("int").alias("blocks")), "shared-ids")
+    if shared.isEmpty():
+        return rows.limit(0).select(F.xxhash64("id").alias("node"), F.lit(b"").alias("head"), "digest", "id")
+    own = materialise(send_back(rows.select("id", "digest"), "id", shared), "texts-of-ids")
+    pivots = own.groupBy("id", "blocks").agg(F.min("digest").alias("digest")).select("id", "digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = own.select("id", "digest", _block_of(F.col("blocks")).alias("block")).unionByName(pivots)
+    return dealt.select(F.xxhash64("id", "block", F.lit("id")).alias("node"), F.lit(b"").alias("head"), "digest").distinct().join(classes.select("digest", "id"), "digest")
 
 
 def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,8 +375,8 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType
     arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[kind]
     sql = kind.simpleString()
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketched = f"id {sql}, n long, digest binary, mins array<bigint>"
+    named = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    sketched, groups_of = f"id {sql}, n long, digest binary, mins array<bigint>", f"node long, head binary, digest binary, id {sql}"
     narrow = materialise(named.mapInArrow(_sketch(rule, range(rule.trees)), sketched), "sketches")
     linkable = narrow.where("n > 0 AND id IS NOT NULL")
     classes = materialise(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
@@ -301,16 +386,23 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
         again = named.join(meant.select("id").distinct(), "id").select("id", "text").mapInArrow(_sketch(rule, trees), sketched)
         return again.join(meant, ["id", "digest"]).groupBy("digest").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
 
-    members = materialise(plant_trees(classes, rule, more), "members").groupBy("digest").agg(F.collect_set("node").alias("nodes"))
-    wanted = members.join(classes.select("digest", "id"), "digest")
-    texts = named.join(wanted, "id").select(F.explode("nodes").alias("node"), "id", "digest", "text")
-    sorted_texts = texts.repartition("node").sortWithinPartitions("node")
-    groups = sorted_texts.mapInArrow(_compare(rule, arrow), f"node long, head binary, digest binary, id {sql}")
-    # the texts of one id are a group of their own
-    print_of = F.xxhash64("digest")
-    shared = linkable.groupBy("id").agg(F.min(print_of).alias("low"), F.max(print_of).alias("high")).where("low != high").select("id")
-    same_id = linkable.join(shared, "id").select(F.xxhash64("id").alias("node"), F.lit(b"").alias("head"), "digest").distinct().join(classes.select("digest", "id"), "digest")
-    found = components(groups.unionByName(same_id))
+    def compared(members: DataFrame, label: str) -> DataFrame:
+        """Linked groups of memberships (digest, node): (node, head, digest, id)."""
+        nodes = members.groupBy("digest").agg(F.collect_set("node").alias("nodes")).join(classes.select("digest", "id"), "digest")
+        texts = named.join(nodes, "id").select(F.explode("nodes").alias("node"), "id", "digest", "text")
+        sorted_texts = texts.repartition("node").sortWithinPartitions("node")
+        return materialise(sorted_texts.mapInArrow(_compare(rule, arrow), groups_of), f"groups-{label}")
+
+    members, large = plant_trees(classes, rule, more)
+    if large is not None:
+        large = materialise(large, "large")
+        members = members.unionByName(blocks_with_pivots(large))
+    groups = compared(materialise(members, "members"), "nodes").unionByName(_texts_of_one_id(linkable, classes))
+    found = components(groups)
+    if large is not None:
+        rest = materialise(unlinked_pairs(large, found, rule.percent), "unlinked")
+        if not rest.isEmpty():
+            found = components(groups.unionByName(compared(rest, "unlinked")))
     labels = classes.select("digest", "id").join(found, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"))
     linked = send_back(linkable.select("id", "n", "digest"), "digest", labels)
     rest = narrow.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
@@ -320,5 +412,6 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
 
 def without_near_copies(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that near_dedup keeps."""
-    gone = near_dedup(docs, rule, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = near_dedup(docs, rule, id_col, text_col).where("NOT kept").select(column(id_col).alias("gone")).distinct()
+    rows = row_of(docs)
+    return rows_back(rows.join(gone, F.col("row")[id_col] == F.col("gone"), "left_anti"))

@@ -101,6 +101,51 @@ def test_chains_reach_their_smallest_id(spark):
     assert {r.component_id for r in found} == {951}
 
 
+@pytest.mark.parametrize("order", ["down", "up", "mixed"])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, order):
+    """A thousand groups of two in a row: whole components hook, and hooks are followed by jumps."""
+    n = 1000
+    ids = {"down": range(n, -1, -1), "up": range(n + 1), "mixed": random.Random(4).sample(range(n + 1), n + 1)}[order]
+    rows = [(k, b"h", b"%d" % k, ids[k]) for k in range(n)] + [(k, b"h", b"%d" % (k + 1), ids[k + 1]) for k in range(n)]
+    written, write = [], nd.materialise
+    monkeypatch.setattr(nd, "materialise", lambda df, label: written.append(label) or write(df, label))
+    found = nd.components(spark.createDataFrame(rows, "node long, head binary, digest binary, id int")).collect()
+    assert len(found) == n + 1 and {r.component for r in found} == {0}
+    assert written.count("labels") - 1 <= 12
+
+
+def test_a_template_is_compared_once_and_its_pairs_not_at_all(spark, monkeypatch):
+    """Memberships of a node that stays large grow with its documents; only what the template doesn't link is compared further."""
+    made = []
+    blocks, pairs = nd.blocks_with_pivots, nd.unlinked_pairs
+
+    def counted(f, name):
+        def run(*args):
+            out = f(*args)
+            made.append((name, out.count()))
+            return out
+
+        return run
+
+    monkeypatch.setattr(nd, "NODE_DOCS", 40)
+    monkeypatch.setattr(nd, "blocks_with_pivots", counted(blocks, "blocks"))
+    monkeypatch.setattr(nd, "unlinked_pairs", counted(pairs, "pairs"))
+    rows = near_copies(2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    rule = Rule(shingle=3, percent=80, words="space")
+    check(docs, rule)
+    sizes = dict(made)
+    assert sizes["blocks"] <= 2000 * (1 + nd.PIVOTS / 20) + 200 and sizes["pairs"] <= rule.deep_trees * 2000
+
+
+def test_an_id_that_holds_a_third_of_the_rows(spark):
+    """Its texts all differ; their groups are small, and all get the least id."""
+    rows = [(7, f"text number {i} of the same id with words w{i} x{i}") for i in range(1500)] + [(100 + i, f"other {i} a{i} b{i} c{i}") for i in range(3000)] + [(3, rows_text) for rows_text in ["text number 5 of the same id with words w5 x5"]]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id in (3, 7)} == {3}
+    assert all(r.component_id == r.doc_id for r in got if r.doc_id >= 100)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=8), min_size=2, max_size=12), st.integers(30, 100))
 def test_groups_are_those_of_all_pairs(sets, percent):
