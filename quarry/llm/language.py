@@ -4,6 +4,9 @@ Four kinds of evidence meet in one posterior: the likelihood of the whole text u
 character n-gram models, the language that markup or metadata declares, the address
 suffix, and the host. The priors of suffixes and hosts come from grouped aggregation over
 the whole corpus and are smoothed down a hierarchy: all documents, suffix, host.
+
+Texts are read by one pass: its evidence, without the text where only an id is asked for,
+is written once; priors and posteriors are made of that table.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, chunks_of, materialise, release, send_back
+from quarry.llm.common import ascii_lower, chunks_of, column, hot_keys, materialise, partitions, release, rows_back, send_back
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Function words that a model knows before any training.
@@ -29,8 +32,8 @@ SEEDS = {
 }
 #: Rows of the labelled sample and bytes of each, pseudo-count of an n-gram, bits of an n-gram's bucket, weight of the function words.
 TRAIN_ROWS, TRAIN_BYTES, ALPHA, BUCKET_BITS, SEED_WEIGHT = 1000, 20_000, 0.5, 17, 20
-#: Weight of an n-gram's log-likelihood (they overlap), and how far a text's may go at most either way.
-TEMPER, MOST = 0.5, 60.0
+#: Weight of an n-gram's log-likelihood (they overlap).
+TEMPER = 0.5
 #: How often a declared language is right; documents that a suffix's or host's prior counts as.
 DECLARED_RIGHT, SUFFIX_WEIGHT, HOST_WEIGHT = 0.9, 20.0, 20.0
 #: A document is kept with at least this posterior and share of known n-grams.
@@ -88,25 +91,27 @@ class TextModel:
         if len(full):
             starts = (np.cumsum(sizes) - sizes)[full]
             found = self.table[buckets(b"".join(parts) + b"  ")]
+            ends = np.cumsum(sizes)[full]
+            found[np.concatenate([ends - 2, ends - 1])] = 0.0  # what begins there goes on into the next text
             sums = np.add.reduceat(found, starts, axis=0, dtype=np.float64)
             scores = sums[:, :n]
-            out[full, :n] = np.clip(TEMPER * (scores - scores.max(1, keepdims=True)), -MOST, 0.0)
-            out[full, n] = sums[:, n] / sizes[full]
+            out[full, :n] = TEMPER * (scores - scores.max(1, keepdims=True))
+            out[full, n] = sums[:, n] / (sizes[full] - 2)
         return out
 
 
 def train_on(docs: DataFrame, text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> TextModel:
-    """Fits the text model on a bounded sample of labelled rows: those of small hash, texts of at most most_bytes.
+    """Fits the text model on a bounded sample of labelled rows: those whose text has a small hash, texts of at most most_bytes.
 
     About rows of them, at most twice as many, so 2 * rows * most_bytes bytes at most
     reach the driver. Without labels the function words alone count.
     """
-    if label_col not in docs.columns:
+    if not label_col or label_col not in docs.columns:
         return TextModel.train(iter(()), languages)
-    labelled = docs.where(F.col(label_col).isin(*languages))
+    labelled = docs.select(column(label_col).cast("string").alias("l"), column(text_col).alias("t")).where(F.col("l").isin(*languages))
     share = min(1.0, rows / max(1, labelled.count()))
-    small = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = labelled.where(small & (F.octet_length(text_col) <= most_bytes)).limit(2 * rows).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).collect()
+    small = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = labelled.where(small & (F.octet_length("t") <= most_bytes)).limit(2 * rows).collect()
     return TextModel.train(((r.l, r.t) for r in sample), languages)
 
 
@@ -144,33 +149,36 @@ def address(value: Column) -> tuple[Column, Column]:
     return host, F.when(host.contains("."), F.substring_index(host, ".", -1)).otherwise("")
 
 
-def identify(docs: DataFrame, model: TextModel | None = None, text_col: str = "text", declared_col: str | None = "lang", address_col: str | None = "source", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def identify(docs: DataFrame, model: TextModel | None = None, text_col: str = "text", declared_col: str | None = "lang", address_col: str | None = "source", languages: tuple[str, ...] = LANGUAGES, keep: str | None = None) -> DataFrame:
     """Each whole row of docs, as struct "row", with language, posterior, text_language, declared, host, known, accepted.
 
-    accepted is false for documents without words, with a posterior below
-    LEAST_POSTERIOR, or with less than LEAST_KNOWN of their n-grams known; language is
-    "und" for those. Null texts count as empty, null addresses as the empty host, unknown
-    declarations as none. Ties go to the language listed first. Repeated rows give
-    repeated results and count again in priors; an empty table gives an empty one;
-    columns of docs can have any names, they stay within "row".
+    With keep, "row" is that column alone, and no text is written. accepted is false for
+    documents without words, with a posterior below LEAST_POSTERIOR, or with less than
+    LEAST_KNOWN of their n-grams known; language is "und" for those. Null texts count as
+    empty, null addresses as the empty host, unknown declarations as none. Ties go to the
+    language listed first. Repeated rows give repeated results and count again in priors;
+    an empty table gives an empty one; columns of docs can have any names and types,
+    they stay within "row".
     """
     known_cols = set(docs.columns)
     declared_col = declared_col if declared_col in known_cols else None
     address_col = address_col if address_col in known_cols else None
     model = model or train_on(docs, text_col, declared_col or "", languages)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    host, suffix = address(F.col(address_col).cast("string") if address_col else F.lit(""))
-    declared = declared_language(text, F.col(declared_col).cast("string") if declared_col else None, languages)
+    text = F.coalesce(column(text_col), F.lit(""))
+    host, suffix = address(column(address_col).cast("string") if address_col else F.lit(""))
+    declared = declared_language(text, column(declared_col).cast("string") if declared_col else None, languages)
     right, wrong = math.log(DECLARED_RIGHT), math.log((1 - DECLARED_RIGHT) / (len(languages) - 1))
-    rows = docs.select(F.struct("*").alias("row"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"), text_evidence(docs, model, F.col(text_col)).alias("evidence"))
+    row = column(keep) if keep else F.struct(*map(column, docs.columns))
+    evidence = docs.select(row.alias("row"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"), text_evidence(docs, model, column(text_col)).alias("evidence"))
+    rows = materialise(evidence, "language-evidence")
     said = lambda name: F.when(F.col("declared").isNull(), 0.0).when(F.col("declared") == name, right).otherwise(wrong)
     logs = [F.col("evidence")[i] + said(name) for i, name in enumerate(languages)]
 
     # priors: expected documents of each language by host, then by suffix, then in all
     worth = F.col("evidence")[len(languages)] >= LEAST_KNOWN
     own = rows.select("host", "suffix", *[F.when(worth, p).otherwise(0.0).alias(name) for name, p in zip(languages, _softmax(logs))])
-    hosts = materialise(own.groupBy("host", "suffix").agg(*[F.sum(name).alias(name) for name in languages]), "host-languages")
-    whole = hosts.agg(*[F.sum(name).alias(name) for name in languages]).first()
+    hosts = materialise(own.groupBy("host", "suffix").agg(F.count("*").alias("docs"), *[F.sum(name).alias(name) for name in languages]), "host-languages")
+    whole = hosts.agg(F.count("*").alias("hosts"), F.sum("docs").alias("docs"), *[F.sum(name).alias(name) for name in languages]).first()
     total = sum(whole[name] or 0.0 for name in languages)
     base = [((whole[name] or 0.0) + 1.0) / (total + len(languages)) for name in languages]
 
@@ -181,14 +189,11 @@ def identify(docs: DataFrame, model: TextModel | None = None, text_col: str = "t
     suffix_prior = smoothed([F.col(f"s_{name}") for name in languages], [F.lit(b) for b in base], SUFFIX_WEIGHT)
     host_prior = smoothed([F.col(name) for name in languages], suffix_prior, HOST_WEIGHT)
     priors = hosts.join(by_suffix, "suffix").select("host", F.array(*host_prior).alias("prior"))
-    n_hosts = hosts.count()
-    if n_hosts <= BROADCAST_HOSTS:
-        met = rows.join(F.broadcast(priors), "host", "left")
-    else:
-        keyed = rows.select("host", rows["row"], "suffix", "declared", "evidence")
-        met = send_back(keyed, "host", keyed.select("host").distinct().join(priors, "host", "left"))
-    flat = F.array(*[F.lit(b) for b in base])
-    met = met.withColumn("prior", F.coalesce("prior", flat))
+    if whole["hosts"] <= BROADCAST_HOSTS:
+        met = rows.join(F.broadcast(priors), "host")
+    else:  # the same join, by keys that are salted where a host holds many rows
+        salts = max(8, partitions(docs.sparkSession))
+        met = send_back(rows, "host", priors, hot_keys(hosts.select("host", "docs"), whole["docs"], salts, "docs"))
     posterior = _softmax([x + F.log(F.col("prior")[i]) for i, x in enumerate(logs)])
     best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("i")) for i, p in enumerate(posterior)]))
     text_best = F.array_max(F.array(*[F.struct(F.col("evidence")[i].alias("p"), F.lit(-i).alias("i")) for i in range(len(languages))]))
@@ -203,9 +208,9 @@ def identify(docs: DataFrame, model: TextModel | None = None, text_col: str = "t
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row for each row of docs: id, language, posterior, text_language, declared, host, known, accepted (see identify)."""
-    return identify(docs, **options).select(F.col("row")[id_col].alias(id_col), "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared", "host", F.round("known", 6).alias("known"), "accepted")
+    return identify(docs, keep=id_col, **options).select(F.col("row").alias(id_col), "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared", "host", F.round("known", 6).alias("known"), "accepted")
 
 
 def with_known_language(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, whose language is accepted."""
-    return identify(docs, **options).where("accepted").select("row.*")
+    return rows_back(identify(docs, **options).where("accepted"))

@@ -1,7 +1,10 @@
+import math
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.language import LANGUAGES, TextModel, address, declared_language, identify, identify_languages, train_on, with_known_language
+from quarry.llm.language import ALPHA, BUCKET_BITS, DECLARED_RIGHT, HOST_WEIGHT, LANGUAGES, LEAST_KNOWN, LEAST_POSTERIOR, SEED_WEIGHT, SEEDS, SUFFIX_WEIGHT, TEMPER, TextModel, address, declared_language, identify, identify_languages, train_on, with_known_language
 
 
 def test_held_out_accuracy_of_the_text_model(small_docs):
@@ -53,9 +56,80 @@ def test_markup_address_and_host_turn_a_text_without_evidence(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in identify_languages(docs, model=TextModel.train(iter(()))).collect()}
     flat = {r.doc_id: r for r in identify_languages(docs.where("doc_id >= 200").withColumn("source", F.lit("")), model=TextModel.train(iter(()))).collect()}
-    assert got[200].posterior > 0 and got[200].host == "h0.de"
-    assert got[202].declared == "es" and got[203].declared == "es" and got[201].declared is None
-    assert got[200].language == "de" or got[200].posterior != flat[200].posterior
+    assert got[200].host == "h0.de" and got[200].language == "de" and got[200].posterior > flat[200].posterior + 0.1
+    assert got[201].declared is None and got[201].language == "fr" and got[201].posterior > flat[201].posterior + 0.1
+    assert got[202].declared == "es" and got[203].declared == "es" and got[202].posterior > 0.5
+
+
+def restated(rows, sample, languages=LANGUAGES):
+    """Text model, priors and posteriors in plain Python: {id: (language, posterior, known)}. rows: id, text, declared, address."""
+
+    def grams(text):
+        words = "".join(c if c.islower() and c.isascii() or not c.isascii() else " " for c in "".join(c.lower() if c.isascii() else c for c in text or "")).split()
+        letters = (" " + " ".join(words) + "  ").encode() if words else b""
+        return [((letters[i] << 16 | letters[i + 1] << 8 | letters[i + 2]) * 0x9E3779B1 % (1 << 32)) >> (32 - BUCKET_BITS) for i in range(len(letters) - 2)]
+
+    counts = {name: Counter() for name in languages}
+    for name in languages:
+        for g in grams(SEEDS[name]):
+            counts[name][g] += SEED_WEIGHT
+    for name, text in sample:
+        counts[name].update(grams(text))
+    sums = {name: sum(c.values()) for name, c in counts.items()}
+    seen = set().union(*counts.values())
+    weight = {g: {name: math.log((counts[name][g] + ALPHA) / (sums[name] + ALPHA * (1 << BUCKET_BITS))) for name in languages} for g in seen}
+
+    def norm(logs):
+        top = max(logs.values())
+        parts = {name: math.exp(x - top) for name, x in logs.items()}
+        return {name: x / sum(parts.values()) for name, x in parts.items()}
+
+    facts = {}
+    for i, text, declared, place in rows:
+        own = grams(text)
+        logs = {name: TEMPER * sum(weight[g][name] for g in own if g in seen) for name in languages}
+        known = sum(g in seen for g in own) / len(own) if own else 0.0
+        if declared in languages:
+            logs = {name: x + math.log(DECLARED_RIGHT if name == declared else (1 - DECLARED_RIGHT) / (len(languages) - 1)) for name, x in logs.items()}
+        host = (place or "").split("://")[-1].split("/")[0]
+        facts[i] = logs, known, host, host.rpartition(".")[2] if "." in host else ""
+    by_host, by_suffix, whole = defaultdict(Counter), defaultdict(Counter), Counter()
+    for logs, known, host, suffix in facts.values():
+        for table in (by_host[host], by_suffix[suffix], whole):
+            for name, p in norm(logs).items():
+                table[name] += p if known >= LEAST_KNOWN else 0.0
+    base = {name: (whole[name] + 1) / (sum(whole.values()) + len(languages)) for name in languages}
+    out = {}
+    for i, (logs, known, host, suffix) in facts.items():
+        mid = {name: (by_suffix[suffix][name] + SUFFIX_WEIGHT * base[name]) / (sum(by_suffix[suffix].values()) + SUFFIX_WEIGHT) for name in languages}
+        prior = {name: (by_host[host][name] + HOST_WEIGHT * mid[name]) / (sum(by_host[host].values()) + HOST_WEIGHT) for name in languages}
+        posterior = norm({name: x + math.log(prior[name]) for name, x in logs.items()})
+        best = max(languages, key=lambda name: posterior[name])
+        out[i] = best if known >= LEAST_KNOWN and posterior[best] >= LEAST_POSTERIOR else "und", posterior[best], known
+    return out
+
+
+@pytest.mark.parametrize("declared", [True, False])
+def test_posteriors_are_those_of_the_rule(spark, declared):
+    """Likelihoods, smoothed priors and posteriors of each row, with suffixes and hosts, recomputed in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 4000")
+    docs = docs.withColumn("source", F.concat(F.lit("http://h"), F.col("doc_id") % 7, F.lit("."), F.col("lang"), F.lit("/x"))).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 12)).otherwise(F.col("text")))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 11 == 0, "xx").otherwise(F.col("lang")))
+    rows = docs.select("doc_id", "text", "lang" if declared else F.lit(None), "source").collect()
+    sample = [(r.lang, r.text) for r in docs.where("doc_id % 2 = 1 AND lang IN ('de', 'en', 'es', 'fr')").collect()]
+    expected = restated([tuple(r) for r in rows], sample)
+    got = identify_languages(docs, model=TextModel.train(iter(sample)), declared_col="lang" if declared else None).collect()
+    assert len(got) == len(rows) > 100 and len({r.language for r in got}) >= 4
+    for r in got:
+        language, posterior, known = expected[r.doc_id]
+        assert (r.language, r.known) == (language, pytest.approx(known, abs=1e-6)) and r.posterior == pytest.approx(posterior, abs=1e-4)
+
+
+def test_fused_accuracy_without_any_declaration(small_docs):
+    """Trained on half of the sources; the other half is judged by texts, hosts and suffixes alone."""
+    train, held = small_docs.where("pmod(xxhash64(source), 2) = 0"), small_docs.where("pmod(xxhash64(source), 2) = 1")
+    rows = identify_languages(held, model=train_on(train), declared_col=None).join(held.select("doc_id", "lang"), "doc_id").where("accepted").collect()
+    assert len(rows) > 300 and sum(r.language == r.lang for r in rows) / len(rows) >= 0.97
 
 
 def test_addresses(spark):
