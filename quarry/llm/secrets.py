@@ -1,131 +1,130 @@
 """Secret scan in DataFrame operations alone, with corpus-wide ownership frequency.
 
-Spans come from splitting a text by a kind's pattern: the lengths of what lies between
-matches and of the matches add up to offsets. Each match's hash is then counted over
-the distinct repositories and owners that hold it: a string that many owners share is a
-copied example, one that a single owner holds looks live.
+A text is split by a kind's pattern: the lengths of what lies between matches, and of
+the matches, are its places. Places become rows, and running sums over the rows of a
+document are offsets, so the work grows with the matches alone. Each match's hash is
+then counted over the distinct repositories and owners that hold it: a string that many
+owners share is a copied example, one that a single owner holds looks live.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, send_back
+from quarry.llm.common import column, materialise, send_back
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A pattern, the group that is the secret, characters that it has at least, a string that every match has, and what is no part of the secret."""
+
+    pattern: str
+    group: int
+    least: int
+    has: str = ""
+    dropped: str | None = None
 
-#: Base kinds: pattern, group that is the secret, characters that it has at least.
+
+#: Base kinds.
 BASE = {
-    "assign": (r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", 2, 6),
-    "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]{24,}", 0, 24),
+    "assign": Kind(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", 2, 6),
+    "access": Kind(r"AKIA[A-Z0-9]+", 0, 20, "AKIA"),
+    "hex": Kind(r"[0-9a-f]{24,}", 0, 24),
 }
-#: White space as it stands in a key or escaped in a string literal; the end of a key; what is left of one that is cut off.
-_SPACE, _KEY_END = r"(?:\s|\\[nrt])", r"-----END [A-Z ]{0,30}PRIVATE KEY-----"
+#: White space as it stands in a key or escaped in a string literal; the words before "PRIVATE KEY"; the end of a key; what is left of one that is cut off.
+_SPACE, _WORDS = r"(?:\s|\\[nrt])", "(?:(?!PRIVATE KEY)[A-Z0-9]+ )*+"
+_KEY_END = rf"-----END {_WORDS}PRIVATE KEY-----"
 _KEY_LINES = rf"(?:{_SPACE}++(?:(?:Proc-Type|DEK-Info): [A-Za-z0-9,-]++|[A-Za-z0-9+/=]{{16,}}+))*+"
 #: Kinds that the method adds. The secret of a key is its body, without white space.
 ADDED = {
-    "private_key": (rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----((?:[^-]++|-(?!----))*+(?={_KEY_END})|{_KEY_LINES})(?:{_KEY_END})?", 1, 1, _SPACE),
-    "forge": (r"(?:ghp|gho|ghs|ghu|glpat)[_-][A-Za-z0-9_-]{20,}", 0, 24),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    "url_password": (r"[a-z][a-z0-9+.-]{1,15}://[^\s:@/]++:[^\s:@/]{3,}+@", 0, 8),
+    "private_key": Kind(rf"-----BEGIN {_WORDS}PRIVATE KEY-----((?:[^-]++|-(?!----))*+(?={_KEY_END})|{_KEY_LINES})(?:{_KEY_END})?", 1, 1, "PRIVATE KEY-----", _SPACE),
+    "forge": Kind(r"(?:ghp|gho|ghs|ghu|glpat)[_-][A-Za-z0-9_-]{20,}", 0, 24),
+    "jwt": Kind(r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", 0, 28, "eyJ"),
+    "url_password": Kind(r"[a-z][a-z0-9+.-]++://[^\s:@/]++:[^\s:@/]{3,}+@", 0, 8, "://"),
 }
 #: A secret that at least so many owners hold is an example.
 EXAMPLE_OWNERS = 3
 
-SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,hash:string>"
+KINDS = BASE | ADDED
+PLACES = "array<struct<rank:int,nth:int,gap:bigint,size:bigint,hash:string>>"
 
 
-def kind_spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, dropped: str | None = None) -> Column:
-    """Spans of a kind: leftmost matches that don't overlap, those with too short a secret dropped.
+def places(text: Column, rank: int, kind: Kind) -> Column:
+    """The leftmost matches of a kind that don't overlap, in order: characters before each and after the last one, its own, its secret's hash.
 
-    Offsets are code points, the end exclusive. The secret is hashed without what matches
-    dropped; where nothing else is in it, the whole match stands for it.
+    The hash is null where the secret is too short. It is taken without what matches
+    dropped; where nothing else is in the secret, the whole match stands for it.
     """
 
-    def secret(m: Column) -> Column:
-        if dropped is None:
-            return m["secret"]
-        return F.coalesce(F.nullif(F.regexp_replace(m["secret"], dropped, ""), F.lit("")), m["whole"])
+    def secret(whole: Column) -> Column:
+        own = F.regexp_extract(whole, kind.pattern, kind.group) if kind.group else whole
+        return own if kind.dropped is None else F.coalesce(F.nullif(F.regexp_replace(own, kind.dropped, ""), F.lit("")), whole)
 
-    places = F.zip_with(
-        F.split(text, pattern, -1),
-        F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("secret")),
-        lambda gap, m: F.struct(F.char_length(gap).cast("bigint").alias("gap"), F.char_length(m["whole"]).cast("bigint").alias("size"), secret(m).alias("secret")),
-    )
-    empty = F.lit(None).cast(f"array<{SPAN}>")
-    folded = F.aggregate(
-        places,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.coalesce(empty, F.array().cast(f"array<{SPAN}>")).alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.coalesce(p["size"], F.lit(0))).alias("at"),
-            F.when(
-                F.char_length(p["secret"]) >= least,
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + p["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (acc["at"] + p["gap"] + p["size"]).alias("end"), F.sha2(p["secret"], 256).alias("hash")).cast(SPAN)),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    found = F.zip_with(
+        F.split(text, kind.pattern, -1),
+        F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: F.struct(F.char_length(m).cast("bigint").alias("size"), secret(m).alias("secret"))),
+        lambda gap, m: F.struct(F.char_length(gap).cast("bigint").alias("gap"), m["size"].alias("size"), F.when(F.char_length(m["secret"]) >= kind.least, F.sha2(m["secret"], 256)).alias("hash")),
     )
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(f"array<{SPAN}>"))
+    rows = F.transform(found, lambda p, i: F.struct(F.lit(rank).alias("rank"), i.alias("nth"), p["gap"].alias("gap"), p["size"].alias("size"), p["hash"].alias("hash"))).cast(PLACES)
+    met = text.rlike(kind.pattern)
+    return F.when(F.contains(text, F.lit(kind.has)) & met if kind.has else met, F.filter(rows, lambda p: p["size"].isNotNull())).otherwise(F.array().cast(PLACES))
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
+def find_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str | None = "lang") -> DataFrame:
+    """row, id, owner, repo, places: one row for each row of docs, without its text.
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str | None = "lang") -> DataFrame:
-    """Adds no text: id, owner, repo, n_assign, n_access, n_hex, base_spans, all_spans.
-
-    Spans of all kinds are sorted by start, then kind as listed. A null text counts as
-    empty. Owners and repositories may be null: together they count as one more.
+    A null text counts as empty. Owners and repositories may be null: together they count
+    as one more. row is a number of its own for each row.
     """
+    whose = F.coalesce(column(owner).cast("string"), F.lit(""))
     named = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
-        F.concat_ws("/", F.coalesce(F.col(owner).cast("string"), F.lit("")), F.coalesce(F.col(repo).cast("string"), F.lit("")) if repo else F.lit("")).alias("repo"),
-    )
-    kinds = BASE | ADDED
-    cols = [kind_spans(F.col("text"), kind, i, *rule).alias(kind) for i, (kind, rule) in enumerate(kinds.items())]
-    found = named.select("id", "owner", "repo", *cols)
-    return found.select(
-        "id", "owner", "repo",
-        *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in BASE],
-        F.array_sort(F.concat(*BASE)).alias("base_spans"),
-        F.array_sort(F.concat(*kinds)).alias("all_spans"),
+        column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"), whose.alias("owner"),
+        F.concat_ws("/", whose, F.coalesce(column(repo).cast("string"), F.lit("")) if repo else F.lit("")).alias("repo"),
     )
+    found = F.concat(*[places(F.col("text"), i, kind) for i, kind in enumerate(KINDS.values())])
+    return named.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repo", found.alias("places"))
+
+
+def _joined(spans: Column) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str | None = "lang", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row for each row of docs: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, max_owners, max_repos.
 
-    n_live and n_example count the spans whose secret fewer than, or at least,
+    Spans are sorted by start, then kind as listed; offsets are code points, the end
+    exclusive. n_live and n_example count the spans whose secret fewer than, or at least,
     example_owners distinct owners hold; max_owners is the most owners of a span's
     secret (0 without spans). A secret that occurs twice in a row counts twice.
     Repeated rows give repeated results; an empty table gives an empty one; null ids
-    are kept. Documents without spans never meet a shuffle of secrets: hashes are
+    are kept. Documents without matches never meet a shuffle of places: hashes are
     combined by (hash, owner, repository) in each task, merged, and sent back by salted keys.
     """
-    rows = materialise(find_secrets(docs, id_col, text_col, owner, repo).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
-    spans = rows.where("size(all_spans) > 0").select("row", "owner", "repo", F.explode("all_spans.hash").alias("hash"))
+    rows = materialise(find_places(docs, id_col, text_col, owner, repo), "secret-places")
+    every = rows.where("size(places) > 0").select("row", "owner", "repo", F.explode("places").alias("p")).repartition("row")
+    end = F.sum(F.col("p.gap") + F.col("p.size")).over(Window.partitionBy("row", "p.rank").orderBy("p.nth"))
+    spans = every.select("row", "owner", "repo", "p.rank", (end - F.col("p.size")).alias("start"), end.alias("end"), "p.hash").where("hash IS NOT NULL")
+    spans = materialise(spans, "secret-spans")
     holders = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = holders.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     facts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = F.col("owners") < example_owners
-    judged = (
-        send_back(spans.select("row", "hash"), "hash", facts)
-        .groupBy("row")
-        .agg(F.sum(live.cast("bigint")).alias("n_live"), F.sum((~live).cast("bigint")).alias("n_example"), F.max("owners").alias("max_owners"), F.max("repos").alias("max_repos"))
-    )
-    none = F.lit(0).cast("bigint")
-    with_spans = rows.where("size(all_spans) > 0").join(judged, "row")
-    without = rows.where("size(all_spans) = 0").select("*", *[none.alias(c) for c in ("n_live", "n_example", "max_owners", "max_repos")])
-    return with_spans.unionByName(without).select(
-        F.col("id").alias(id_col), *[f"n_{kind}" for kind in BASE],
-        F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("all_spans")).alias("spans"),
-        "n_live", "n_example", "max_owners", "max_repos",
+    live = (F.col("owners") < example_owners).cast("bigint")
+    span = F.struct("start", "rank", "end")
+    n_base = [F.sum((F.col("rank") == i).cast("bigint")).alias(f"n_{kind}") for i, kind in enumerate(BASE)]
+    told = send_back(spans.select("row", "rank", "start", "end", "hash"), "hash", facts).groupBy("row").agg(
+        *n_base, F.array_sort(F.collect_list(F.when(F.col("rank") < len(BASE), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("every"),
+        F.sum(live).alias("n_live"), F.sum(1 - live).alias("n_example"), F.max("owners").alias("max_owners"), F.max("repos").alias("max_repos"),
     )
+    out = [*[f"n_{kind}" for kind in BASE], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"), "n_live", "n_example", "max_owners", "max_repos"]
+    with_spans = rows.where("size(places) > 0").select("row", "id").join(told, "row", "left").na.fill(0, [*[f"n_{kind}" for kind in BASE], "n_live", "n_example", "max_owners", "max_repos"])
+    none = "array<struct<start:bigint,rank:int,end:bigint>>"
+    with_spans = with_spans.withColumns({c: F.coalesce(c, F.array().cast(none)) for c in ("base", "every")}).select(F.col("id").alias(id_col), *out)
+    zero = F.lit(0).cast("bigint")
+    without = rows.where("size(places) = 0").select(
+        F.col("id").alias(id_col), *[zero.alias(f"n_{kind}") for kind in BASE], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), *[zero.alias(c) for c in ("n_live", "n_example", "max_owners", "max_repos")]
+    )
+    return with_spans.unionByName(without)

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from quarry.llm.secrets import ADDED, BASE, scan_secrets
+from quarry.llm.secrets import ADDED, BASE, EXAMPLE_OWNERS, scan_secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 KINDS = list(BASE) + list(ADDED)
@@ -90,3 +90,41 @@ def test_long_credentials_in_urls(spark, user, password):
     own = spark.createDataFrame([(0, text, "s", "l"), (1, "a://" * 20_000 + "z" * 50_000, "s", "l")], "doc_id long, text string, source string, lang string")
     got = {r.doc_id: r.spans for r in scan_secrets(own).collect()}
     assert got[0] == f"url_password:23:{text.index('@') + 1}" and got[1] == ""
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    """Offsets are running sums, so the work grows with the matches."""
+    import time
+
+    n = 100_000
+    text = "token=abcdef%06d " * n % tuple(range(n))
+    own = spark.createDataFrame([(0, text, "s", "l")], "doc_id long, text string, source string, lang string")
+    before = time.time()
+    [row] = scan_secrets(own).collect()
+    assert time.time() - before < 60
+    assert (row.n_assign, row.n_live, row.max_owners) == (n, n, 1) and (row.doc_id, row.n_assign, row.n_access, row.n_hex, row.base_sha256) == (0, *brute(text))
+
+
+def test_ownership_on_whole_tables(small_docs):
+    """Counts of owners and repositories, recomputed from the spans."""
+    from collections import defaultdict
+
+    docs = {r.doc_id: r for r in small_docs.collect()}
+    got = scan_secrets(small_docs).collect()
+    owners, repos, own = defaultdict(set), defaultdict(set), {}
+    for r in got:
+        text, found = docs[r.doc_id].text or "", []
+        for span in filter(None, r.spans.split(",")):
+            kind, a, b = span.split(":")
+            whole = text[int(a) : int(b)]
+            found.append(ASSIGN.fullmatch(whole)[2] if kind == "assign" else re.sub(r"\s|-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----", "", whole) or whole if kind == "private_key" else whole)
+        for secret in found:
+            owners[secret].add(docs[r.doc_id].source)
+            repos[secret].add((docs[r.doc_id].source, docs[r.doc_id].lang))
+        own[r.doc_id] = found
+    assert sum(map(len, own.values())) > 20
+    for r in got:
+        found = own[r.doc_id]
+        live = sum(len(owners[s]) < EXAMPLE_OWNERS for s in found)
+        assert (r.n_live, r.n_example) == (live, len(found) - live)
+        assert (r.max_owners, r.max_repos) == (max((len(owners[s]) for s in found), default=0), max((len(repos[s]) for s in found), default=0))
