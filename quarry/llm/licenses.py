@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, alnum_words
+from quarry.llm.common import ascii_lower, alnum_words, column
 
 #: Base phrases, in words, and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -37,7 +37,7 @@ IDENTIFIERS = {
     "lgpl-3.0": ("lgpl", 0.5), "cc-by-sa-4.0": ("cc-by-sa", 0.4), "gpl-2.0": ("gpl-2", 0.3), "gpl-3.0": ("gpl-3", 0.3), "agpl-3.0": ("agpl-3", 0.2), "cc-by-nc-4.0": ("cc-by-nc", 0.1), "cc-by-nd-4.0": ("cc-by-nd", 0.1),
 }
 #: Freedom by label, for notices; exceptions loosen a licence by this much.
-FREEDOM = {label: free for label, free in IDENTIFIERS.values()} | {"proprietary": 0.0}
+FREEDOM = {label: free for label, free in IDENTIFIERS.values()} | {"proprietary": 0.05}
 EXCEPTION = 0.2
 UNKNOWN = 0.5
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
@@ -111,7 +111,7 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
             operators.append(t)
             exception = t == "with"
         else:
-            name = t.removesuffix("+").removesuffix("-only").removesuffix("-or-later")
+            name = t.rstrip(".:").removesuffix("+").removesuffix("-only").removesuffix("-or-later")
             label, free = IDENTIFIERS.get(name, (f"other:{name}", UNKNOWN))
             values.append(([], 0.0) if exception else ([label], free))
             exception = False
@@ -133,16 +133,19 @@ class Scanner:
 
     def __init__(self):
         # a space on either side, so that matches begin and end with words
-        self.phrases = _automaton({f" {p} ": (len(p), label, p in BASE_PHRASES) for p, label in (NOTICE_PHRASES | BASE_PHRASES).items()})
+        self.phrases = _automaton({f" {p} ": (p.count(" ") + 1, label, p in BASE_PHRASES) for p, label in (NOTICE_PHRASES | BASE_PHRASES).items()})
         self.tags = _automaton({t: len(t) for t in TAGS})
 
     def scan(self, text: str | None) -> dict:
         words = alnum_words(text)
         flat = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
         base, found, starts, free = [], set(), [], []
+        at = spaces = 0  # matches come in order of their ends, so each space is counted once
         for end, (size, label, is_base) in self.phrases.iter(flat):
             if is_base:
-                starts.append(flat.count(" ", 0, end - size - 1) if end - size - 1 else 0)
+                spaces += flat.count(" ", at, end + 1)
+                at = end + 1
+                starts.append(spaces - 1 - size)
                 base.append(label)
             else:
                 found.add(label)
@@ -184,10 +187,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_base counts all places of base phrases, overlapping ones too; first_word and
     last_word are their smallest and largest first words (null without any). labels
     adds other notices and the identifiers of tagged expressions; score is the freedom
-    of use that the strictest finding leaves (1 free, 0 none; 0 without findings).
+    of use that the strictest finding leaves (1 free, 0.05 proprietary); 0 says that
+    nothing was found.
     Null and empty texts have no words. Rows are independent: repeated rows and ids
     give repeated results. Only id and text are read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan(), f"id {kind}, " + ", ".join(f"{name} {sql}" for name, _, sql in _OUT))
+    out = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(_scan(), f"id {kind}, " + ", ".join(f"{name} {sql}" for name, _, sql in _OUT))
     return out.withColumnRenamed("id", id_col)
