@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import files
-from quarry.llm.common import chunks_of, held, materialise, scratch_path
+from quarry.llm.common import chunks_of, column, held, materialise, qualified, scratch_path
 
 #: File format.
 MAGIC, BLOCK_TOKENS, STRIDE, MAX_BITS = b"QTOK1\n", 1 << 16, 256, 20
@@ -33,8 +33,8 @@ MAGIC, BLOCK_TOKENS, STRIDE, MAX_BITS = b"QTOK1\n", 1 << 16, 256, 20
 AT_ONCE = 16
 #: Ids in transit: two bytes where the vocabulary allows it, else four.
 ID_TYPES = {False: ("<u2", "H"), True: ("<u4", "I")}
-#: Entries of a worker's memo of encoded words; it starts anew beyond that.
-MEMO = 1_000_000
+#: Bytes of a worker's memo of encoded words, about; it starts anew beyond that. Longest word that it keeps, and what an entry takes beside its characters.
+MEMO_BYTES, MEMO_CHARS, ENTRY = 160 << 20, 64, 200
 
 
 # --- encoding of texts ------------------------------------------------------
@@ -54,12 +54,12 @@ class WordMemo(dict):
     #: Letters of all Unicode versions.
     PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ƺ]+")
 
-    def __init__(self, path: str, limit: int = MEMO):
+    def __init__(self, path: str, limit: int = MEMO_BYTES):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.weight = Tokenizer.from_file(path), limit, 0
         self.model = self.tokenizer.model
         self.dtype, self.code = ID_TYPES[self.tokenizer.get_vocab_size() > 1 << 16]
         kind = self.tokenizer.pre_tokenizer
@@ -90,15 +90,18 @@ class WordMemo(dict):
             ids = self[key[:-1]] + self.marks[key[-1]]
         else:
             ids = self.newline + self.whole([word])[0] if first else self.whole([" " + word])[0]
-        self[key] = ids
+        if len(key) <= MEMO_CHARS:
+            self[key] = ids
+            self.weight += ENTRY + len(key) + len(ids)
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype."""
         if not self.cuts:
             return self.whole(texts)
-        if len(self) > self.limit:
+        if self.weight > self.limit:
             self.clear()
+            self.weight = 0
         get, skip, out = self.__getitem__, len(self.newline), []
         for text in texts:
             flat = text.replace("\n", " ")
@@ -235,7 +238,7 @@ class Decoder:
 
 
 def write_file(stream, lengths: np.ndarray, codes: np.ndarray, docs: Iterator[tuple[object, np.ndarray]]) -> tuple[int, int]:
-    """Writes documents (id, ids); returns their number and the number of ids.
+    """Writes documents (id, ids); returns their number and the number of ids. The ids of a block at most are in memory.
 
     Layout: magic; code lengths (size, zlib); blocks; footer (JSON, zlib); its size.
     A block holds whole runs of ids, document borders aside: the footer has each
@@ -323,16 +326,19 @@ def _count(dtype: str) -> Callable:
 def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
     """(id, ids): the ids of each whole text and the end id, as bytes; null text counts as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_encode_rows(tokenizer_path, end_id), f"id {kind}, ids binary")
+    return docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(_encode_rows(tokenizer_path, end_id), f"id {kind}, ids binary")
 
 
 def write_token_files(encoded: DataFrame, folder: str, dtype: str = "<u4", files_of_bytes: int = 64 << 20) -> DataFrame:
     """Writes (id, ids as bytes of dtype) as token files in ascending id order, nulls first; returns the manifest.
 
     Manifest: file_no, uri, n_docs, n_tokens, base (ids of all files before). Ranges of
-    ids are dealt to tasks, one file a task; rows of one id stay together in any order.
+    ids are dealt to tasks; the rows of one id come one after another in any order, and
+    may be dealt to several tasks. A task begins another file behind the document that
+    fills one.
     """
     spark = encoded.sparkSession
+    folder = qualified(spark, folder)
     counts = encoded.select("ids").mapInArrow(_count(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     top = max((r.token for r in counts), default=0)
     table = np.zeros(top + 1, np.int64)
@@ -340,22 +346,33 @@ def write_token_files(encoded: DataFrame, folder: str, dtype: str = "<u4", files
         table[r.token] = r.n
     lengths = code_lengths(table)
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
-    n_files = max(1, min(int(table.sum() * 4 // files_of_bytes) + 1, 1 << 16), spark.sparkContext.defaultParallelism)
+    n_tasks = max(int(table.sum() * 4 // files_of_bytes) + 1, spark.sparkContext.defaultParallelism)
+    most = max(1, files_of_bytes // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = TaskContext.get().partitionId()
         rows = ((i.as_py(), np.frombuffer(x.as_py(), dtype)) for b in batches for i, x in zip(b.column(0), b.column(1)))
-        first = next(rows, None)
-        if first is None:
-            return
-        with files.create(folder, f"part-{no:05d}", ".qtok") as (uri, stream):
-            n_docs, n_tokens = write_file(stream, *shared.value, (x for some in ([first], rows) for x in some))
-        yield pa.RecordBatch.from_pylist([{"file_no": no, "uri": uri, "n_docs": n_docs, "n_tokens": n_tokens}])
-
-    written = encoded.repartitionByRange(n_files, "id").sortWithinPartitions("id").mapInArrow(run, "file_no long, uri string, n_docs long, n_tokens long")
+        nth, row = 0, next(rows, None)
+
+        def one_file() -> Iterator[tuple[object, np.ndarray]]:
+            nonlocal row
+            size = 0
+            while row is not None and size < most:
+                size += len(row[1])
+                yield row
+                row = next(rows, None)
+
+        while row is not None:
+            with files.create(folder, f"part-{no:05d}-{nth:05d}", ".qtok") as (uri, stream):
+                n_docs, n_tokens = write_file(stream, *shared.value, one_file())
+            yield pa.RecordBatch.from_pylist([{"task": no, "nth": nth, "uri": uri, "n_docs": n_docs, "n_tokens": n_tokens}])
+            nth += 1
+
+    placed = encoded.withColumn("place", F.monotonically_increasing_id())  # so that an id of many rows is dealt to several tasks
+    written = placed.repartitionByRange(n_tasks, "id", "place").sortWithinPartitions("id", "place").select("id", "ids").mapInArrow(run, "task long, nth long, uri string, n_docs long, n_tokens long")
     rows, base = [], 0
-    for r in sorted(materialise(written, "token-manifest").collect(), key=lambda r: r.file_no):  # a row a file
-        rows.append((r.file_no, r.uri, r.n_docs, r.n_tokens, base))
+    for i, r in enumerate(sorted(materialise(written, "token-manifest").collect(), key=lambda r: (r.task, r.nth))):  # a row a file
+        rows.append((i, r.uri, r.n_docs, r.n_tokens, base))
         base += r.n_tokens
     return spark.createDataFrame(rows, "file_no long, uri string, n_docs long, n_tokens long, base long")
 
@@ -378,8 +395,7 @@ def read_token_files(manifest: DataFrame, id_type: str = "bigint", with_ids: boo
 
     ids = pa.string() if id_type == "string" else pa.int64()
     schema = pa.schema([("id", ids), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
-    n = max(1, min(manifest.count(), 10_000))
-    return manifest.repartition(n).mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def token_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, folder: str | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quarry.llm.common import scratch_path
 from quarry.llm.queries import tokenizer_path
-from quarry.llm.token_files import STRIDE, WordMemo, canonical_codes, code_lengths, encode_corpus, id_type_of, read_file, read_token_files, token_corpus, write_file, write_token_files
+from quarry.llm.token_files import MEMO_CHARS, STRIDE, WordMemo, canonical_codes, code_lengths, encode_corpus, id_type_of, read_file, read_token_files, token_corpus, write_file, write_token_files
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -68,6 +69,26 @@ def test_whole_table(spark, tokenizer, small_docs, tmp_path):
     assert [with_ids[i] for i, _ in rows] == [[*x, 2] for x in library(tokenizer, [t for _, t in rows])]
 
 
+def test_an_id_that_holds_most_rows_is_dealt_to_several_files(spark, tokenizer):
+    """Null ids alone: their rows part, files stay small, and places follow one another."""
+    docs = spark.range(4000).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('text ', id % 50) AS text")
+    encoded = encode_corpus(docs, PATH)
+    manifest = write_token_files(encoded, scratch_path(spark, "hot"), id_type_of(PATH), files_of_bytes=4000).collect()
+    assert len(manifest) >= 10 and max(m.n_docs for m in manifest) <= 1000
+    rows = sorted(read_token_files(spark.createDataFrame(manifest)).collect(), key=lambda r: r.start)
+    assert len(rows) == 4000 and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+
+
+def test_long_words_never_stay(memo, tokenizer):
+    texts = [f"a {chr(97 + i) * 10_000} b{i}" for i in range(20)]
+    assert [np.frombuffer(x, memo.dtype).tolist() for x in memo.encode(texts)] == library(tokenizer, texts)
+    assert max(map(len, memo)) <= MEMO_CHARS + 1
+    small = WordMemo(PATH, limit=100_000)
+    for k in range(20):
+        small.encode([" ".join(f"w{k}x{i}" for i in range(200))])
+        assert small.weight <= 100_000 + 200 * 300
+
+
 def kraft(lengths):
     return sum(2.0 ** -int(n) for n in lengths if n)
 
