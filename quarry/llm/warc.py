@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import files
-from quarry.llm.common import materialise, scratch_path, send_back
+from quarry.llm.common import column, hot_keys, materialise, partitions, qualified, scratch_path, send_back
 
 #: Compressed bytes after which a task begins another archive; bytes read at a time.
 ROLL, CHUNK = 64 << 20, 1 << 16
 END = b"\r\n\r\n"
+#: Bytes that a header may have.
+MOST_HEADER = 256 << 20
 _NAME = "<urn:page:{}>"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -54,54 +56,113 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
 
 @dataclass
 class Record:
-    headers: dict[str, str]
-    block: bytes = field(repr=False)
+    """A record's headers, those of its HTTP message, what the payload's length and digest are, and the payload if it was kept."""
 
-    @property
-    def http(self) -> tuple[dict[str, str], bytes]:
-        head, _, payload = self.block.partition(END)
-        lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-        return {k.strip().lower(): v.strip() for k, _, v in lines}, payload
+    headers: dict[str, str]
+    http: dict[str, str]
+    n_payload: int
+    payload_digest: str
+    payload: bytes | None = field(default=None, repr=False)
 
     def name(self, header: str) -> str | None:
         value = self.headers.get(header)
         return None if value is None else unquote(value[len("<urn:page:") : -1])
 
 
-def members(stream, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The contents of a stream's gzip members, inflated bit by bit as bytes arrive."""
+def members(stream, chunk: int = CHUNK) -> Iterator[Iterator[bytes]]:
+    """The stream's gzip members, each as pieces that are inflated as bytes arrive; a member must be read before the next."""
     rest = b""
-    while True:
-        unpacker, out = zlib.decompressobj(31), []
-        data = rest or stream.read(chunk)
-        if not data:
-            return
-        while not unpacker.eof:
+
+    def pieces(data: bytes) -> Iterator[bytes]:
+        nonlocal rest
+        unpacker = zlib.decompressobj(31)
+        while True:
+            piece = unpacker.decompress(data, chunk)
+            if piece:
+                yield piece
+            if unpacker.eof:
+                rest = unpacker.unused_data
+                return
+            data = unpacker.unconsumed_tail or stream.read(chunk)
             if not data:
                 raise ArchiveError("the last member is cut off")
-            out.append(unpacker.decompress(data))
-            rest = unpacker.unused_data
-            data = b"" if unpacker.eof else stream.read(chunk)
-        yield b"".join(out)
-
-
-def read_records(stream) -> Iterator[Record]:
-    """Records in order, framed by content length, digests checked."""
-    for content in members(stream):
-        head, found, body = content.partition(END)
-        if not found or not head.startswith(b"WARC/1."):
-            raise ArchiveError("a member without a record's header")
-        lines = (line.partition(":") for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-        headers = {k.strip().lower(): v.strip() for k, _, v in lines}
-        n = int(headers["content-length"])
-        if len(body) != n + len(END) or body[n:] != END:
-            raise ArchiveError(f"a block of {len(body) - len(END)} bytes, not {n}")
-        record = Record(headers, body[:n])
-        if headers.get("warc-block-digest") != f"sha1:{sha1_base32(record.block)}":
-            raise ArchiveError("a block digest doesn't match")
-        if headers["warc-type"] == "response" and headers.get("warc-payload-digest") != f"sha1:{sha1_base32(record.http[1])}":
-            raise ArchiveError("a payload digest doesn't match")
-        yield record
+
+    while data := rest or stream.read(chunk):
+        rest = b""
+        yield pieces(data)
+
+
+def _fields(head: bytes, errors: str) -> dict[str, str]:
+    lines = (line.partition(":") for line in head.decode("utf-8", errors).split("\r\n")[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in lines}
+
+
+class _Head:
+    """Bytes up to an empty line, and what came behind it."""
+
+    def __init__(self, most: int):
+        self.data, self.done, self.most = b"", False, most
+
+    def feed(self, piece: bytes) -> bytes:
+        if self.done:
+            return piece
+        self.data += piece
+        head, found, rest = self.data.partition(END)
+        if not found and len(self.data) > self.most:
+            raise ArchiveError(f"a header of more than {self.most} bytes")
+        if found:
+            self.data, self.done = head, True
+        return rest
+
+
+def read_record(pieces: Iterator[bytes], keep: bool = False) -> Record:
+    """One record, framed by its content length while its member is inflated, digests checked.
+
+    Only headers stand in memory, and the payload if it is to be kept.
+    """
+    warc, http = _Head(MOST_HEADER), _Head(MOST_HEADER)
+    headers: dict[str, str] = {}
+    block, payload, kept = hashlib.sha1(), hashlib.sha1(), []
+    left, n_payload, tail = 0, 0, b""
+    for piece in pieces:
+        was_done = warc.done
+        rest = warc.feed(piece)
+        if not warc.done:
+            continue
+        if not was_done:
+            if not warc.data.startswith(b"WARC/1."):
+                break
+            headers = _fields(warc.data, "surrogatepass")
+            left = int(headers["content-length"])
+        own, rest = rest[:left], rest[left:]
+        left -= len(own)
+        tail += rest
+        if len(tail) > len(END):
+            raise ArchiveError("a block of more bytes than its content length")
+        block.update(own)
+        body = http.feed(own)
+        payload.update(body)
+        n_payload += len(body)
+        if keep:
+            kept.append(body)
+    if not headers:
+        raise ArchiveError("a member without a record's header")
+    if left or tail != END:
+        raise ArchiveError(f"a block that lacks {left} bytes of its content length")
+    as_text = lambda d: f"sha1:{base64.b32encode(d.digest()).decode()}"
+    if headers.get("warc-block-digest") != as_text(block):
+        raise ArchiveError("a block digest doesn't match")
+    if headers["warc-type"] == "response" and headers.get("warc-payload-digest") != as_text(payload):
+        raise ArchiveError("a payload digest doesn't match")
+    return Record(headers, _fields(http.data, "replace"), n_payload, as_text(payload), b"".join(kept) if keep else None)
+
+
+def read_records(stream, keep: bool = False, chunk: int = CHUNK) -> Iterator[Record]:
+    """Records in order."""
+    for pieces in members(stream, chunk):
+        yield read_record(pieces, keep)
+        for _ in pieces:  # to the member's end
+            pass
 
 
 def _write(folder: str, roll: int) -> Callable:
@@ -130,8 +191,7 @@ def _read(kind: str) -> Callable:
                 rows = []
                 with files.open_stream(uri) as stream:
                     for r in read_records(stream):
-                        http, _ = r.http
-                        rows.append({"id": r.name("warc-record-id"), "payload_bytes": int(http["content-length"]), "payload_digest": r.headers["warc-payload-digest"].removeprefix("sha1:"), "record_type": r.headers["warc-type"], "refers_to": r.name("warc-refers-to")})
+                        rows.append({"id": r.name("warc-record-id"), "payload_bytes": int(r.http["content-length"]), "payload_digest": r.headers["warc-payload-digest"].removeprefix("sha1:"), "record_type": r.headers["warc-type"], "refers_to": r.name("warc-refers-to")})
                         if len(rows) == 5000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows = []
@@ -141,32 +201,42 @@ def _read(kind: str) -> Callable:
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(id, url-less) rows id, html and refers_to: of equal payloads of at least least_bytes, the row with the largest id is the response."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), *[F.col(c).alias("url") for c in ["url"] if c in pages.columns], html.alias("html"), F.sha2(html.cast("binary"), 256).alias("key"))
-    top = rows.where(F.octet_length("html") >= least_bytes).groupBy("key").agg(F.max("id").alias("top"))
-    long = send_back(rows.where(F.octet_length("html") >= least_bytes), "key", top)
-    short = rows.where(F.octet_length("html") < least_bytes).withColumn("top", F.col("id"))
-    both = long.unionByName(short) if least_bytes > 0 else long
-    return both.withColumn("refers_to", F.when(F.col("id").isNull() | (F.col("id") != F.col("top")), F.col("top")))
+    """Rows id, url, html and refers_to: of equal payloads of at least least_bytes, the row with the largest id is the response."""
+    html = F.coalesce(column(html_col), F.lit(""))
+    url = column("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(column(id_col).alias("id"), url.alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("key"))
+    long = rows.where(F.octet_length("html") >= least_bytes)
+    tops = materialise(long.groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("n")), "payloads")
+    hot = hot_keys(tops.select("key", "n"), tops.agg(F.sum("n")).first()[0] or 0, max(8, partitions(pages.sparkSession)))
+    both = send_back(long, "key", tops.select("key", "top"), hot)
+    if least_bytes > 0:
+        both = both.unionByName(rows.where(F.octet_length("html") < least_bytes).withColumn("top", F.col("id")))
+    return both.select("id", "url", "html", F.when(F.col("id").isNull() | (F.col("id") != F.col("top")), F.col("top")).alias("refers_to"))
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 0, folder: str | None = None, roll: int = ROLL) -> DataFrame:
     """Writes a record a row of pages; returns the manifest: uri, n_records, n_bytes."""
     spark = pages.sparkSession
-    marked = mark_revisits(pages, id_col, html_col, least_bytes)
-    url = F.col("url") if "url" in marked.columns else F.lit(None).cast("string")
-    rows = marked.select("id", url.alias("url"), "html", "refers_to")
-    return materialise(rows.mapInArrow(_write(folder or scratch_path(spark, "warc"), roll), "uri string, n_records long, n_bytes long"), "warc-manifest")
+    folder = qualified(spark, folder) if folder else scratch_path(spark, "warc")
+    return materialise(mark_revisits(pages, id_col, html_col, least_bytes).mapInArrow(_write(folder, roll), "uri string, n_records long, n_bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Rows of the archives: id, payload_bytes, payload_digest, record_type, refers_to."""
-    n = max(1, min(manifest.count(), 10_000))
-    out = manifest.select("uri").repartition(n).mapInArrow(_read(id_type), "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    out = manifest.select("uri").repartition(max(1, manifest.count())).mapInArrow(_read(id_type), "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("id", "refers_to")})
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Revisits among the rows of read_archives() whose response is missing or has another digest or length."""
+    said = F.struct("payload_digest", "payload_bytes")
+    responses = records.where("record_type = 'response' AND id IS NOT NULL").groupBy("id").agg(F.min(said).alias("low"), F.max(said).alias("high"))
+    revisits = records.where("record_type = 'revisit'").withColumnRenamed("id", "revisit_id")
+    known = revisits.select(F.col("refers_to").alias("id")).distinct().join(responses, "id", "left")
+    met = send_back(revisits.withColumn("id", F.col("refers_to")), "id", known)
+    return met.where(F.col("low").isNull() | (F.col("low") != said) | (F.col("high") != said)).select(F.col("revisit_id").alias("id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Writes archives and reads them: id, payload_bytes, payload_digest, record_type, refers_to.
 

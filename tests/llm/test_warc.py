@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from quarry.llm import files, warc
-from quarry.llm.warc import ArchiveError, archive, read_records, record, round_trip
+from quarry.llm.warc import ArchiveError, archive, broken_revisits, read_records, record, round_trip
 
 
 def brute(rows, least=0):
@@ -62,9 +62,28 @@ class Dripping(io.BytesIO):
 def test_reading_bit_by_bit():
     data = b"".join(record(i, "http://h/", b"x" * i * 100) for i in range(5)) + record(9, None, b"x", refers_to=3)
     for stream in (io.BytesIO(data), Dripping(data)):
-        found = list(read_records(stream))
+        found = list(read_records(stream, keep=True))
         assert [r.name("warc-record-id") for r in found] == ["0", "1", "2", "3", "4", "9"]
-        assert found[-1].name("warc-refers-to") == "3" and found[-1].http[1] == b"" and found[4].http[1] == b"x" * 400
+        assert found[-1].name("warc-refers-to") == "3" and found[-1].payload == b"" and found[4].payload == b"x" * 400 and found[4].n_payload == 400
+
+
+def test_a_large_record_is_framed_while_it_is_inflated():
+    """Its payload never stands in memory as a whole."""
+    import tracemalloc
+
+    data = record(1, "u" * 300_000, b"y" * 60_000_000)
+    assert len(data) < 400_000
+    tracemalloc.start()
+    [found] = read_records(io.BytesIO(data))
+    assert found.n_payload == 60_000_000 and found.payload is None and tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_revisits_are_those_of_their_responses(spark):
+    rows = [("1", 3, "A", "response", None), ("2", 3, "A", "revisit", "1"), ("3", 3, "B", "revisit", "1"), ("4", 4, "A", "revisit", "1"), ("5", 3, "A", "revisit", "9")]
+    records = spark.createDataFrame(rows, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    assert sorted(r.id for r in broken_revisits(records).collect()) == ["3", "4", "5"]
+    assert broken_revisits(round_trip(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).withColumnRenamed("page_id", "id")).count() == 0
 
 
 def pack(content):
