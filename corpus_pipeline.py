@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import materialise
+from quarry.llm.common import materialise, scratch_scope
 from quarry.llm.decontaminate import without_contaminated
 from quarry.llm.exact_dedup import without_copies
 from quarry.llm.language import with_known_language
@@ -44,8 +44,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each but the last is written and read again."""
+    """All stages over the documents table; each but the last is written and read again.
+
+    Once a stage's table is written, the one before it and all that the stage wrote on its way go.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_scope(spark) as paths:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            own = paths.pop()
+            paths += before
+        before = [own]
     return STAGES[-1][1](spark, docs, sf_dir)
