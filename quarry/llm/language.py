@@ -5,8 +5,9 @@ character n-gram models, the language that markup or metadata declares, the addr
 suffix, and the host. The priors of suffixes and hosts come from grouped aggregation over
 the whole corpus and are smoothed down a hierarchy: all documents, suffix, host.
 
-Texts are read by one pass: its evidence, without the text where only an id is asked for,
-is written once; priors and posteriors are made of that table.
+Where only ids are asked for, evidence is computed once and written without the texts.
+Where whole rows are, it is computed for the priors and again for the rows, so that no
+second copy of the texts is ever written.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def address(value: Column) -> tuple[Column, Column]:
 def identify(docs: DataFrame, model: TextModel | None = None, text_col: str = "text", declared_col: str | None = "lang", address_col: str | None = "source", languages: tuple[str, ...] = LANGUAGES, keep: str | None = None) -> DataFrame:
     """Each whole row of docs, as struct "row", with language, posterior, text_language, declared, host, known, accepted.
 
-    With keep, "row" is that column alone, and no text is written. accepted is false for
+    With keep, "row" is that column alone. accepted is false for
     documents without words, with a posterior below LEAST_POSTERIOR, or with less than
     LEAST_KNOWN of their n-grams known; language is "und" for those. Null texts count as
     empty, null addresses as the empty host, unknown declarations as none. Ties go to the
@@ -169,8 +170,8 @@ def identify(docs: DataFrame, model: TextModel | None = None, text_col: str = "t
     declared = declared_language(text, column(declared_col).cast("string") if declared_col else None, languages)
     right, wrong = math.log(DECLARED_RIGHT), math.log((1 - DECLARED_RIGHT) / (len(languages) - 1))
     row = column(keep) if keep else F.struct(*map(column, docs.columns))
-    evidence = docs.select(row.alias("row"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"), text_evidence(docs, model, column(text_col)).alias("evidence"))
-    rows = materialise(evidence, "language-evidence")
+    rows = docs.select(row.alias("row"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"), text_evidence(docs, model, column(text_col)).alias("evidence"))
+    rows = materialise(rows, "language-evidence") if keep else rows
     said = lambda name: F.when(F.col("declared").isNull(), 0.0).when(F.col("declared") == name, right).otherwise(wrong)
     logs = [F.col("evidence")[i] + said(name) for i, name in enumerate(languages)]
 
