@@ -27,7 +27,7 @@ SPACE_BYTES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range
 
 
 #: Words of which a worker remembers hashes, and their bytes at most.
-HASH_WORDS, HASH_BYTES = 300_000, 48
+HASH_WORDS, HASH_BYTES = 500_000, 48
 #: Rows below which no key is worth salting.
 HOT_ROWS = 16
 
@@ -185,6 +185,27 @@ def with_field(kind: T.DataType, name: str, *more: tuple[str, T.DataType]) -> T.
     return T.StructType([T.StructField(name, kind), *(T.StructField(n, k) for n, k in more)])
 
 
+#: Bits of a bitmap's row, and rows of a bitmap at most (32 MB in all).
+BITMAP_BITS, BITMAP_ROWS = 1 << 15, 1 << 13
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
+    """Rows whose key is among some n wanted ones (a column of that name), and a few others: to be joined with them afterwards.
+
+    A bitmap of the wanted keys' hashes, of 16 bits a key and 32 MB at most, goes to all
+    tasks, so that what is not wanted is dropped where it is read and never shuffled.
+    """
+    size = 1
+    while size < BITMAP_ROWS and size * BITMAP_BITS < 16 * n:
+        size *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(size * BITMAP_BITS))
+    row, bit = F.floor(place / BITMAP_BITS).cast("int"), F.pmod(place, F.lit(BITMAP_BITS))
+    maps = wanted.select(row.alias("__map"), bit.alias("__bit")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    octet = F.conv(F.hex(F.expr("substring(__bits, CAST(__bit DIV 8 + 1 AS int), 1)")), 16, 10).cast("int")
+    met = rows.withColumns({"__map": row, "__bit": bit}).join(F.broadcast(maps), "__map")
+    return met.where(F.getbit(octet, F.pmod("__bit", F.lit(8)).cast("int")) == 1).drop("__map", "__bit", "__bits")
+
+
 def hot_keys(counts: DataFrame, total: int, salts: int, n: str = "n") -> list:
     """Keys (first column) with more than a quarter of a task's share of the rows: at most four a task."""
     most = max(HOT_ROWS, total // (4 * salts))

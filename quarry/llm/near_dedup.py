@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import WordHashes, alnum_words, chunks_of, column, drop_table, hot_keys, materialise, partitions, release, row_of, rows_back, send_back, spaced_words
+from quarry.llm.common import WordHashes, alnum_words, chunks_of, column, drop_table, hot_keys, likely, materialise, partitions, release, row_of, rows_back, send_back, spaced_words
 
 #: First and last level of a tree; documents and shingles of a small node; target recall.
 FIRST, LAST, NODE_DOCS, NODE_SHINGLES, RECALL = 2, 6, 500, 1_000_000, 0.9995
 #: Documents that each block of a large node meets beside its own; hooks that are broadcast; jumps between two looks at the hooks.
 PIVOTS, BROADCAST_HOOKS, JUMPS = 8, 200_000, 4
+#: Members of a linked group that are written under one name; each such part has the group's head.
+PART = 64
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -169,6 +171,11 @@ def link_groups(sets: list[np.ndarray], percent: int) -> list[list[int]]:
     return groups
 
 
+def _part_of(node: int, at: int) -> int:
+    """A name for a part of a group of a node."""
+    return node if at == 0 else int.from_bytes(hashlib.sha256(b"%d %d" % (node, at)).digest()[:8], "little", signed=True)
+
+
 def _compare(rule: Rule, id_type: pa.DataType) -> Callable:
     """Rows (node, id, digest, text), sorted by node: (node, head, digest, id) for each member of a linked group."""
     schema = pa.schema([("node", pa.int64()), ("head", pa.binary()), ("digest", pa.binary()), ("id", id_type)])
@@ -198,7 +205,9 @@ def _compare(rule: Rule, id_type: pa.DataType) -> Callable:
             sets = [np.unique(keys[firsts[k] : firsts[k + 1]]) for k in own.values()]
             names = [(d, rows[k][0]) for d, k in own.items()]
             for group in link_groups(sets, rule.percent):
-                out += [(node, names[group[0]][0], *names[k]) for k in group]
+                for at in range(0, len(group), PART):
+                    part = [group[0]] * (at > 0) + group[at : at + PART]
+                    out += [(_part_of(node, at), names[group[0]][0], *names[k]) for k in part]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                 out = []
@@ -319,7 +328,7 @@ def components(groups: DataFrame) -> DataFrame:
 
     Each round, every component hooks to the least one that a group joins it to; hooks are
     followed to their end by jumps that double, so a chain takes rounds by its logarithm.
-    Groups are no larger than nodes, so no window is hot.
+    Groups are written in small parts, so no window is hot.
     """
     digests = groups.groupBy("digest").agg(F.min("id").alias("label"))
     state = materialise(groups.select("node", "head", "digest").distinct().join(digests, "digest"), "labels")
@@ -383,13 +392,14 @@ def near_dedup(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
 
     def more(digests: DataFrame, trees: range) -> DataFrame:
         meant = digests.join(classes.select("digest", "id"), "digest")
-        again = named.join(meant.select("id").distinct(), "id").select("id", "text").mapInArrow(_sketch(rule, trees), sketched)
+        ids = materialise(meant.select("id").distinct(), "branching-ids")
+        again = likely(named, "id", ids, ids.count()).mapInArrow(_sketch(rule, trees), sketched)
         return again.join(meant, ["id", "digest"]).groupBy("digest").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
 
     def compared(members: DataFrame, label: str) -> DataFrame:
         """Linked groups of memberships (digest, node): (node, head, digest, id)."""
-        nodes = members.groupBy("digest").agg(F.collect_set("node").alias("nodes")).join(classes.select("digest", "id"), "digest")
-        texts = named.join(nodes, "id").select(F.explode("nodes").alias("node"), "id", "digest", "text")
+        nodes = materialise(members.groupBy("digest").agg(F.collect_set("node").alias("nodes")).join(classes.select("digest", "id"), "digest"), f"wanted-{label}")
+        texts = likely(named, "id", nodes.select("id"), nodes.count()).join(nodes, "id").select(F.explode("nodes").alias("node"), "id", "digest", "text")
         sorted_texts = texts.repartition("node").sortWithinPartitions("node")
         return materialise(sorted_texts.mapInArrow(_compare(rule, arrow), groups_of), f"groups-{label}")
 

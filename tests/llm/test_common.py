@@ -88,6 +88,16 @@ def test_hot_keys_meet_their_fact_on_all_salts(spark):
     assert common.send_back(rows.limit(0), "k", facts).count() == 0
 
 
+def test_likely_rows_are_all_wanted_ones_and_few_others(spark):
+    rows = spark.range(100_000).selectExpr("IF(id % 1000 = 7, NULL, id) AS id", "'x' AS v")
+    wanted = spark.range(0, 100_000, 50)
+    found = common.likely(rows, "id", wanted, 2000)
+    ids = {r.id for r in found.collect()}
+    assert found.columns == ["id", "v"] and {r.id for r in wanted.collect()} - {i for i in range(100_000) if i % 1000 == 7} <= ids and len(ids) < 10_000
+    assert common.likely(rows, "id", wanted.limit(0), 0).count() == 0
+    assert common.likely(rows.withColumn("id", F.col("id").cast("string")), "id", wanted.select(F.col("id").cast("string").alias("id")), 2000).count() >= 2000
+
+
 def test_hashes_of_long_words_never_stay():
     hashes = common.WordHashes()
     assert hashes[b"x" * 10_000] == hashes[b"x" * 10_000] != hashes[b"x"] and list(hashes) == [b"x"]
