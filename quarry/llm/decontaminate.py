@@ -27,7 +27,9 @@ from quarry.llm import files
 from quarry.llm.common import WordHashes, alnum_words, chunks_of, column, held, materialise, release, row_of, rows_back, scratch_path, with_field
 
 #: Words of a window, of a shingle, bytes of benchmark text in a block, characters of documents that meet all blocks together.
-WINDOW, SHINGLE, BLOCK_BYTES, TOGETHER = 13, 5, 4 << 20, 1 << 21
+WINDOW, SHINGLE, BLOCK_BYTES, TOGETHER = 13, 5, 4 << 20, 1 << 20
+#: Words of the benchmark of which a task knows the hashes; with more, all words of documents are hashed.
+MOST_KNOWN = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,7 +127,7 @@ def choose_prefixes(block: Block, tokens: np.ndarray, counts: np.ndarray, shingl
 class Words:
     """Some documents as one array of word hashes, a 0 behind each, and their shingles in order of key."""
 
-    def __init__(self, texts: list[str | None], hashes: WordHashes):
+    def __init__(self, texts: list[str | None], hashes: dict[bytes, int]):
         self.words: list[bytes] = []
         numbers: list[int] = []
         ends = []
@@ -194,14 +196,30 @@ def _save(folder: str, block: Block) -> str:
     return uri
 
 
+def _read(uri: str) -> tuple[Block, np.ndarray]:
+    block = pickle.loads(files.read_bytes(uri))
+    return block, all_tokens(block) if block.tokens is None else block.tokens
+
+
 def _load(uri: str) -> tuple[Block, np.ndarray]:
     """A block and its tokens; a worker keeps the last one."""
+    return held(("block", uri), lambda: _read(uri))
+
+
+def _vocabulary(uris: list[str]) -> dict[bytes, int]:
+    """Hashes of the blocks' words, 0 for any other word; where they have too many words, of all words."""
+    known = _Known()
+    for uri in uris:
+        block, _ = _read(uri)
+        known.update(zip(block.text[:-1].split(b" "), block.hashes.tolist()))
+        if len(known) > MOST_KNOWN:
+            return WordHashes()
+    return known
 
-    def read() -> tuple[Block, np.ndarray]:
-        block = pickle.loads(files.read_bytes(uri))
-        return block, all_tokens(block) if block.tokens is None else block.tokens
 
-    return held(("block", uri), read)
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        return 0
 
 
 def _build(folder: str, window: int, shingle: int, block_bytes: int) -> Callable:
@@ -233,7 +251,7 @@ def _count(uris: list[str]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        hashes, alone = WordHashes(), None
+        hashes, alone = _vocabulary(uris), None
         for batch in batches:
             for texts in chunks_of(batch.column(0), TOGETHER):
                 docs = Words(texts, hashes)
@@ -308,7 +326,7 @@ def _find(uris: list[str], text_at: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        hashes = WordHashes()
+        hashes = _vocabulary(uris)
         for batch in batches:
             at = 0
             for texts in chunks_of(batch.column("row").field(text_at), TOGETHER):
