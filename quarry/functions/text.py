@@ -1,28 +1,30 @@
-"""Chunking and quality of text, as columns.
+"""Chunking and quality of text, as columns. Lengths are characters.
 
-Lengths are characters. Folds run within a row; nothing is shuffled.
+Quality, windows and previews are SQL expressions. Chunking carries a state from part to
+part, which a fold over arrays copies again and again; it is an Arrow UDF over quarry.functions.cut,
+linear in each text. Nothing is shuffled; null texts give null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of a chunk: aimed at, at most; sentences of overlap; least length and word characters.
-TARGET, MOST, OVERLAP, LEAST, LEAST_WORDS = 1200, 1800, 2, 30, 30
+from quarry.functions import cut
+from quarry.functions.cut import MOST, OVERLAP, TARGET
+
+#: Least length of a chunk and of its word characters.
+LEAST, LEAST_WORDS = 30, 30
 #: Characters of a PDF's windows and of their overlap; of a snippet and a preview line.
 PDF_SIZE, PDF_OVERLAP, SNIPPET, PREVIEW = 1500, 150, 2000, 120
 #: Extensions of code and of Markdown.
 CODE = "py rs js ts go java c cpp h css sh sql".split()
 MARKDOWN = ["md", "markdown"]
 
-_STRINGS = "array<string>"
-_STATE = "struct<done:array<string>,open:string>"
-# a sentence ends at a CJK mark, or at an ASCII mark before white space or the end, whose blanks it takes along
-_SENTENCE = r"(?U)[\s\S]*?(?:[。？！]|[.?!](?=\s|\z)[^\S\n]*)|[\s\S]+\z"
-_INFORMATIVE = r"(?:\p{IsAlphabetic}|[0-9一-鿿぀-ヿ가-힯]){2,}"
+_INFORMATIVE = r"\p{IsAlphabetic}0-9一-鿿぀-ヿ가-힯"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -39,16 +41,16 @@ def is_blank(text: Column) -> Column:
     return trim(text) == ""
 
 
-def _none() -> Column:
-    return F.array().cast(_STRINGS)
-
+def _split(f: Callable[..., list[str]], *texts: Column) -> Column:
+    """array<string>: f of each row's strings, null where one is null."""
 
-def _state(done: Column, open_: Column) -> Column:
-    return F.struct(done.alias("done"), open_.alias("open")).cast(_STATE)
+    @F.arrow_udf("array<string>")
+    def split(*columns: pa.Array) -> pa.Array:
+        values = zip(*(c for c in columns))
+        rows = ([x.as_py() for x in row] for row in values)
+        return pa.array((None if None in row else f(*row) for row in rows), pa.list_(pa.string()))
 
-
-def _plus(done: Column, more: Column) -> Column:
-    return F.concat(done, more)
+    return split(*texts)
 
 
 def blank_line_blocks(text: Column) -> Column:
@@ -59,130 +61,43 @@ def blank_line_blocks(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with what follows them up to the next; a blank tail goes; a text without any is one."""
-    found = F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
-
-    def without_blank_tail(all_: Column) -> Column:
-        last = F.coalesce(F.try_element_at(all_, F.lit(-1)), F.lit(""))
-        unended = is_blank(last) & ~last.rlike(r"(?U)(?:[。？！]|[.?!][^\S\n]*)\z")
-        return F.when((F.size(all_) > 0) & unended, F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0)))).otherwise(all_)
-
-    return let(let(found, without_blank_tail), lambda kept: F.when(F.size(kept) == 0, F.array(text)).otherwise(kept))
+    return _split(cut.sentences, text)
 
 
 def raw_parts(text: Column, size: int) -> Column:
     """Runs of size characters."""
-    n = F.char_length(text)
-    return F.when(n == 0, _none()).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)), lambda i: F.substring(text, i + 1, F.lit(size))))
+    return _split(lambda t: cut.raw_parts(t, size), text)
 
 
 def word_parts(text: Column, size: int) -> Column:
-    """Words packed with single spaces into parts of at most size characters.
-
-    A word of size or more is cut into runs only where it begins a part; after another
-    word it stands as it is.
-    """
-    words = F.filter(F.split(text, r"(?U)\s+", -1), lambda w: w != "")
-    packed = F.aggregate(
-        words,
-        _state(_none(), F.lit("")),
-        lambda acc, w: F.when((acc["open"] == "") & (F.char_length(w) >= size), _state(_plus(acc["done"], raw_parts(w, size)), F.lit("")))
-        .when(acc["open"] == "", _state(acc["done"], w))
-        .when(F.char_length(acc["open"]) + 1 + F.char_length(w) <= size, _state(acc["done"], F.concat(acc["open"], F.lit(" "), w)))
-        .otherwise(_state(_plus(acc["done"], F.array(acc["open"])), w)),
-    )
-    return let(packed, lambda p: F.when(p["open"] == "", p["done"]).otherwise(_plus(p["done"], F.array(p["open"]))))
+    """Words packed with single spaces into parts of at most size characters (see cut.word_parts)."""
+    return _split(lambda t: cut.word_parts(t, size), text)
 
 
 def sentence_parts(text: Column, size: int) -> Column:
     """Sentences packed into trimmed parts of at most size characters; longer sentences by words."""
+    return _split(lambda t: cut.sentence_parts(t, size), text)
 
-    def step(acc: Column, s: Column) -> Column:
-        closed = F.when(acc["open"] == "", acc["done"]).otherwise(_plus(acc["done"], F.array(trim(acc["open"]))))
-        return (
-            F.when((acc["open"] != "") & (F.char_length(acc["open"]) + F.char_length(s) <= size), _state(acc["done"], F.concat(acc["open"], s)))
-            .when(F.char_length(s) > size, _state(_plus(closed, word_parts(s, size)), F.lit("")))
-            .otherwise(_state(closed, s))
-        )
-
-    packed = F.aggregate(sentences(text), _state(_none(), F.lit("")), step)
-    return let(packed, lambda p: F.when(is_blank(p["open"]), p["done"]).otherwise(_plus(p["done"], F.array(trim(p["open"])))))
-
-
-def pack_blocks(blocks: Column, target: int = TARGET, most: int = MOST) -> Column:
-    """Neighbouring blocks joined by an empty line up to target characters; those above most by sentences."""
-    packed = F.aggregate(
-        blocks,
-        _state(_none(), F.lit("")),
-        lambda acc, b: F.when(acc["open"] == "", _state(acc["done"], b))
-        .when(F.char_length(acc["open"]) + F.char_length(b) + 2 <= target, _state(acc["done"], F.concat(acc["open"], F.lit("\n\n"), b)))
-        .otherwise(_state(_plus(acc["done"], F.array(acc["open"])), b)),
-    )
-    whole = let(packed, lambda p: F.when(p["open"] == "", p["done"]).otherwise(_plus(p["done"], F.array(p["open"]))))
-    return F.flatten(F.transform(whole, lambda c: F.when(F.char_length(c) > most, sentence_parts(c, most)).otherwise(F.array(c))))
-
-
-def prose(text: Column) -> Column:
-    return pack_blocks(blank_line_blocks(text))
-
-
-def code(text: Column) -> Column:
-    return prose(text)
-
-
-def sections(text: Column) -> Column:
-    """Trimmed sections that begin with a heading; of a blank text none."""
-    lines = F.regexp_replace(text, "\r\n", "\n")
-    return F.filter(F.transform(F.split(lines, r"(?Umd)^(?=[^\S\n]*#[# ])", -1), trim), lambda p: p != "")
-
-
-def _prose_if_long(part: Column, always: Column | None = None) -> Column:
-    long = F.char_length(part) > MOST
-    return F.when(long if always is None else long | always, prose(part)).otherwise(F.array(part))
-
-
-def markdown(text: Column) -> Column:
-    """Sections that begin with a heading; long ones as prose."""
-    return F.flatten(F.transform(let(sections(text), lambda s: F.when(F.size(s) == 0, F.array(F.lit(""))).otherwise(s)), lambda p: _prose_if_long(p)))
-
-
-def with_overlap(chunks: Column, n: int = OVERLAP, most: int = MOST) -> Column:
-    """Each chunk but the first after the last n sentences of the chunk before it, where both fit."""
-
-    def tail(before: Column) -> Column:
-        return let(sentences(before), lambda s: trim(F.array_join(F.slice(s, F.greatest(F.size(s) - n + 1, F.lit(1)), F.lit(n)), "")))
-
-    def joined(chunk: Column, last: Column) -> Column:
-        fits = (last != "") & (F.char_length(last) + 1 + F.char_length(chunk) <= most)
-        return F.when(fits, F.concat(last, F.lit("\n"), chunk)).otherwise(chunk)
-
-    def lapped(all_: Column) -> Column:
-        before = F.concat(F.array(F.lit("")), F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0))))
-        return F.zip_with(all_, F.when(F.size(all_) == 0, _none()).otherwise(F.transform(before, tail)), joined)
-
-    return let(chunks, lapped)
 
+def packed_blocks(text: Column, target: int = TARGET, most: int = MOST) -> Column:
+    """Blocks between empty lines, joined up to target characters; those above most by sentences."""
+    return _split(lambda t: cut.pack_blocks(cut.blank_line_blocks(t), target, most), text)
 
-def chunk(text: Column, strategy: Callable[[Column], Column] = prose, overlap: bool = True) -> Column:
-    """A strategy's chunks without blank ones, with overlap if asked for."""
-    parts = F.filter(strategy(text), lambda c: ~is_blank(c))
-    return with_overlap(parts) if overlap else parts
 
+def chunk(text: Column, split: Callable[[str], list[str]] = cut.prose, overlap: bool = True) -> Column:
+    """A strategy's chunks (cut.prose, cut.markdown, or any function of a text) without blank ones, with overlap if asked for."""
+    return _split(lambda t: cut.chunk(t, split, overlap), text)
 
-def chunk_by_extension(text: Column, ext: Column, overlap: bool = True) -> Column:
-    """Markdown, code or prose, by extension; no chunk of a blank text.
 
-    Both ways are one: prose is a text that is its only section and always cut.
-    """
-    is_markdown = ext.isin(*MARKDOWN)
-    parts = F.when(is_markdown, sections(text)).when(is_blank(text), _none()).otherwise(F.array(text))
-    cut = F.flatten(F.transform(parts, lambda p: _prose_if_long(p, ~is_markdown)))
-    kept = F.filter(cut, lambda c: ~is_blank(c))
-    return with_overlap(kept) if overlap else kept
+def chunk_by_extension(text: Column, ext: Column, overlap: bool = True, strategies: dict[str, Callable[[str], list[str]]] | None = None) -> Column:
+    """Chunks by the strategy of the extension: Markdown by headings, all else as prose unless strategies say otherwise."""
+    known = dict.fromkeys(MARKDOWN, cut.markdown) | (strategies or {})
+    return _split(lambda t, e: cut.chunk(t, known.get(e, cut.prose), overlap), text, F.coalesce(ext, F.lit("")))
 
 
 def word_chars(text: Column) -> Column:
     """Characters in runs of two or more letters, digits, kana, hangul or CJK characters."""
-    return F.aggregate(F.regexp_extract_all(text, F.lit(_INFORMATIVE), F.lit(0)), F.lit(0), lambda n, run: n + F.char_length(run))
+    return F.char_length(F.regexp_replace(text, rf"[^{_INFORMATIVE}]++(?:[{_INFORMATIVE}](?![{_INFORMATIVE}]))?|\A[{_INFORMATIVE}](?![{_INFORMATIVE}])", ""))
 
 
 def is_quality(text: Column) -> Column:

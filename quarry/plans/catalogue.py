@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import paths
+from quarry.functions import cut, paths
 from quarry.functions import text as tf
 from quarry.functions import vectors as V
 from quarry.operators import catalog, fusion, keyword, merge, sparse, vector
-from quarry.plugins import HashEmbedder
+from quarry.plugins import Code, HashEmbedder
 from quarry.streaming.watch import debounce, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,9 +79,21 @@ def vector_score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.vector_search(emb, _query_vector(emb), 20, "vec_id", scale="cosine").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT len(embedding)::INTEGER AS dim, count(*) AS n FROM embeddings GROUP BY 1")
+@query(f"SELECT vec_id, round(({_SQL_COS} + 1) / 2, 6) AS score FROM embeddings e, {_SQL_Q} WHERE vec_id % 3 <> 1 ORDER BY ({_SQL_COS} + 1) / 2 DESC, vec_id LIMIT 15")
 def vector_dim_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    """A third of the vectors is cut to half its dimension: the query's dimension alone is searched."""
+    emb = read(spark, sf_dir, "embeddings")
+    mixed = emb.withColumn("embedding", F.when(F.col("vec_id") % 3 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    return vector.top_k(mixed, _query_vector(emb), 15, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(least(greatest(1 - least(greatest(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) / 2, 0), 2), 0), 1), 5) AS cosine FROM embeddings e, {_SQL_Q}")
+def vector_l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of unit vectors from their distances."""
+    emb = read(spark, sf_dir, "embeddings")
+    own, other = F.col("embedding"), V.literal(_query_vector(emb))
+    squares = F.aggregate(F.zip_with(own, other, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    return emb.select("vec_id", F.round(V.from_distance(F.sqrt(squares)), 5).alias("cosine"))
 
 
 @query("""
@@ -114,7 +126,11 @@ def vector_ann_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search_batch(asked, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+     s AS (SELECT query_id, vec_id, """ + _SQL_COS + """ AS score FROM embeddings e, q)
+SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""")
 def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 100, against all rows."""
     emb = read(spark, sf_dir, "embeddings")
@@ -249,13 +265,19 @@ def multimodal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\n{2,}'), lambda p: NOT regexp_full_match(p, '\s*'))), 1)::INTEGER AS n_blocks FROM documents
+WITH b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n{2,}'), lambda p: trim(p, e' \t\n\r\f\v')), lambda p: p <> '') AS blocks FROM documents)
+SELECT doc_id, greatest(len(blocks), 1)::INTEGER AS n_blocks, md5(coalesce(array_to_string(blocks, '|'), '')) AS blocks_md5 FROM b
 """)
 def split_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(tf.blank_line_blocks(F.coalesce("text", F.lit("")))).alias("n_blocks"))
+    blocks = tf.blank_line_blocks(F.coalesce("text", F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", blocks.alias("b")).select("doc_id", F.size("b").alias("n_blocks"), F.md5(F.array_join("b", "|")).alias("blocks_md5"))
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s, rtrim(coalesce(text, ''), e' \t\n\r\f\v') AS bare FROM documents),
+     n AS (SELECT doc_id, bare, len(regexp_extract_all(s || ' ', '[.?!]\s')) + len(regexp_extract_all(s, '[。？！]')) AS ends FROM t)
+SELECT doc_id, greatest(ends + (bare <> '' AND NOT regexp_matches(bare, '[.?!。？！]$'))::INT, 1)::INTEGER AS n_sentences FROM n
+""")
 def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.size(tf.sentences(F.coalesce("text", F.lit("")))).alias("n_sentences"))
 
@@ -269,7 +291,7 @@ def _chunk_summary(docs: DataFrame, chunks) -> DataFrame:
 @query()
 def chunk_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return _chunk_summary(docs, tf.chunk(F.coalesce("text", F.lit("")), tf.prose, overlap=False))
+    return _chunk_summary(docs, tf.chunk(F.coalesce("text", F.lit("")), cut.prose, overlap=False))
 
 
 @query()
@@ -281,7 +303,7 @@ def chunk_with_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n# "))
-    return _chunk_summary(docs, tf.chunk(F.col("text"), tf.markdown, overlap=False))
+    return _chunk_summary(docs, tf.chunk(F.col("text"), cut.markdown, overlap=False))
 
 
 @query(r"""
@@ -304,6 +326,45 @@ def pdf_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("w").alias("n_windows"), F.element_at("w", -1).alias("last_window"))
 
 
+@query()
+def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"\. ", ";\n\n"))
+    return _chunk_summary(docs, tf.chunk(F.col("text"), Code().split, overlap=False))
+
+
+@query()
+def chunk_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document by the strategy of its file's extension, filtered for quality."""
+    files = _files(spark, sf_dir).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n## "))
+    return _chunk_summary(files, tf.keep_quality(tf.chunk_by_extension(F.col("text"), paths.extension(F.col("path")))))
+
+
+@query("""
+SELECT doc_id, ceil(length(coalesce(text, '')) / 700.0)::INTEGER AS n_parts,
+       CASE WHEN coalesce(text, '') = '' THEN NULL ELSE substring(text, ((length(text) - 1) // 700 * 700 + 1)::INT, 700) END AS last_part
+FROM documents
+""")
+def split_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", tf.raw_parts(F.coalesce("text", F.lit("")), 700).alias("p"))
+    return docs.select("doc_id", F.size("p").alias("n_parts"), F.try_element_at("p", F.lit(-1)).alias("last_part"))
+
+
+@query(r"""
+SELECT doc_id, true AS whole, length(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[\t\n\v\f\r ]+'), lambda w: w <> ''), ' '))::INTEGER AS n_chars FROM documents
+""")
+def split_at_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of at most 400 characters hold all words, in order, and so do their joined lengths."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.array_join(F.filter(F.split(text, r"[\t\n\x0B\f\r ]+", -1), lambda w: w != ""), " ")
+    docs = read(spark, sf_dir, "documents").select("doc_id", words.alias("words"), F.array_join(tf.word_parts(text, 400), " ").alias("joined"))
+    return docs.select("doc_id", (F.col("words") == F.col("joined")).alias("whole"), F.char_length("joined").alias("n_chars"))
+
+
+@query(f"SELECT doc_id, doc_id || ' ' || lang || ' ' || source AS fallback FROM (SELECT d.doc_id, d.lang, d.source FROM documents d JOIN ({_SQL_FILES}) USING (doc_id))")
+def pdf_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("doc_id", tf.pdf_fallback(F.col("path")).alias("fallback"))
+
+
 @query()
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = HashEmbedder()
@@ -341,8 +402,8 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A scan of all documents but German ones, and what an older scan knew: no Spanish ones, French ones with other text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
-    new = docs.where("lang <> 'de'").select("doc_id", digest(F.col("text")).alias("content_hash"))
-    old = docs.where("lang <> 'es'").select("doc_id", digest(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
+    new = docs.where("lang IS DISTINCT FROM 'de'").select("doc_id", digest(F.col("text")).alias("content_hash"))
+    old = docs.where("lang IS DISTINCT FROM 'es'").select("doc_id", digest(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
     return new, old
 
 
@@ -414,11 +475,12 @@ def chunks_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.chunks_of(turns, "1").select("conv_id", F.col("chunk_index").alias("turn"), "role", "preview")
 
 
-@query("SELECT l.doc_id, l.quality, d.lang FROM labels l JOIN documents d USING (doc_id)")
+@query("SELECT e.vec_id AS doc_id, len(e.embedding)::INTEGER AS dim, d.lang, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
 def embeddings_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "chunk_id")
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
-    return catalog.with_chunks(labels, docs).select(F.col("chunk_id").alias("doc_id"), "quality", "lang")
+    """Embeddings with what their chunks, documents here, say of themselves."""
+    emb = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.size("embedding").alias("dim"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source")
+    return catalog.with_chunks(emb, docs).select(F.col("chunk_id").alias("doc_id"), "dim", "lang", "source")
 
 
 # --- events ----------------------------------------------------------------

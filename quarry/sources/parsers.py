@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from quarry.errors import UnsupportedFileType
 from quarry.functions import paths
 from quarry.functions import text as tf
-from quarry.plugins import FileParser, Transcriber
+from quarry.plugins import ChunkStrategy, Code, FileParser, Markdown, Transcriber
 from quarry.sources import images, pdf
 
 PARTS = "array<struct<kind:string,text:string>>"
@@ -32,11 +32,15 @@ def decode_text(content: Column) -> Column:
 class TextParser(FileParser):
     extensions = tuple(paths.PARSED["text"])
 
+    def __init__(self, strategies: dict[str, ChunkStrategy] | None = None, overlap: bool = True):
+        self.strategies = {e: s.split for e, s in ({"md": Markdown(), "markdown": Markdown()} | dict.fromkeys(tf.CODE, Code()) | (strategies or {})).items()}
+        self.overlap = overlap
+
     def extract(self, content: Column) -> Column:
         return decode_text(content)
 
     def parts(self, path: Column, name: Column, ext: Column, extracted: Column) -> Column:
-        return _texts(tf.keep_quality(tf.chunk_by_extension(extracted, ext)))
+        return _texts(tf.keep_quality(tf.chunk_by_extension(extracted, ext, self.overlap, self.strategies)))
 
 
 @F.arrow_udf(T.StringType())

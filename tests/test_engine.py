@@ -14,12 +14,12 @@ from quarry.schema import SearchMode, SearchQuery
 from quarry.sources.scan import list_folder
 
 TEXTS = {
-    "rust.md": "Rust is a systems programming language focused on safety.",
-    "doc1.txt": "The quick brown fox jumps over the lazy dog.",
-    "doc2.txt": "Rust programming language memory safety features.",
-    "sub/doc3.txt": "Machine learning and deep learning neural networks.",
-    "short.txt": "Hello world, this is a test document.",
-    "large.txt": "word " * 1000,
+    "clay.md": "Clay pots keep water cool through the hottest afternoon.",
+    "heron.txt": "A heron stood in the shallows and waited for trout.",
+    "bowls.txt": "Potters glaze clay bowls and fire them overnight in kilns.",
+    "sub/trains.txt": "Trains cross the long viaduct twice on every weekday.",
+    "letters.txt": "a b c d e f g h i j k l m n o p q r s t",
+    "bricks.txt": "bricks and mortar " * 400,
     "code.py": "def function_with_a_long_name(argument):\n    return argument + argument + argument\n",
     "node_modules/skip.txt": "This file lies in a folder that nobody wants to index.",
     ".hidden/skip.txt": "This file lies in a hidden folder that nobody wants.",
@@ -50,43 +50,43 @@ def test_index_search_change_and_remove(spark, engine, folder):
     assert first.new_files == 7 and first.files_by_type == {"text": 7}
     stats = engine.stats().first()
     assert stats.total_files == 7 and stats.files_by_type == {"text": 7} and stats.index_size_bytes > 5000
-    assert engine.store.table("chunks").where("content LIKE 'Hello%'").count() == 0  # below the quality bar
-    large = engine.store.table("files").where("path LIKE '%large.txt'").first().id
-    assert engine.store.table("chunks").where(F.col("file_id") == large).count() >= 3
+    assert engine.store.table("chunks").where("content LIKE 'a b c%'").count() == 0  # below the quality bar
+    bricks = engine.store.table("files").where("path LIKE '%bricks.txt'").first().id
+    assert engine.store.table("chunks").where(F.col("file_id") == bricks).count() >= 3
 
     # an unchanged folder changes nothing
     assert engine.index_directory(str(folder)).first().new_files == 0
-    assert names(engine.keyword("Rust memory safety"))[0] == "doc2.txt"
+    assert names(engine.keyword("clay bowls fire"))[0] == "bowls.txt"
     for mode in SearchMode:
-        rows = engine.search(SearchQuery("quick brown fox", mode=mode)).collect()
+        rows = engine.search(SearchQuery("heron stood", mode=mode)).collect()
         assert rows and all(r.match_type == mode.value for r in rows)
         assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
-    assert names(engine.search("quick brown fox", limit=1)) == ["doc1.txt"]
-    assert engine.search("   ").count() == 0 and engine.search("fox", limit=0).count() == 0
-    assert engine.search("programming language", file_types=("pdf",)).count() == 0
-    page = names(engine.search("language safety", limit=3))
-    assert names(engine.search("language safety", limit=1, offset=1)) == page[1:2]
+    assert names(engine.search("heron shallows", limit=1, mode=SearchMode.KEYWORD)) == ["heron.txt"]
+    assert engine.search("   ").count() == 0 and engine.search("heron", limit=0).count() == 0
+    assert engine.search("clay pots", file_types=("pdf",)).count() == 0
+    page = names(engine.search("clay water", limit=3))
+    assert names(engine.search("clay water", limit=1, offset=1)) == page[1:2]
 
     # a file that shrinks leaves no chunk behind
-    (folder / "large.txt").write_text("Now this file is short, but still long enough to be kept.")
+    (folder / "bricks.txt").write_text("Now this file is short, but still long enough to be kept.")
     again = engine.index_directory(str(folder)).first()
-    assert again.new_files == 1 and engine.store.table("chunks").where(F.col("file_id") == large).count() == 1
-    (folder / "large.txt").write_text("tiny")
-    engine.index_file(str(folder / "large.txt"))
-    assert engine.store.table("chunks").where(F.col("file_id") == large).count() == 0
-    assert engine.store.table("files").where(F.col("id") == large).count() == 1
+    assert again.new_files == 1 and engine.store.table("chunks").where(F.col("file_id") == bricks).count() == 1
+    (folder / "bricks.txt").write_text("tiny")
+    engine.index_file(str(folder / "bricks.txt"))
+    assert engine.store.table("chunks").where(F.col("file_id") == bricks).count() == 0
+    assert engine.store.table("files").where(F.col("id") == bricks).count() == 1
 
     # removal takes all that hangs on a file
-    path = engine.store.table("files").where("path LIKE '%doc2.txt'").first().path
+    path = engine.store.table("files").where("path LIKE '%bowls.txt'").first().path
     assert engine.remove_path(path) and not engine.remove_path(path)
-    assert "doc2.txt" not in names(engine.keyword("memory safety"))
+    assert "bowls.txt" not in names(engine.keyword("clay bowls"))
     with pytest.raises(FileNotIndexed):
         engine.remove_file("no such id")
     chunk_ids = engine.store.table("chunks").select("chunk_id")
     assert engine.store.table("embeddings").join(chunk_ids, "chunk_id", "left_anti").count() == 0
 
     # vanished files go with full_sync alone
-    (folder / "doc1.txt").unlink()
+    (folder / "heron.txt").unlink()
     assert engine.index_directory(str(folder)).first().removed_files == 0
     assert engine.index_directory(str(folder), full_sync=True).first().removed_files == 1
     assert engine.count_in_dir(engine.store.table("files").first().path.rpartition("/")[0]) >= 1
@@ -100,8 +100,8 @@ def test_another_model_indexes_anew(engine, folder):
     engine.switch_model("words")
     assert engine.index_directory(str(folder)).first().new_files == 7
     assert engine.store.table("sparse").count() == engine.store.table("chunks").count()
-    rows = engine.search(SearchQuery("neural networks", mode=SearchMode.KEYWORD)).collect()
-    assert [r.file_record.path.rpartition("/")[2] for r in rows] == ["doc3.txt"] and 0 < rows[0].score < 1
+    rows = engine.search(SearchQuery("trains viaduct", mode=SearchMode.KEYWORD)).collect()
+    assert [r.file_record.path.rpartition("/")[2] for r in rows] == ["trains.txt"] and 0 < rows[0].score < 1
     with pytest.raises(ModelNotLoaded):
         engine.switch_model("absent")
     engine.record_model("words", "/models/words", "1")
@@ -114,9 +114,9 @@ def test_type_filter_before_or_after_the_limit(spark, tmp_path, folder):
     engine = Engine(spark, Options(str(tmp_path / "index")))
     engine.index_directory(str(folder))
     assert engine.store.table("chunks").where("kind = 'image'").first().content == "Image: picture.png (640×480 pixels)"
-    found = engine.search(SearchQuery("fox", ("image",), limit=1, mode=SearchMode.VECTOR)).count()
+    found = engine.search(SearchQuery("heron", ("image",), limit=1, mode=SearchMode.VECTOR)).count()
     engine.options.pushdown_types = True
-    assert engine.search(SearchQuery("fox", ("image",), limit=1, mode=SearchMode.VECTOR)).count() == 1 >= found
+    assert engine.search(SearchQuery("heron", ("image",), limit=1, mode=SearchMode.VECTOR)).count() == 1 >= found
 
 
 def test_images_have_a_model_of_their_own(spark, tmp_path, folder):
@@ -133,14 +133,14 @@ def test_an_index_stands_for_the_scan(spark, tmp_path, folder):
     engine = Engine(spark, Options(str(tmp_path / "index"), scale="cosine"))
     engine.index_directory(str(folder))
     assert engine.vector_index() is None  # few vectors
-    query = SearchQuery(TEXTS["doc1.txt"], limit=3, mode=SearchMode.VECTOR)
+    query = SearchQuery(TEXTS["heron.txt"], limit=3, mode=SearchMode.VECTOR)
     exact = names(engine.search(query))
     engine.options.ann = "force"
     index = engine.vector_index()
     assert index is not None and engine.vector_index() is index
-    assert names(engine.search(query))[0] == exact[0] == "doc1.txt"
-    engine.remove_path(engine.store.table("files").where("path LIKE '%doc1.txt'").first().path)
-    assert engine.vector_index() is not index and "doc1.txt" not in names(engine.search(query))
+    assert names(engine.search(query))[0] == exact[0] == "heron.txt"
+    engine.remove_path(engine.store.table("files").where("path LIKE '%heron.txt'").first().path)
+    assert engine.vector_index() is not index and "heron.txt" not in names(engine.search(query))
 
 
 def test_old_versions_stay_readable_until_pruned(engine, folder):
@@ -169,8 +169,9 @@ def test_command_line(spark, tmp_path, folder):
         return said
 
     assert json.loads(call("index", str(folder))[0])["new_files"] == 7
-    assert "doc1.txt" in call("search", "lazy dog", "-l", "1", "-m", "nonsense")[0]
-    [row] = json.loads(call("search", "lazy dog", "-l", "1", "-m", "keyword", "--json")[0])
+    assert "[hybrid]" in call("search", "waited for trout", "-l", "1", "-m", "nonsense")[0]
+    assert "heron.txt" in call("search", "waited for trout", "-l", "1", "-m", "keyword")[0]
+    [row] = json.loads(call("search", "waited for trout", "-l", "1", "-m", "keyword", "--json")[0])
     assert row["match_type"] == "keyword" and row["chunk_index"] == 0
     assert json.loads(call("stats")[0])["total_files"] == 7
     first = call("list", "-l", "2")[0]
