@@ -313,8 +313,10 @@ def unlinked_pairs(large: DataFrame, found: DataFrame, percent: int) -> DataFram
     b = blocks.select("node", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"), name.alias("b"))
     met = a.join(b, ["node", "size"]).where("b.is_main OR a <= b").select("node", "a", "b", F.xxhash64("node", "a", "b", F.lit("sides")).alias("pair"))
     ends = met.select("node", F.explode(F.array("a", "b")).alias("own"), "pair").groupBy("node", "own.is_main", "own.size", "own.block").agg(F.collect_set("pair").alias("pairs"))
-    dealt = sided.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_HOOKS else sizes, keys).withColumn("block", _block_of(F.col("blocks")))
-    return dealt.join(ends, [*keys, "block"]).select("digest", F.explode("pairs").alias("node"))
+    ends = materialise(ends, "large-pairs")
+    small = (ends.agg(F.sum(F.size("pairs"))).first()[0] or 0) <= BROADCAST_HOOKS  # of these, and so of sizes: a block has a pair
+    dealt = sided.join(F.broadcast(sizes) if small else sizes, keys).withColumn("block", _block_of(F.col("blocks")))
+    return dealt.join(F.broadcast(ends) if small else ends, [*keys, "block"]).select("digest", F.explode("pairs").alias("node"))
 
 
 def _follow(hooks: DataFrame) -> DataFrame:
