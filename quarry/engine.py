@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from quarry.sources.scan import scan
 from quarry.store import Store
 
 
+#: Tables that hold what belongs to files.
+HELD = ("files", "chunks", "embeddings", "sparse")
+
+
 @dataclass
 class Options:
     """How an engine is built."""
@@ -58,15 +65,16 @@ class Engine:
 
     def vector_index(self) -> InvertedFile | None:
         """The inverted file of the current vectors, built when there are many (or ann is force), kept until they change."""
-        made_of = (self.store.current().get("embeddings"), self.options.model, self.options.ann)
-        if made_of[0] is None or self.options.ann == "off":
+        held = self.store.current().get("embeddings")
+        made_of = (hashlib.sha256(json.dumps(held, sort_keys=True).encode()).hexdigest()[:32], self.options.model, self.options.ann)
+        if not held or self.options.ann == "off":
             return None
         if self._index[0] != made_of:
             own = self.store.table("embeddings").where(F.col("model_id") == self.model.model_id)
             n = own.count()
             index = None
             if n and use_ann(n, self.options.ann):
-                index = InvertedFile.build(own, self.model.dim, path=f"{self.store.root}/ann/{made_of[0].rpartition('/')[2]}-{self.options.model}")
+                index = InvertedFile.build(own, self.model.dim, path=f"{self.store.root}/ann/{made_of[0]}-{self.options.model}")
             self._index = (made_of, index)
         return self._index[1]
 
@@ -84,10 +92,10 @@ class Engine:
         within a folder and weren't scanned are removed.
         """
         tables = self.store.tables()
-        changed = ingest.changed_files(scanned, tables["files"], self.model.model_id).persist()
+        changed = ingest.changed_files(scanned, tables["files"], self.model.model_id).persist(StorageLevel.DISK_ONLY)
         try:
             files = ingest.file_rows(changed)
-            chunks = ingest.chunk_rows(changed, self.parsers).persist()
+            chunks = ingest.chunk_rows(changed, self.parsers).persist(StorageLevel.DISK_ONLY)
             new = {"files": files, "chunks": chunks, "embeddings": ingest.embedding_rows(chunks, self.model, self.image_model)}
             sparse = ingest.sparse_rows(chunks, self.model)
             new |= {} if sparse is None else {"sparse": sparse}
@@ -101,8 +109,9 @@ class Engine:
             else:
                 n_lost = 0
             if by_type or n_lost:
-                held = {name: tables[name] for name in ("files", "chunks", "embeddings", "sparse")}
-                self.store.write(merge.replace_files(held, new, gone))
+                buckets = self.store.buckets_of(gone)
+                held = {name: self.store.table(name, buckets) for name in HELD}
+                self.store.write(merge.replace_files(held, new, gone), buckets)
             total = self.store.table("chunks").count()
             return self.spark.createDataFrame([(sum(by_type.values()), total, by_type, n_lost)], "new_files long, total_chunks long, files_by_type map<string,long>, removed_files long")
         finally:
@@ -124,6 +133,15 @@ class Engine:
     def remove_file(self, file_id: str) -> None:
         self._remove(catalog.get_file(self.store.table("files"), file_id=file_id), file_id)
 
+    def remove_paths(self, paths: list[str]) -> int:
+        """Removes all files with these paths in one write; returns how many there were."""
+        named = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        found = self.store.table("files").join(named, "path", "left_semi")
+        n = found.count()
+        if n:
+            self._remove(found, "")
+        return n
+
     def remove_path(self, path: str) -> bool:
         try:
             self._remove(catalog.get_file(self.store.table("files"), path=path), path)
@@ -134,10 +152,12 @@ class Engine:
     def _remove(self, found: DataFrame, what: str) -> None:
         if found.isEmpty():
             raise FileNotIndexed(what)
-        self.store.write(merge.delete_files({name: self.store.table(name) for name in ("files", "chunks", "embeddings", "sparse")}, found.select(F.col("id").alias("file_id"))))
+        gone = found.select(F.col("id").alias("file_id"))
+        buckets = self.store.buckets_of(gone)
+        self.store.write(merge.delete_files({name: self.store.table(name, buckets) for name in HELD}, gone), buckets)
 
     def clear(self) -> None:
-        self.store.write({name: self.store.table(name).limit(0) for name in ("files", "chunks", "embeddings", "sparse")})
+        self.store.write({name: self.store.table(name).limit(0) for name in HELD})
 
     # --- queries
 

@@ -31,3 +31,7 @@ class UnsupportedFileType(EngineError):
 
 class FileNotIndexed(EngineError):
     """No file with that id or path is in the index."""
+
+
+class ConcurrentChange(StorageError):
+    """Two writers began from the same version of a store."""

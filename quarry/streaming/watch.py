@@ -18,14 +18,16 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.engine import Engine
 from quarry.functions import paths
 from quarry.schema import EVENTS
-from quarry.sources.scan import scan_paths
+from quarry.sources.scan import scan, scan_paths
 
 #: Pause that ends a burst; how late an event may come; seconds between rescans.
 DEBOUNCE, LATE, RESCAN = "500 milliseconds", "10 minutes", 300.0
+#: Files of the event log that a batch takes at most, so that a backlog comes in parts.
+FILES_A_BATCH = 64
 
 
-def read_events(spark: SparkSession, folder: str, format: str = "json") -> DataFrame:
-    return spark.readStream.schema(EVENTS).format(format).load(folder)
+def read_events(spark: SparkSession, folder: str, format: str = "json", files: int = FILES_A_BATCH) -> DataFrame:
+    return spark.readStream.schema(EVENTS).format(format).option("maxFilesPerTrigger", files).load(folder)
 
 
 def debounce(events: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
@@ -50,36 +52,67 @@ def wanted(events: DataFrame, engine: Engine, root: str) -> DataFrame:
 
 
 def apply_events(engine: Engine, batch: DataFrame, root: str) -> None:
-    """Indexes files that exist and removes those that don't, whatever the event says of them."""
-    last = latest(wanted(batch, engine, root)).persist()
-    try:
-        named = [r.path for r in last.select("path").distinct().collect()]  # a batch is bounded by the trigger
-        if not named:
-            return
-        jvm = engine.spark.sparkContext._jvm
-        conf = engine.spark.sparkContext._jsc.hadoopConfiguration()
-        here, gone = [], []
-        for p in named:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            fs = path.getFileSystem(conf)
-            if not fs.exists(path):
-                gone.append(fs.makeQualified(path).toString())
-            elif not fs.getFileStatus(path).isDirectory():
+    """Indexes files that exist and removes those that don't, in one write each, whatever the event says of them."""
+    bursts = debounce(wanted(batch, engine, root)).select("path", "op", F.col("last_ts").alias("ts"))
+    here, gone = _existing(engine.spark, [r.path for r in latest(bursts).select("path").collect()])  # a batch is bounded by the trigger
+    if here:
+        engine.index_scanned(scan_paths(engine.spark, here))
+    if gone:
+        engine.remove_paths(gone)
+
+
+def _existing(spark: SparkSession, named: list[str]) -> tuple[list[str], list[str]]:
+    """Paths of files that exist, and whole URIs of what doesn't; each folder above them is listed once."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders: dict[str, list[str]] = {}
+    for p in named:
+        folders.setdefault(p.rpartition("/")[0] or "/", []).append(p)
+    here, gone = [], []
+    for folder, own in folders.items():
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(conf)
+        found = {s.getPath().getName(): s.isDirectory() for s in fs.listStatus(path)} if fs.exists(path) else {}
+        for p in own:
+            name = p.rpartition("/")[2]
+            if name not in found:
+                gone.append(fs.makeQualified(jvm.org.apache.hadoop.fs.Path(p)).toString())
+            elif not found[name]:
                 here.append(p)
-        if here:
-            engine.index_scanned(scan_paths(engine.spark, here))
-        for p in gone:
-            engine.remove_path(p)
-    finally:
-        last.unpersist()
+    return here, gone
 
 
-def watch(engine: Engine, log: str, root: str, checkpoint: str, available_now: bool = False, interval: str = "500 milliseconds") -> StreamingQuery:
-    """Starts the stream; it resumes from its checkpoint and ends with StreamingQuery.stop()."""
-    writer = read_events(engine.spark, log).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: apply_events(engine, batch, root))
+def watch(engine: Engine, log: str, root: str, checkpoint: str, available_now: bool = False, interval: str = "500 milliseconds", late: str | None = None) -> StreamingQuery:
+    """Starts the stream; it resumes from its checkpoint and ends with StreamingQuery.stop().
+
+    A batch takes the last event of each burst in it. With late, a burst may span batches: it
+    is held in state until the watermark, late behind the last event, has passed its end.
+    """
+    events = read_events(engine.spark, log)
+    if late is not None:
+        events = debounced_stream(events, late=late).select("path", "op", F.col("last_ts").alias("ts"))
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: apply_events(engine, batch, root))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
+class FolderLog:
+    """Writes the event log of a folder: what has come, changed or gone since the last look, ignored folders apart."""
+
+    def __init__(self, engine: Engine, root: str, log: str):
+        self.engine, self.root, self.log = engine, root, log
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def look(self) -> int:
+        """One look at the folder; the number of events written."""
+        spark = self.engine.spark
+        rows = scan(spark, self.root, self.engine.options.ignore, with_content=False).select("path", "size", F.unix_micros("modified_at").alias("at")).collect()
+        now = {r.path: (r.size, r.at) for r in rows}
+        events = [(p, "upsert") for p, state in now.items() if self.known.get(p) != state] + [(p, "delete") for p in self.known.keys() - now.keys()]
+        if events:
+            spark.createDataFrame(events, "path string, op string").withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").json(self.log)
+        self.known = now
+        return len(events)
+
+
 @dataclass
 class Progress:
     """What a background run is at."""

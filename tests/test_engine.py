@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.cli import parser, run
 from quarry.engine import Engine, Options
-from quarry.errors import FileNotIndexed, ModelNotLoaded, UnsupportedFileType
+from quarry.errors import ConcurrentChange, FileNotIndexed, ModelNotLoaded, UnsupportedFileType
 from quarry.functions.paths import IgnoreConfig
 from quarry.plugins import HashEmbedder
 from quarry.schema import SearchMode, SearchQuery
@@ -151,6 +151,47 @@ def test_old_versions_stay_readable_until_pruned(engine, folder):
     assert len(engine.store.versions()) == 2
 
 
+def test_a_change_rewrites_its_buckets_alone(engine, folder):
+    engine.index_directory(str(folder))
+    before = engine.store.current()
+    (folder / "heron.txt").write_text("The heron has flown away over the reeds this morning.")
+    engine.index_directory(str(folder))
+    after = engine.store.current()
+    for name in ("files", "chunks", "embeddings"):
+        changed = {b for b in before[name].keys() | after[name].keys() if before[name].get(b) != after[name].get(b)}
+        assert len(changed) == 1 < len(before[name])
+    assert names(engine.keyword("heron"))[0] == "heron.txt" and engine.store.table("files").count() == 7
+
+
+def test_removals_come_in_one_write(engine, folder):
+    engine.index_directory(str(folder))
+    paths = [r.path for r in engine.list_files(3).collect()]
+    n = len(engine.store.versions())
+    assert engine.remove_paths([*paths, "/no/such"]) == 3 and engine.remove_paths(["/no/such"]) == 0
+    assert engine.store.table("files").count() == 4 and len(engine.store.versions()) == n + 1
+
+
+def test_of_two_writers_one_fails(engine, folder):
+    engine.index_directory(str(folder))
+    n = engine.store.versions()[-1] + 1
+    engine.store._claim(n)  # another writer has begun
+    with pytest.raises(ConcurrentChange):
+        engine.clear()
+    assert engine.store.table("files").count() == 7
+    engine.store._fs.delete(engine.store._path(engine.store._version(n) + ".claim"), False)
+    engine.clear()
+    assert engine.store.table("files").count() == 0
+
+
+def test_old_versions_go_with_their_folders(engine, folder, tmp_path):
+    for i in range(6):
+        (folder / "heron.txt").write_text(f"Morning number {i}: the heron stands in the shallows again.")
+        engine.index_directory(str(folder))
+    named = {f for v in engine.store.versions() for folders in engine.store._read_json(engine.store._version(v)).values() for f in folders.values()}
+    left = {str(p.relative_to(tmp_path / "index")) for p in (tmp_path / "index" / "data").glob("*/bucket=*")}
+    assert left == named and len(engine.store.versions()) == 3 and engine.keyword("heron").count() == 1
+
+
 def test_unsupported_and_ignored(spark, engine, folder):
     with pytest.raises(UnsupportedFileType):
         engine.index_file(str(folder / "unknown.zzz"))

@@ -5,7 +5,7 @@ import time
 from datetime import datetime, timedelta
 
 from quarry.engine import Engine
-from quarry.streaming.watch import Rescan, debounce, debounced_stream, latest, read_events, watch
+from quarry.streaming.watch import FolderLog, Rescan, debounce, debounced_stream, latest, read_events, watch
 
 T0 = datetime(2024, 1, 1)
 
@@ -57,6 +57,38 @@ def test_watch_applies_changes_and_resumes(spark, tmp_path):
     assert engine.list_files().count() == 0
 
 
+def test_a_folder_writes_its_own_log(spark, tmp_path):
+    """What comes, changes and goes is logged, and the log is all that watching needs."""
+    root, log = tmp_path / "files", tmp_path / "log"
+    (root / "node_modules").mkdir(parents=True)
+    engine = Engine(spark, str(tmp_path / "index"))
+    for name in ("a.txt", "b.txt", "node_modules/c.txt"):
+        (root / name).write_text(f"The first words of {name}, and enough of them to be kept.")
+    folder = FolderLog(engine, str(root), str(log))
+
+    def drain():
+        watch(engine, str(log), str(root), str(tmp_path / "cp"), available_now=True).awaitTermination()
+        return sorted(r.path.rpartition("/")[2] for r in engine.list_files().collect())
+
+    assert folder.look() == 2 and folder.look() == 0
+    assert drain() == ["a.txt", "b.txt"]
+    (root / "a.txt").unlink()
+    (root / "d.txt").write_text("A file that came later, with words enough to be kept.")
+    assert folder.look() == 2 and drain() == ["b.txt", "d.txt"]
+
+
+def test_bursts_that_span_batches(spark, tmp_path):
+    """With a lateness, events wait for the watermark; a batch takes a bounded number of log files."""
+    root, log = tmp_path / "files", tmp_path / "log"
+    root.mkdir()
+    (root / "a.txt").write_text("A text that is long enough to be kept by the filter.")
+    engine = Engine(spark, str(tmp_path / "index"))
+    write_log(log, "1.json", [(str(root / "a.txt"), "upsert", 0.0)])
+    write_log(log, "2.json", [(str(root / "a.txt"), "upsert", 0.3), (str(root / "later.txt"), "upsert", 100)])
+    watch(engine, str(log), str(root), str(tmp_path / "cp"), available_now=True, late="1 second").awaitTermination()
+    assert engine.list_files().count() == 1
+
+
 def test_rescan(spark, tmp_path):
     root = tmp_path / "files"
     root.mkdir()
