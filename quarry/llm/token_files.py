@@ -33,8 +33,8 @@ MAGIC, BLOCK_TOKENS, STRIDE, MAX_BITS = b"QTOK1\n", 1 << 16, 256, 20
 AT_ONCE = 16
 #: Ids in transit: two bytes where the vocabulary allows it, else four.
 ID_TYPES = {False: ("<u2", "H"), True: ("<u4", "I")}
-#: Bytes of a worker's memo of encoded words, about; it starts anew beyond that. Longest word that it keeps, and what an entry takes beside its characters.
-MEMO_BYTES, MEMO_CHARS, ENTRY = 160 << 20, 64, 200
+#: Entries of a worker's memo of encoded words; it starts anew beyond that. Longest word that it keeps: no entry takes more than some 500 bytes.
+MEMO, MEMO_CHARS = 800_000, 64
 
 
 # --- encoding of texts ------------------------------------------------------
@@ -54,13 +54,14 @@ class WordMemo(dict):
     #: Letters of all Unicode versions.
     PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ƺ]+")
 
-    def __init__(self, path: str, limit: int = MEMO_BYTES):
+    def __init__(self, path: str, limit: int = MEMO):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit, self.weight = Tokenizer.from_file(path), limit, 0
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model = self.tokenizer.model
+        self.tokenize = self.model.tokenize
         self.dtype, self.code = ID_TYPES[self.tokenizer.get_vocab_size() > 1 << 16]
         kind = self.tokenizer.pre_tokenizer
         self.cuts = isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.tokenizer.normalizer is None
@@ -79,29 +80,34 @@ class WordMemo(dict):
 
     def _part(self, word: str, lead: str) -> bytes:
         shown = word if word.isascii() else word.translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(lead + shown)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(lead + shown)]).tobytes()
 
     def __missing__(self, key: str) -> bytes:
-        first = key[0] == "\n"
-        word = key[1:] if first else key
-        if self.PLAIN.fullmatch(word):
-            ids = self.newline + self._part(word, "") if first else self._part(word, self.space)
-        elif word[-1] in self.marks and self.PLAIN.fullmatch(word, 0, len(word) - 1):
-            ids = self[key[:-1]] + self.marks[key[-1]]
+        if key.isalpha() and key.isascii():
+            ids = array(self.code, [t.id for t in self.tokenize(self.space + key)]).tobytes()
         else:
-            ids = self.newline + self.whole([word])[0] if first else self.whole([" " + word])[0]
+            ids = self._other(key)
         if len(key) <= MEMO_CHARS:
             self[key] = ids
-            self.weight += ENTRY + len(key) + len(ids)
         return ids
 
+    def _other(self, key: str) -> bytes:
+        """A key that has more than ASCII letters."""
+        first = key[0] == "\n"
+        word = key[1:] if first else key
+        if self.PLAIN.fullmatch(word):
+            return self.newline + self._part(word, "") if first else self._part(word, self.space)
+        if word[-1] in self.marks and self.PLAIN.fullmatch(word, 0, len(word) - 1):
+            bare = self.get(key[:-1]) or (self.newline + self._part(word[:-1], "") if first else self._part(word[:-1], self.space))
+            return bare + self.marks[word[-1]]
+        return self.newline + self.whole([word])[0] if first else self.whole([" " + word])[0]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype."""
         if not self.cuts:
             return self.whole(texts)
-        if self.weight > self.limit:
+        if len(self) > self.limit:
             self.clear()
-            self.weight = 0
         get, skip, out = self.__getitem__, len(self.newline), []
         for text in texts:
             flat = text.replace("\n", " ")
