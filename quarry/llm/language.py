@@ -39,6 +39,8 @@ TEMPER = 0.5
 DECLARED_RIGHT, SUFFIX_WEIGHT, HOST_WEIGHT = 0.9, 20.0, 20.0
 #: A document is kept with at least this posterior and share of known n-grams.
 LEAST_POSTERIOR, LEAST_KNOWN = 0.5, 0.3
+#: Bytes of a text whose n-grams are looked up together.
+SLICE = 1 << 19
 #: Hosts whose priors are broadcast; more are joined by salted keys.
 BROADCAST_HOSTS = 200_000
 #: Bytes that are letters: a-z and all of non-ASCII characters.
@@ -86,15 +88,20 @@ class TextModel:
         """A row a text: tempered log-likelihoods, 0 for the best, then the share of n-grams that are known."""
         n = len(self.languages)
         parts = [letters_of(t) for t in texts]
+        if any(len(p) > SLICE for p in parts) and len(parts) > 1:
+            return np.vstack([self.evidence([t]) for t in texts])
         sizes = np.array(list(map(len, parts)))
         out = np.zeros((len(texts), n + 1))
         full = np.flatnonzero(sizes)
         if len(full):
             starts = (np.cumsum(sizes) - sizes)[full]
-            found = self.table[buckets(b"".join(parts) + b"  ")]
-            ends = np.cumsum(sizes)[full]
-            found[np.concatenate([ends - 2, ends - 1])] = 0.0  # what begins there goes on into the next text
-            sums = np.add.reduceat(found, starts, axis=0, dtype=np.float64)
+            if sizes.max() > SLICE:  # one long text, a slice at a time
+                sums = sum(self.table[buckets(parts[0][i : i + SLICE + 2])].sum(0, dtype=np.float64) for i in range(0, len(parts[0]), SLICE))[None, :]
+            else:
+                found = self.table[buckets(b"".join(parts) + b"  ")]
+                ends = np.cumsum(sizes)[full]
+                found[np.concatenate([ends - 2, ends - 1])] = 0.0  # what begins there goes on into the next text
+                sums = np.add.reduceat(found, starts, axis=0, dtype=np.float64)
             scores = sums[:, :n]
             out[full, :n] = TEMPER * (scores - scores.max(1, keepdims=True))
             out[full, n] = sums[:, n] / (sizes[full] - 2)

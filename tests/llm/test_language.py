@@ -37,6 +37,14 @@ def test_a_text_is_judged_by_itself():
     assert model.evidence(["the cat", "", None, "le chat"]).tolist() == [pytest.approx(a) for a in alone]
 
 
+def test_long_texts_are_judged_in_slices(monkeypatch):
+    model = TextModel.train(iter([("en", "the cat and the dog"), ("fr", "le chat et le chien")]))
+    texts = ["the cat " * 50, "", None, "le chien et la " * 400, "the dog"]
+    whole = model.evidence(texts)
+    monkeypatch.setattr("quarry.llm.language.SLICE", 97)
+    assert model.evidence(texts) == pytest.approx(whole)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = identify_languages(odd_docs).collect()
     assert len(rows) == odd_docs.count()
