@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.errors import FileNotIndexed, ModelNotLoaded
 from quarry.functions.paths import IgnoreConfig
-from quarry.operators import catalog, ingest, merge
+from quarry.operators import catalog, ingest, merge, postings
 from quarry.operators.search import image_hits, search
 from quarry.operators.vector import InvertedFile, use_ann
 from quarry.plugins import EmbeddingModel, HashEmbedder, ModelRegistry, WordWeights
@@ -23,7 +23,7 @@ from quarry.store import Store
 
 
 #: Tables that hold what belongs to files.
-HELD = ("files", "chunks", "embeddings", "sparse")
+HELD = ("files", "chunks", "embeddings", "sparse", "postings")
 
 
 @dataclass
@@ -78,6 +78,11 @@ class Engine:
             self._index = (made_of, index)
         return self._index[1]
 
+    def has_postings(self) -> bool:
+        """Whether keyword search has its index: all stores but those that were filled before there was one."""
+        held = self.store.current()
+        return "chunks" not in held or "postings" in held
+
     def switch_model(self, model_id: str) -> None:
         """Files are indexed anew under another model when they are scanned again."""
         self.models.get(model_id)
@@ -99,6 +104,7 @@ class Engine:
             new = {"files": files, "chunks": chunks, "embeddings": ingest.embedding_rows(chunks, self.model, self.image_model)}
             sparse = ingest.sparse_rows(chunks, self.model)
             new |= {} if sparse is None else {"sparse": sparse}
+            new |= {"postings": postings.build(chunks)} if self.has_postings() else {}
             by_type = {r.file_type: r.n_files for r in catalog.files_by_type(changed.select("file_type")).collect()}
             gone = changed.select(F.col("id").alias("file_id"))
             if full_sync:
@@ -110,7 +116,7 @@ class Engine:
                 n_lost = 0
             if by_type or n_lost:
                 buckets = self.store.buckets_of(gone)
-                held = {name: self.store.table(name, buckets) for name in HELD}
+                held = self._held(buckets)
                 self.store.write(merge.replace_files(held, new, gone), buckets)
             total = self.store.table("chunks").count()
             return self.spark.createDataFrame([(sum(by_type.values()), total, by_type, n_lost)], "new_files long, total_chunks long, files_by_type map<string,long>, removed_files long")
@@ -154,10 +160,14 @@ class Engine:
             raise FileNotIndexed(what)
         gone = found.select(F.col("id").alias("file_id"))
         buckets = self.store.buckets_of(gone)
-        self.store.write(merge.delete_files({name: self.store.table(name, buckets) for name in HELD}, gone), buckets)
+        self.store.write(merge.delete_files(self._held(buckets), gone), buckets)
 
     def clear(self) -> None:
-        self.store.write({name: self.store.table(name).limit(0) for name in HELD})
+        self.store.write({name: rows.limit(0) for name, rows in self._held().items()})
+
+    def _held(self, buckets: list[int] | None = None) -> dict[str, DataFrame]:
+        """What belongs to files, in some buckets or all."""
+        return {name: self.store.table(name, buckets) for name in HELD if name != "postings" or self.has_postings()}
 
     # --- queries
 
@@ -168,6 +178,8 @@ class Engine:
             images = image_hits(tables, q, self.image_model)
         if self.model.sparse_query("x") is None:
             tables.pop("sparse")
+        if not self.has_postings():
+            tables.pop("postings")
         return search(self.spark, tables, q, self.model, scale=self.options.scale, strict=self.options.strict, pushdown_types=self.options.pushdown_types, images=images, index=self.vector_index())
 
     def keyword(self, text: str, limit: int = 20) -> DataFrame:

@@ -128,15 +128,20 @@ def bm25(docs: DataFrame, query: str, content: str = "content", strict: bool = F
     stats = counted.agg(F.count("*").alias("n"), F.avg("__d").alias("avg"), *[F.sum((F.col("__f")[i] > 0).cast("long")).alias(f"n{i}") for i in range(len(unique))]).first()
     if not stats.n:
         return empty
-    place = {t: i for i, t in enumerate(unique)}
-    f = F.col("__f")
+    return scored(counted, tree, unique, stats.n, stats.avg, [stats[f"n{i}"] for i in range(len(unique))])
+
+
+def scored(counted: DataFrame, tree: Node, terms: list[str], rows: int, avg: float | None, have: list[int | None]) -> DataFrame:
+    """The rows of counted that match, with bm25 in the place of __f (the terms' counts) and __d (the length).
+
+    rows, avg: number and average length of all rows; have: the rows that hold each term.
+    """
+    f, place = F.col("__f"), {t: i for i, t in enumerate(terms)}
     hits = {t: f[i] > 0 for t, i in place.items()}
     total = F.lit(0.0)
     for t, when in tree.counted(hits, F.lit(True)):
         i = place[t]
-        have = stats[f"n{i}"] or 0
-        idf = _idf(stats.n, have)
-        part = F.lit(idf) * (f[i] * (K1 + 1)) / (f[i] + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__d") / F.lit(stats.avg or 1.0)))
+        part = F.lit(_idf(rows, have[i] or 0)) * (f[i] * (K1 + 1)) / (f[i] + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__d") / F.lit(avg or 1.0)))
         total = total + F.when(when, part).otherwise(0.0)
     return counted.where(tree.matches(hits)).withColumn("bm25", -total).drop("__f", "__d")
 

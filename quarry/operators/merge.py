@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tables that hang on a file by its chunks.
-DEPENDENT = ("embeddings", "sparse")
+DEPENDENT = ("embeddings", "sparse", "postings")
 
 
 def diff(scanned: DataFrame, known: DataFrame, key: str = "path", hash_col: str = "content_hash", full_sync: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import cut, paths
 from quarry.functions import text as tf
 from quarry.functions import vectors as V
-from quarry.operators import catalog, fusion, keyword, merge, sparse, vector
+from quarry.operators import catalog, fusion, keyword, merge, postings, sparse, vector
 from quarry.plugins import Code, HashEmbedder
 from quarry.streaming.watch import debounce, latest
 
@@ -180,6 +180,24 @@ def keyword_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.bm25(_contents(spark, sf_dir), "heit AND der OR mente NOT que").select("doc_id")
 
 
+@query(_SQL_BM25 + "SELECT doc_id, round(bm25, 6) AS bm25 FROM k")
+def keyword_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keyword_bm25 from an index of all documents, made first."""
+    index = postings.build(_contents(spark, sf_dir), "doc_id")
+    return postings.bm25(index, KEYWORDS, "doc_id").select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents),
+     g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(s) - 1, 1)), lambda i: substring(s, i, 3))) AS run FROM t)
+SELECT doc_id, count(*) AS n_places, count(DISTINCT run) AS n_runs FROM g GROUP BY 1
+""")
+def keyword_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and distinct runs that the index holds of each document."""
+    index = postings.build(_contents(spark, sf_dir), "doc_id").where(F.col("term") != postings.WHOLE)
+    return index.groupBy("doc_id").agg(F.sum(F.size("places")).alias("n_places"), F.count("*").alias("n_runs"))
+
+
 @query("SELECT doc_id, substring(coalesce(text, ''), 1, 2000) AS snippet, substring(coalesce(text, ''), 1, 120) AS preview FROM documents")
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.coalesce("text", F.lit(""))

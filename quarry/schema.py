@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 
 def _struct(spec: str) -> T.StructType:
-    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType(), False), "weights": T.MapType(T.IntegerType(), T.FloatType(), False)}
+    kinds = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType(), False), "weights": T.MapType(T.IntegerType(), T.FloatType(), False), "places": T.ArrayType(T.IntegerType(), True)}
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (part.split(":") for part in spec.split())])
 
 
@@ -17,6 +17,7 @@ FILES = _struct("id:string path:string file_type:string size:long modified_at:ti
 CHUNKS = _struct("chunk_id:string file_id:string chunk_index:int kind:string content:string")
 EMBEDDINGS = _struct("chunk_id:string model_id:string dim:int embedding:vector")
 SPARSE = _struct("chunk_id:string model_id:string weights:weights")
+POSTINGS = _struct("chunk_id:string term:long length:int places:places")
 MODELS = _struct("model_id:string local_path:string version:string downloaded_at:timestamp")
 EVENTS = _struct("path:string op:string ts:timestamp")
 RESULTS = T.StructType([
@@ -25,7 +26,7 @@ RESULTS = T.StructType([
 ])
 STATS = T.StructType([T.StructField("total_files", T.LongType()), T.StructField("total_chunks", T.LongType()), T.StructField("files_by_type", T.MapType(T.StringType(), T.LongType())), T.StructField("index_size_bytes", T.LongType())])
 
-TABLES = {"files": FILES, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "sparse": SPARSE, "models": MODELS}
+TABLES = {"files": FILES, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "sparse": SPARSE, "postings": POSTINGS, "models": MODELS}
 
 
 class SearchMode(str, Enum):

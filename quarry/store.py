@@ -22,7 +22,9 @@ from quarry.schema import TABLES
 #: Versions that stay; buckets of a new store; seconds after which a writer that never ended is passed over.
 KEEP, BUCKETS, STALE = 3, 64, 3600.0
 #: The file that a row belongs to.
-FILE_OF = {"files": "id", "chunks": "file_id", "embeddings": "substring_index(chunk_id, ':', 1)", "sparse": "substring_index(chunk_id, ':', 1)"}
+FILE_OF = {"files": "id", "chunks": "file_id", "embeddings": "substring_index(chunk_id, ':', 1)", "sparse": "substring_index(chunk_id, ':', 1)", "postings": "substring_index(chunk_id, ':', 1)"}
+#: Columns that rows are sorted by within files, so that a filter on them reads few pages.
+SORTED_BY = {"files": "path", "chunks": "chunk_id", "postings": "term"}
 
 
 class Store:
@@ -92,7 +94,7 @@ class Store:
                 folder = f"data/{name}-{uuid.uuid4().hex}"
                 number = self.bucket(FILE_OF[name]) if name in FILE_OF else F.lit(0)
                 dealt = rows.select(*TABLES[name].fieldNames(), number.alias("bucket")).hint("rebalance", "bucket")
-                dealt.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+                dealt.sortWithinPartitions("bucket", *([SORTED_BY[name]] if name in SORTED_BY else [])).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
                 kept = {b: f for b, f in folders.get(name, {}).items() if buckets is not None and int(b) not in buckets}
                 made = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if s.isDirectory()]
                 folders[name] = kept | {m.partition("=")[2]: f"{folder}/{m}" for m in made if m.startswith("bucket=")}

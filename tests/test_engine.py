@@ -221,3 +221,37 @@ def test_command_line(spark, tmp_path, folder):
     assert json.loads(call("stats")[0])["total_files"] == 6
     call("clear")
     assert json.loads(call("stats")[0])["total_files"] == 0
+
+
+def test_keyword_index_follows_the_files(spark, engine, folder):
+    from quarry.operators import keyword, postings
+
+    def same():
+        tables = engine.store.tables()
+        for q in ("clay", "every weekday", "heron OR kilns"):
+            a, b = ({r.chunk_id: pytest.approx(r.bm25) for r in f.collect()} for f in (postings.bm25(tables["postings"], q), keyword.bm25(tables["chunks"], q)))
+            assert a == b
+        return tables["postings"].where(F.col("term") == postings.WHOLE).count()
+
+    engine.index_directory(str(folder))
+    n = same()
+    assert n == engine.store.table("chunks").count()
+    (folder / "heron.txt").write_text("Two kilns and one heron, every weekday without a single pause.")
+    (folder / "bowls.txt").unlink()
+    engine.index_directory(str(folder), full_sync=True)
+    assert same() == n - 1
+    assert sorted(names(engine.keyword("kilns"))) == ["heron.txt"]
+    # a query with an index reads no text before its best rows are known
+    assert "PushedFilters: [In(term" in postings.bm25(engine.store.table("postings"), "clay pots")._sc._jvm.PythonSQLUtils.explainString(postings.bm25(engine.store.table("postings"), "clay pots")._jdf.queryExecution(), "formatted")
+
+
+def test_store_without_a_keyword_index(spark, engine, folder, monkeypatch):
+    """A store that was filled before there was an index is searched by scans and stays so."""
+    monkeypatch.setattr(Engine, "has_postings", lambda self: False)
+    engine.index_directory(str(folder))
+    monkeypatch.undo()
+    assert not engine.has_postings()
+    assert names(engine.keyword("clay bowls fire"))[0] == "bowls.txt"
+    (folder / "new.txt").write_text("A kiln for bowls of clay that nobody has fired before today.")
+    engine.index_directory(str(folder))
+    assert not engine.has_postings() and "new.txt" in names(engine.keyword("clay bowls"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
-from quarry.operators import fusion, keyword, sparse, vector
+from quarry.operators import fusion, keyword, postings, sparse, vector
 
 DOCS = [
     "Seven tall ships left the harbour before sunrise.", "Copper kettle, copper spoon", "The harbour lights went out one by one.", "Ein Größenvergleich der Häfen", "oooo ooo", "kettle kettle ships",
@@ -38,6 +38,33 @@ def test_bm25_is_that_of_fts5(docs, fts, q):
         assert found[k] == pytest.approx(expected[k], rel=1e-9, abs=1e-12)
 
 
+ODD = ["\U0001f600\U0001f601 smile \U0001f600\U0001f601", "aaaa aaaaa", "ab", "Größengrößen größ", "kettle\nkettle", "shi ps ship", "x" * 3000 + "yz" * 2000]
+
+
+@pytest.mark.parametrize("q", ["kettle", "ships kettle", "größen", "ooo", "aaa", "aaaa OR ooo", "kettle NOT ships", "xyzyz", "harbour", "\U0001f600\U0001f601 smi", "of ships", "NOT kettle", "nowhere"])
+def test_index_finds_what_the_scan_finds(spark, docs, q, monkeypatch):
+    rows = docs.unionByName(spark.createDataFrame([(200 + i, t) for i, t in enumerate(ODD)], "chunk_id int, content string"))
+    monkeypatch.setattr(postings, "SLICE", 50)
+    index = postings.build(rows)
+    got, want = ({r.chunk_id: r.bm25 for r in f.collect()} for f in (postings.bm25(index, q), keyword.bm25(rows, q)))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
+
+
+def test_index_holds_every_place(spark):
+    texts = [*DOCS, *ODD, None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string")
+    want = {}
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        want[i, postings.WHOLE] = (max(len(low) - 2, 0), ())
+        for at in range(len(low) - 2):
+            n, places = want.get((i, postings.gram(low[at : at + 3])), (len(low) - 2, ()))
+            want[i, postings.gram(low[at : at + 3])] = (n, (*places, at))
+    assert {(r.chunk_id, r.term): (r.length, tuple(r.places)) for r in postings.build(rows).collect()} == want
+    assert postings.build(rows.limit(0)).count() == 0 and postings.bm25(postings.build(rows.limit(0)), "kettle").count() == 0
+
+
 def test_queries_that_find_nothing(docs):
     for q in ("an of", "ships OR", "NOT kettle"):
         assert keyword.bm25(docs, q).count() == 0
