@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from quarry.functions import cut, paths
 from quarry.functions import text as tf
 from quarry.functions import vectors as V
-from quarry.operators import catalog, fusion, keyword, merge, postings, sparse, vector
+from quarry.operators import catalog, fusion, ingest, keyword, merge, postings, sparse, vector
+from quarry.operators.search import search
 from quarry.plugins import Code, HashEmbedder
+from quarry.schema import SearchMode, SearchQuery
+from quarry.sources.preview import preview
 from quarry.streaming.watch import debounce, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,6 +207,17 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tf.snippet(content).alias("snippet"), tf.preview_line(content).alias("preview"))
 
 
+@query(_SQL_BM25 + "SELECT doc_id, round(bm25, 6) AS bm25 FROM k")
+def keyword_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keyword_bm25 with marks around the words and a word that is too short to count."""
+    return keyword.bm25(_contents(spark, sf_dir), ' "heed":*  of(tion)^ - ').select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false")
+def keyword_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.keyword_search(_contents(spark, sf_dir), " \t ", 20, "doc_id").select("doc_id", "score")
+
+
 # --- sparse weights --------------------------------------------------------
 
 _SQL_TOKENS = """
@@ -279,6 +293,81 @@ def multimodal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.merge_images(fused, words, 12, "hybrid", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+# --- search modes over tables of an engine ---------------------------------
+
+_SQL_NEAR = f"""
+     v0 AS (SELECT vec_id AS doc_id, ({_SQL_COS} + 1) / 2 AS score FROM embeddings e, {_SQL_Q} ORDER BY score DESC, vec_id LIMIT 30),
+     v AS (SELECT v0.* FROM v0 JOIN documents USING (doc_id)),
+"""
+_SQL_FUSED = """
+     arms AS (SELECT doc_id, score / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM v UNION ALL SELECT doc_id, score / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM kw),
+     fused AS (SELECT doc_id, least(greatest(sum(part) / (2.0 / 61), 0), 1) AS score FROM arms GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
+"""
+_SQL_HITS = f"""
+     p AS (SELECT doc_id, path, text, {_SQL_TYPE} AS file_type FROM ({_SQL_FILES}))
+SELECT doc_id, path, file_type, round(score, 6) AS score, substring(text, 1, 2000) AS snippet, '%s' AS match_type FROM fused JOIN p USING (doc_id)
+"""
+
+
+class _Asked(HashEmbedder):
+    """A model whose answer to any query is given."""
+
+    def __init__(self, vector: list[float], weights: dict[int, float] | None = None):
+        super().__init__("asked", len(vector))
+        self.vector, self.weights = vector, weights
+
+    def embed_query(self, text: str) -> list[float]:
+        return self.vector
+
+    def sparse_query(self, text: str) -> dict[int, float] | None:
+        return self.weights
+
+
+def _engine_search(spark: SparkSession, sf_dir: str, weights: dict[int, float] | None = None, **asked) -> DataFrame:
+    """Ten rows of a search; documents are files of one chunk each, embeddings those of their chunks."""
+    docs, emb = _files(spark, sf_dir), read(spark, sf_dir, "embeddings")
+    never = F.lit(None).cast("timestamp")
+    tables = {
+        "files": docs.select(F.col("doc_id").alias("id"), "path", paths.file_type(paths.extension(F.col("path"))).alias("file_type"), F.col("n_chars").alias("size"), never.alias("modified_at"), never.alias("indexed_at"), F.lit("").alias("content_hash")),
+        "chunks": docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content")),
+        "embeddings": emb.select(F.col("vec_id").alias("chunk_id"), F.lit("asked").alias("model_id"), "embedding"),
+    }
+    if weights is not None:
+        tables["sparse"] = sparse.max_pool(_token_weights(spark, sf_dir), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    found = search(spark, tables, SearchQuery(KEYWORDS, limit=10, **asked), _Asked(_query_vector(emb), weights))
+    return found.select(F.col("file_record.id").alias("doc_id"), "file_record.path", "file_record.file_type", F.round("score", 6).alias("score"), "snippet", "match_type")
+
+
+_SQL_HYBRID = _SQL_BM25 + "," + _SQL_NEAR + "kw AS (SELECT doc_id, score FROM k ORDER BY bm25, doc_id LIMIT 30)," + _SQL_FUSED + _SQL_HITS % "hybrid"
+
+
+@query(_SQL_HYBRID)
+def engine_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine_search(spark, sf_dir)
+
+
+@query(_SQL_HYBRID + " WHERE file_type IN ('text', 'image')")
+def engine_hybrid_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types are filtered after the limit."""
+    return _engine_search(spark, sf_dir, file_types=("text", "image"))
+
+
+@query(_SQL_BM25 + ", fused AS (SELECT doc_id, score FROM k ORDER BY bm25, doc_id LIMIT 10)," + _SQL_HITS % "keyword")
+def engine_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine_search(spark, sf_dir, mode=SearchMode.KEYWORD)
+
+
+@query("WITH" + _SQL_NEAR + "n AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS i, max(score) OVER () AS top FROM v0), fused AS (SELECT doc_id, score FROM n WHERE (top >= 0.45 AND score >= 0.45 AND i <= 10) OR (top < 0.45 AND i <= 5))," + _SQL_HITS % "vector")
+def engine_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine_search(spark, sf_dir, mode=SearchMode.VECTOR)
+
+
+@query(_SQL_SPARSE + "," + _SQL_NEAR + "kw AS (SELECT doc_id, raw / (raw + 1) AS score FROM r WHERE raw > 0 ORDER BY r.raw DESC, doc_id LIMIT 30)," + _SQL_FUSED + _SQL_HITS % "hybrid")
+def engine_sparse_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model with a sparse head: its weights stand for keywords."""
+    return _engine_search(spark, sf_dir, TOKENS)
+
+
 # --- chunks ----------------------------------------------------------------
 
 
@@ -383,6 +472,18 @@ def pdf_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).select("doc_id", tf.pdf_fallback(F.col("path")).alias("fallback"))
 
 
+@query(r"""
+WITH b AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n+'), lambda p: trim(p, e' \t\n\r\f\v')), lambda p: p <> '')) AS block FROM documents),
+     q AS (SELECT doc_id, block, coalesce(list_sum(list_transform(regexp_extract_all(block, '(?:[\p{L}\p{Nl}0-9]){2,}'), lambda x: length(x))), 0) AS n FROM b)
+SELECT doc_id, count(*) FILTER (length(block) >= 30 AND n >= 30) AS n_kept, coalesce(sum(length(block)) FILTER (length(block) >= 30 AND n >= 30), 0)::BIGINT AS n_chars FROM q GROUP BY 1
+""")
+def filter_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that pass the quality bar, of documents that have any line."""
+    lines = tf.blank_line_blocks(F.regexp_replace(F.coalesce("text", F.lit("")), "\n+", "\n\n"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).where("lines[0] <> ''").select("doc_id", tf.keep_quality(F.col("lines")).alias("kept"))
+    return docs.select("doc_id", F.size("kept").cast("long").alias("n_kept"), F.aggregate(F.transform("kept", F.char_length), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_chars"))
+
+
 @query()
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = HashEmbedder()
@@ -403,6 +504,21 @@ def file_type_from_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).select("doc_id", ext.alias("ext"), paths.file_type(ext).alias("file_type"))
 
 
+@query(f"SELECT doc_id, {_SQL_TYPE} <> 'unknown' AS supported FROM ({_SQL_FILES})")
+def supported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("doc_id", paths.is_supported(F.col("path")).alias("supported"))
+
+
+@query(f"""
+WITH f AS (SELECT path, coalesce(text, '') AS s, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS ext, {_SQL_TYPE} AS kind FROM ({_SQL_FILES}) WHERE path IS NOT NULL)
+SELECT path, CASE kind WHEN 'unknown' THEN 'binary' ELSE kind END AS type, ext, strlen(s)::BIGINT AS size, CASE kind WHEN 'text' THEN substring(s, 1, 12000) END AS text,
+       md5(CASE kind WHEN 'pdf' THEN base64(encode(s)) WHEN 'image' THEN 'data:image/png;base64,' || base64(encode(s)) END) AS data_md5 FROM f
+""")
+def file_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).where("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return preview(files).withColumn("data_md5", F.md5("data")).drop("data")
+
+
 def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.element_at(F.array(*map(F.lit, ("src", ".git", "node_modules", "docs", "build", "a.b"))), (F.length("url") % 6 + 1).cast("int"))
     return read(spark, sf_dir, "pages").select("page_id", F.concat(folder, F.lit("/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"))
@@ -416,6 +532,16 @@ def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_paths(spark, sf_dir).select("page_id", paths.IgnoreConfig().ignored_dir(F.col("path")).alias("ignored"))
 
 
+@query("""
+WITH t AS (SELECT page_id, ['src', '.git', 'node_modules', 'docs', 'build', 'a.b'][length(url) % 6 + 1] AS folder FROM pages)
+SELECT page_id, folder IN ('.git', 'build', 'docs') AS ignored, folder = '.git' AS ignored_by_none FROM t
+""")
+def ignore_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of events under a configuration with one name more and one less, and under the empty one."""
+    own = paths.IgnoreConfig().with_extra("docs").allow("node_modules")
+    return _page_paths(spark, sf_dir).select("page_id", own.ignored_path(F.col("path")).alias("ignored"), paths.IgnoreConfig.empty().ignored_path(F.col("path")).alias("ignored_by_none"))
+
+
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A scan of all documents but German ones, and what an older scan knew: no Spanish ones, French ones with other text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
@@ -436,6 +562,36 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upsert(old, new, ["doc_id"])
 
 
+@query("SELECT CASE lang WHEN 'fr' THEN 'pdf' ELSE 'image' END AS file_type, count(*) AS n_files FROM documents WHERE lang IN ('fr', 'es') AND source IS NOT NULL GROUP BY 1")
+def changed_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run would index, by type: French files have changed, Spanish ones are new; hashes are salted with the model."""
+    scanned = _files(spark, sf_dir).select("path", paths.file_type(paths.extension(F.col("path"))).alias("file_type"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    known = scanned.where("file_type <> 'image'").select("path", F.sha2(F.concat("content_hash", F.when(F.col("file_type") == "pdf", "other").otherwise("asked")), 256).alias("content_hash"))
+    return catalog.files_by_type(ingest.changed_files(scanned, known, "asked"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, lang, unnest(range(0, ceil(length(text) / 700.0)::BIGINT)) AS i, text FROM documents),
+     n AS (SELECT least(700, length(text) - i * 700) AS n FROM c WHERE lang IS DISTINCT FROM 'fr' OR i = 0)
+SELECT 'files' AS name, count(*) AS n, sum(n_chars)::BIGINT AS total FROM documents
+UNION ALL SELECT 'chunks', count(*), sum(n)::BIGINT FROM n UNION ALL SELECT 'embeddings', count(*), sum(n)::BIGINT FROM n
+""")
+def replace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, chunks and what hangs on them after French documents have shrunk to their first part."""
+    docs = read(spark, sf_dir, "documents")
+
+    def tables(rows: DataFrame, parts) -> dict[str, DataFrame]:
+        cut = rows.select("doc_id", F.posexplode(parts).alias("i", "content"))
+        chunks = cut.select(F.concat_ws(":", "doc_id", "i").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.char_length("content").cast("long").alias("total"))
+        return {"files": rows.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("long").alias("total")), "chunks": chunks, "embeddings": chunks.select("chunk_id", "total")}
+
+    parts = tf.raw_parts(F.coalesce("text", F.lit("")), 700)
+    shrunk = docs.where("lang = 'fr'")
+    after = merge.replace_files(tables(docs, parts), tables(shrunk, F.slice(parts, 1, 1)), shrunk.select(F.col("doc_id").alias("file_id")))
+    sums = [rows.agg(F.count("*").alias("n"), F.sum("total").alias("total")).select(F.lit(name).alias("name"), "n", "total") for name, rows in after.items()]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2])
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Customers as files, their orders as chunks, the orders' lines as what hangs on chunks."""
     files = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
@@ -501,6 +657,14 @@ def embeddings_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.with_chunks(emb, docs).select(F.col("chunk_id").alias("doc_id"), "dim", "lang", "source")
 
 
+@query("SELECT e.vec_id AS doc_id, d.lang FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 3 <> 1")
+def embeddings_of_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of 64 numbers alone, where a third has 32."""
+    emb = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 3 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("embedding"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    return catalog.with_chunks(emb, docs, 64).select(F.col("chunk_id").alias("doc_id"), "lang")
+
+
 # --- events ----------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ def preview(files: DataFrame) -> DataFrame:
     known = F.create_map(*[F.lit(x) for k, v in MEDIA.items() for x in (k, v)])
     other = F.create_map(*[F.lit(x) for k, v in _OTHER.items() for x in (k, v)])
     media = F.coalesce(F.element_at(known, ext), F.element_at(other, kind))
-    raw = F.base64("content")
+    raw = F.replace(F.base64("content"), F.lit("\r\n"), F.lit(""))  # Spark breaks lines
     return files.select(
         "path", F.when(large, F.concat(kind, F.lit("_large"))).when(inline | (kind == "text"), kind).otherwise("binary").alias("type"), ext.alias("ext"), size.alias("size"),
         F.when(kind == "text", F.substring(decode_text(F.col("content")), 1, TEXT_CHARS)).alias("text"),
