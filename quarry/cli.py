@@ -9,13 +9,18 @@ from pyspark.sql import SparkSession
 
 from quarry.engine import Engine, Options
 from quarry.functions.text import PREVIEW
+from quarry.functions.vectors import SCALES
 from quarry.schema import SearchMode, SearchQuery
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quarry")
     p.add_argument("--root", required=True, help="folder of the index")
-    p.add_argument("--model", default="hash")
+    p.add_argument("--model", help="for this call; else the one chosen by models --use")
+    p.add_argument("--ann", choices=("auto", "force", "off"), default="auto", help="when vectors are searched by the inverted file")
+    p.add_argument("--scale", choices=SCALES, default=SCALES[0], help="of vector scores")
+    p.add_argument("--strict", action="store_true", help="punctuation in a keyword query finds nothing")
+    p.add_argument("--pushdown-types", action="store_true", help="filter by type before the limit")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("index")
     c.add_argument("path")
@@ -32,7 +37,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-o", "--offset", type=int, default=0)
     sub.add_parser("stats")
     sub.add_parser("clear")
-    sub.add_parser("models")
+    c = sub.add_parser("models")
+    c.add_argument("--use", help="the model from now on")
+    c = sub.add_parser("preview")
+    c.add_argument("path")
     c = sub.add_parser("remove")
     c.add_argument("id")
     c = sub.add_parser("count")
@@ -45,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(args: argparse.Namespace, spark: SparkSession, say=print) -> None:
-    engine = Engine(spark, Options(args.root, args.model))
+    engine = Engine(spark, Options(args.root, args.model, ann=args.ann, scale=args.scale, strict=args.strict, pushdown_types=args.pushdown_types))
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     if args.command == "index":
         say(json.dumps(rows(engine.index_directory(args.path, args.full_sync))[0]))
@@ -62,7 +70,12 @@ def run(args: argparse.Namespace, spark: SparkSession, say=print) -> None:
         say(json.dumps(rows(engine.stats())[0]))
     elif args.command == "clear":
         engine.clear()
+    elif args.command == "preview":
+        say(json.dumps(rows(engine.preview(args.path))[0]))
     elif args.command == "models":
+        if args.use:
+            engine.switch_model(args.use)
+        say(f"in use: {engine.options.model} of {', '.join(engine.models.ids())}")
         for r in rows(engine.list_models()):
             say(f"{r['model_id']} {r['local_path']}")
     elif args.command == "remove":

@@ -18,20 +18,22 @@ from quarry.operators.vector import InvertedFile, use_ann
 from quarry.plugins import EmbeddingModel, HashEmbedder, ModelRegistry, WordWeights
 from quarry.schema import MODELS, SearchMode, SearchQuery
 from quarry.sources.parsers import ParserRegistry
-from quarry.sources.scan import scan
+from quarry.sources.preview import preview
+from quarry.sources.scan import scan, scan_paths
 from quarry.store import Store
 
 
-#: Tables that hold what belongs to files.
+#: The model of a store that was switched to none; tables that hold what belongs to files.
+DEFAULT_MODEL = "hash"
 HELD = ("files", "chunks", "embeddings", "sparse", "postings")
 
 
 @dataclass
 class Options:
-    """How an engine is built."""
+    """How an engine is built. Without a model, that which the store was switched to, else DEFAULT_MODEL."""
 
     root: str
-    model: str = "hash"
+    model: str | None = None
     image_model: str | None = None
     ann: str = "auto"  # or "force" or "off"
     ignore: IgnoreConfig = field(default_factory=IgnoreConfig)
@@ -52,6 +54,7 @@ class Engine:
         self.spark = spark
         self.options = options if isinstance(options, Options) else Options(options)
         self.store = Store(spark, self.options.root)
+        self.options.model = self.options.model or self.store.setting("model") or DEFAULT_MODEL
         self.parsers, self.models = parsers or ParserRegistry(), models or default_models()
         self._index: tuple[tuple, InvertedFile | None] = ((), None)
 
@@ -84,9 +87,10 @@ class Engine:
         return "chunks" not in held or "postings" in held
 
     def switch_model(self, model_id: str) -> None:
-        """Files are indexed anew under another model when they are scanned again."""
+        """Files are indexed anew under another model when they are scanned again. The store remembers the choice."""
         self.models.get(model_id)
         self.options.model = model_id
+        self.store.set("model", model_id)
 
     # --- indexing
 
@@ -131,8 +135,6 @@ class Engine:
 
     def index_file(self, path: str) -> bool:
         """Whether the file was new or changed."""
-        from quarry.sources.scan import scan_paths
-
         self.parsers.get(path)
         return self.index_scanned(scan_paths(self.spark, [path])).first().new_files > 0
 
@@ -191,6 +193,10 @@ class Engine:
     def list_files(self, limit: int = 20, offset: int = 0) -> DataFrame:
         return catalog.list_files(self.store.table("files"), limit, offset)
 
+    def preview(self, path: str) -> DataFrame:
+        """One row of what a file holds, from the file itself."""
+        return preview(scan_paths(self.spark, [path]))
+
     def count_in_dir(self, folder: str) -> int:
         return catalog.count_in_dir(self.store.table("files"), folder).first().n_files
 

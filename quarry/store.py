@@ -53,6 +53,17 @@ class Store:
         if not self._fs.rename(temporary, self._path(path)):
             raise OSError(f"can't write {path}")
 
+    def setting(self, name: str) -> str | None:
+        """A stored choice, if there is one."""
+        path = f"{self.root}/settings/{name}.json"
+        return self._read_json(path)["value"] if self._fs.exists(self._path(path)) else None
+
+    def set(self, name: str, value: str) -> None:
+        path = f"{self.root}/settings/{name}.json"
+        self._fs.mkdirs(self._path(f"{self.root}/settings"))
+        self._fs.delete(self._path(path), False)
+        self._write_json(path, {"value": value})
+
     def versions(self) -> list[int]:
         return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(self._path(f"{self.root}/versions")) if s.getPath().getName().endswith(".json") and s.getPath().getName()[:-5].isdigit())
 

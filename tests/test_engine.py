@@ -215,6 +215,14 @@ def test_command_line(spark, tmp_path, folder):
     [row] = json.loads(call("search", "waited for trout", "-l", "1", "-m", "keyword", "--json")[0])
     assert row["match_type"] == "keyword" and row["chunk_index"] == 0
     assert json.loads(call("stats")[0])["total_files"] == 7
+    assert json.loads(call("preview", str(folder / "clay.md"))[0])["text"] == TEXTS["clay.md"]
+    assert call("--strict", "search", "waited for trout!", "-m", "keyword") == []
+    assert "heron.txt" in call("--ann", "force", "--scale", "cosine", "search", "waited for trout", "-l", "1", "-m", "keyword")[0]
+    assert call("models") == ["in use: hash of hash, words"]
+    assert call("models", "--use", "words")[0].startswith("in use: words") and call("models")[0].startswith("in use: words")
+    assert call("--model", "hash", "models")[0].startswith("in use: hash")
+    with pytest.raises(ModelNotLoaded):
+        call("models", "--use", "nobody")
     first = call("list", "-l", "2")[0]
     assert len(said) == 2
     call("remove", first.split()[0])

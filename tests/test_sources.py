@@ -78,6 +78,14 @@ def test_registry(spark):
     assert "/d/f.nope" not in got
 
 
+def test_preview_of_long_content_has_no_line_breaks(spark):
+    import base64
+
+    data = bytes(range(256)) * 20
+    got = {r.path: r.data for r in preview(spark.createDataFrame([("/a.pdf", data), ("/b.png", data)], "path string, content binary")).collect()}
+    assert got == {"/a.pdf": base64.b64encode(data).decode(), "/b.png": "data:image/png;base64," + base64.b64encode(data).decode()}
+
+
 def test_previews(spark):
     rows = [("/a.txt", b"x" * 13_000), ("/b.png", b"123"), ("/c.PDF", b"123"), ("/d.wav", b"123"), ("/e.mp4", b"123"), ("/f.png", bytes((6 << 20) + 1)), ("/g.heic", b"1")]
     got = {r.path: r for r in preview(spark.createDataFrame(rows, "path string, content binary")).collect()}
