@@ -44,11 +44,16 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_works_without_the_optional_part(tmp_path):
-    """A copy without the training-data operators still imports and lists the other queries."""
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_works_without_the_optional_part(tmp_path, left):
+    """A copy without the training-data operators still imports and lists the other queries, with the pipeline's file left in place too."""
     import shutil
 
     root = Path(__spark_entry__.__file__).parent
+    for name in left:
+        if not (root / name).exists():
+            pytest.skip(f"{name} is not there")
+        shutil.copy(root / name, tmp_path)
     shutil.copytree(root / "quarry", tmp_path / "quarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q), len(e.oracle_sql()))"
