@@ -9,7 +9,8 @@ Three stages, each of which compares whole contents and not only digests:
 3. global: the winners of the salts (at most one row a salt and text) are merged.
 
 The winner then travels down the same edges to the local rows, whose id lists are
-expanded. No task ever holds a whole group of copies: a local row is bounded by the
+expanded. A salted group is named by the least place of its local rows, so that texts which
+share a digest, and ids or the lack of them, stay apart. No task ever holds a whole group of copies: a local row is bounded by the
 flush, a salted group by its salt, a global group by the number of salts.
 """
 
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +37,10 @@ def sha256_hex(content: bytes) -> str:
 
 
 def _combine(digest: Callable[[bytes], str], id_type: pa.DataType, flush_bytes: int, flush_rows: int) -> Callable:
-    schema = pa.schema([("ids", pa.list_(id_type)), ("digest", pa.string()), ("content", pa.binary())])
+    schema = pa.schema([("ids", pa.list_(id_type)), ("digest", pa.string()), ("content", pa.binary()), ("place", pa.int64())])
 
-    def out(table: dict[str, list[tuple[bytes, list]]]) -> Iterator[pa.RecordBatch]:
-        rows = [(ids, d, content) for d, variants in table.items() for content, ids in variants]
+    def out(table: dict[str, list[tuple[bytes, list]]], places: Iterator[int]) -> Iterator[pa.RecordBatch]:
+        rows = [(ids, d, content, next(places)) for d, variants in table.items() for content, ids in variants]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -45,6 +48,7 @@ def _combine(digest: Callable[[bytes], str], id_type: pa.DataType, flush_bytes:
         release()
         table: dict[str, list[tuple[bytes, list]]] = {}
         size = rows = 0
+        places = count(TaskContext.get().partitionId() << 40)  # of the rows that go out
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 content = ascii_lower(text.as_py())
@@ -58,9 +62,9 @@ def _combine(digest: Callable[[bytes], str], id_type: pa.DataType, flush_bytes:
                     variants.append((content, [doc_id]))
                     size += len(content)
                 if size > flush_bytes or rows >= flush_rows:
-                    yield from out(table)
+                    yield from out(table, places)
                     table, size, rows = {}, 0, 0
-        yield from out(table)
+        yield from out(table, places)
 
     return run
 
@@ -80,22 +84,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = salts or max(8, partitions(spark))
     local = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(
         _combine(digest, arrow, flush_bytes, flush_rows),
-        T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("digest", T.StringType()), T.StructField("content", T.BinaryType())]),
+        T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("digest", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("place", T.LongType())]),
     )
     # both uses of the merged rows below keep the same columns and filters up to their
     # exchange, so that Spark runs that exchange, the one that moves all texts, only once
-    salted = local.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(n))).where("digest IS NOT NULL AND salt IS NOT NULL")
+    salted = local.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(n))).where("digest IS NOT NULL AND salt IS NOT NULL")
     equal = Window.partitionBy("digest", "salt", "content")
     merged = (
-        salted.withColumn("nth", F.row_number().over(equal.orderBy("ids")))
+        salted.withColumn("nth", F.row_number().over(equal.orderBy("place")))
         .withColumn("top", F.max(F.array_max("ids")).over(equal))
+        .withColumn("group", F.min("place").over(equal))
         .withColumn("copies", F.sum(F.size("ids").cast("long")).over(equal))
     )
-    winners = merged.where("nth = 1").select(F.col("digest").alias("w_digest"), F.col("salt").alias("w_salt"), F.col("top").alias("w_top"), "copies", "content")
+    winners = merged.where("nth = 1").select(F.col("digest").alias("w_digest"), F.col("salt").alias("w_salt"), F.col("group").alias("w_group"), F.col("top").alias("w_top"), "copies", "content")
     across = Window.partitionBy("w_digest", "content")
-    final = winners.select("w_digest", "w_salt", "w_top", F.max("w_top").over(across).alias("keep_id"), F.sum("copies").over(across).alias("group_size"))
-    members = merged.where("nth > 0").select("digest", "salt", "top", "ids")
-    joined = members.join(final, (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt")) & F.col("top").eqNullSafe(F.col("w_top")))
+    final = winners.select("w_digest", "w_salt", "w_group", F.max("w_top").over(across).alias("keep_id"), F.sum("copies").over(across).alias("group_size"))
+    members = merged.where("nth > 0").select("digest", "salt", "group", "ids")
+    joined = members.join(final, (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt")) & (F.col("group") == F.col("w_group")))
     rows = joined.select(F.explode("ids").alias("id"), "keep_id", "group_size", "digest")
     return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
