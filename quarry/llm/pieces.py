@@ -8,7 +8,7 @@ No piece but runs of spaces has a space behind its first character, so no edge s
 the place before a run of spaces: there the lattice falls into words, and a
 segmentation of a text is one of each word. Words are met again and again; each
 distinct word is solved once for its best path and for the gap to its second best
-(arrays of many words at a time). Only the n - 1 words of a text with the smallest gaps
+(arrays of many words at a time, along the prefixes of pieces that stand in them). Only the n - 1 words of a text with the smallest gaps
 can differ from their best in its n best segmentations: for those the A* search is run,
 and a second one combines them.
 
@@ -24,8 +24,9 @@ import hashlib
 import heapq
 import zlib
 from array import array
-from bisect import insort
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,78 @@ SPACE = "▁"
 ARRAY_CHARS, ARRAY_WORDS = 20, 4096
 #: Bytes of a worker's memo, about; longest word that it keeps; characters of the texts that are solved together.
 MEMO_BYTES, MEMO_CHARS, TOGETHER = 48 << 20, 64, 1 << 18
-#: What an entry of the memo takes beside its ids and characters.
-ENTRY = 300
-#: Bits of a piece key that are its slot.
-SLOT_BITS = 20
+#: What a word of the memo takes beside its ids and characters, and so a segmentation of a word's list; share of the memo that may stay when it is full.
+ENTRY, LIST_ENTRY, STAYS = 200, 300, 0.7
+#: Bits of a prefix key that are its slot.
+SLOT_BITS = 18
 #: What an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Memo:
+    """Words and the best path of each: ids, score, gap to the second best. Rows of arrays, read many at a time."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ids, self.ends, self.scores, self.gaps, self.again = array("I"), array("q", [0]), array("d"), array("d"), bytearray()
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.rows)
+
+    def __getitem__(self, word: str) -> tuple[bytes, float, float]:
+        row = self.rows[word]
+        return self.ids[self.ends[row] : self.ends[row + 1]].tobytes(), self.scores[row], self.gaps[row]
+
+    def pop(self, word: str, *default) -> tuple[bytes, float, float]:
+        if word not in self.rows and default:
+            return default[0]
+        found = self[word]
+        del self.rows[word]
+        return found
+
+    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray, scores: np.ndarray, gaps: np.ndarray) -> None:
+        """New words; ids are those of all of them, counts how many each has."""
+        n = len(self.scores)
+        self.rows.update(zip(words, range(n, n + len(words))))
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.ends.frombytes((self.ends[-1] + np.cumsum(counts, dtype=np.int64)).tobytes())
+        self.scores.frombytes(scores.tobytes())
+        self.gaps.frombytes(gaps.tobytes())
+        self.again += bytes(len(words))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What add() takes, of those rows."""
+        if not len(rows):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        ends = np.frombuffer(self.ends, np.int64)
+        start = ends[rows]
+        counts = ends[rows + 1] - start
+        behind = np.cumsum(counts)
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(start - behind + counts, counts) + np.arange(behind[-1])]
+        return ids.astype("<u4", copy=False), counts, np.frombuffer(self.scores)[rows], np.frombuffer(self.gaps)[rows]
+
+    def mark(self, rows: np.ndarray) -> None:
+        """These are met again."""
+        np.frombuffer(self.again, np.uint8)[rows] = 1
+
+    def drop_last(self, words: list[str]) -> None:
+        """Forgets the words that were added last."""
+        for word in words:
+            del self.rows[word]
+        n = len(self.scores) - len(words)
+        del self.ids[self.ends[n] :], self.ends[n + 1 :], self.scores[n:], self.gaps[n:], self.again[n:]
+
+    def keep(self, words: list[str]) -> None:
+        """Forgets all others."""
+        kept = self.take(np.array([self.rows[w] for w in words], np.int64))
+        self.__init__()
+        self.add(words, *kept)
+
+
 class Lattice:
     """Pieces of a SentencePiece model file, with byte pieces for what they don't cover."""
 
@@ -76,24 +140,29 @@ class Lattice:
         self.longest = max(map(len, self.scores))
         self.by_words = all(set(p) == {SPACE} for p in self.scores if SPACE in p[1:])
         self.limit, self.weight = memo, 0
-        self.memo: dict[str, tuple[bytes, float, float]] = {}
+        self.memo = Memo()
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
-        # pieces by the slot of their key: those of slot i are entries first[i] to first[i + 1]
-        keys, values, ids = [], [], []
-        for size in range(1, min(self.longest, ARRAY_CHARS) + 1):
-            own = [(p, *v) for p, v in self.scores.items() if len(p) == size]
-            keys.append(self._keys(np.frombuffer("".join(p for p, _, _ in own).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(own), size)))
-            values += [s for _, s, _ in own]
-            ids += [i for _, _, i in own]
-        self.most = len(keys)
-        flat = np.concatenate(keys)
-        order = np.argsort(flat)
-        self.keys = flat[order]
-        self.values, self.ids = np.array(values)[order], np.array(ids, np.int32)[order]
+        # prefixes of pieces by the slot of their key: those of slot i are entries first[i] to first[i + 1]; the last value and id are an unknown character's
+        short = [p for p in self.scores if len(p) <= ARRAY_CHARS]
+        longer = {p[:k] for p in short for k in range(1, len(p))}
+        prefixes = sorted(longer.union(short), key=len)
+        sizes = np.array(list(map(len, prefixes)))
+        flat, at, keys = np.frombuffer("".join(prefixes).encode("utf-32-le", "surrogatepass"), "<u4"), 0, []
+        self.most = int(sizes[-1])
+        for size in range(1, self.most + 1):
+            n = int((sizes == size).sum())
+            keys.append(self._keys(flat[at : at + n * size].reshape(n, size)))
+            at += n * size
+        order = np.argsort(found := np.concatenate(keys))
+        self.keys = found[order]
+        known = [self.scores.get(p, (-np.inf, 0)) for p in prefixes]
+        self.values = np.append(np.array([v for v, _ in known])[order], self.unknown)
+        self.ids = np.append(np.array([i for _, i in known], np.int32)[order], np.int32(self.unknown_id))
+        self.goes_on = np.array([p in longer for p in prefixes])[order]
         self.first = np.searchsorted(self.keys >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64)).astype(np.int32)
 
     def _find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are pieces', and those pieces' entries. Most slots are empty, so most keys need one look."""
+        """Which keys are prefixes', and those prefixes' entries. Most slots hold one or none, so most keys need one look."""
         slot = (asked >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         entry, end = self.first[slot], self.first[slot + 1]
         open_ = np.flatnonzero(entry < end)
@@ -178,46 +247,75 @@ class Lattice:
         found = self.search(word, n)
         if len(word) <= MEMO_CHARS:
             self.lists[word, n] = found
-            self.weight += sum(ENTRY + len(ids) for _, ids in found)
+            self.weight += sum(LIST_ENTRY + len(ids) for _, ids in found)
         return found
 
     # --- many words at a time
 
-    def learn(self, words: list[str]) -> dict[str, tuple[bytes, float, float]]:
-        """Puts ids, score and gap to the second best of each word into the memo; returns those of words too long for it."""
-        short = sorted((w for w in words if len(w) < ARRAY_CHARS), key=lambda w: len(self.spelled(w)))
-        for at in range(0, len(short), ARRAY_WORDS):
-            self._learn_arrays(short[at : at + ARRAY_WORDS])
-        long = {}
-        for word in words:
-            if len(word) >= ARRAY_CHARS:
-                found = self.search(self.spelled(word), 2)
-                (self.memo if len(word) <= MEMO_CHARS else long)[word] = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
-        self.weight += sum(ENTRY + 5 * len(w) for w in words if len(w) <= MEMO_CHARS)
-        return long
+    def learn(self, words: Iterable[str]) -> list[str]:
+        """Puts ids, score and gap to the second best of each word into the memo, last those that are too long to stay there; returns these."""
+        words = sorted(words, key=len)
+        n = bisect_left(words, ARRAY_CHARS, key=len)
+        for at in range(0, n, ARRAY_WORDS):
+            self._learn_arrays(words[at : min(at + ARRAY_WORDS, n)])
+        for word in words[n:]:
+            found = self.search(self.spelled(word), 2)
+            ids = np.frombuffer(found[0][1], "<u4")
+            self.memo.add([word], ids, np.array([len(ids)]), np.array([found[0][0]]), np.array([found[0][0] - found[1][0] if len(found) > 1 else np.inf]))
+        stay = bisect_left(words, MEMO_CHARS + 1, key=len)
+        self.weight += sum(map(self._weight, words[:stay]))
+        return words[stay:]
+
+    @staticmethod
+    def _weight(word: str) -> int:
+        return ENTRY + 5 * len(word)
+
+    def _forget(self) -> None:
+        """Makes room: words that were met in one run of texts alone go, and all where few of them are so."""
+        memo = self.memo
+        kept = [w for w, row in memo.rows.items() if memo.again[row]]
+        self.weight = sum(map(self._weight, kept))
+        if self.weight > STAYS * self.limit:
+            kept, self.weight = [], 0
+        memo.keep(kept)
+        self.lists.clear()
 
     def _learn_arrays(self, keys: list[str]) -> None:
-        words = list(map(self.spelled, keys))
-        n, width = len(words), len(words[-1])
-        sizes = np.array(list(map(len, words)))
-        chars = np.zeros((width, n), np.int64)  # place first, so that a place of all words is one run
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        row = np.repeat(np.arange(n), sizes)
-        col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        chars[col, row] = flat
-        most = min(self.most, width)
+        n = len(keys)
+        sizes = np.array(list(map(len, keys))) + 1
+        joined = SPACE + SPACE.join(keys)
+        if len(joined) != sizes.sum() or joined.count(SPACE) != n or not self.by_words:  # some bring their own spaces
+            words = list(map(self.spelled, keys))
+            sizes = np.array(list(map(len, words)))
+            joined = "".join(words)
+        width = int(sizes.max())
+        places = np.arange(width)[:, None]
+        # place first, so that a place of all words is one run; characters count from 1 (see _next)
+        flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        cell = (np.arange(len(flat)) - np.repeat(starts, sizes)) * n + np.repeat(np.arange(n), sizes)
+        chars = np.zeros(width * n, np.uint64)
+        chars[cell] = flat
+        left_over = (sizes - places).reshape(-1)
+        # prefixes of k + 1 characters that start at each place, while there are any
+        found, at, key = [], cell, np.zeros(len(cell), np.uint64)
+        for k in range(min(self.most, width)):
+            key = self._next(key, chars[at + k * n])
+            hit, entry = self._find(key)
+            at = at[hit]
+            found.append((at, entry))
+            on = np.flatnonzero(self.goes_on[entry] & (left_over[at] > k + 1))
+            at, key = at[on], key[hit[on]]
+            if not len(at):
+                break
+        most = len(found)
         score = np.full((most, width, n), -np.inf)
-        ids = np.zeros((most, width, n), np.int32)
-        key = np.zeros((width, n), np.uint64)
-        for k in range(most):  # pieces of k + 1 characters that start at each place
-            m = width - k
-            key = self._next(key[:m], chars[k:])
-            inside = np.flatnonzero(np.arange(m)[:, None] + k < sizes[None, :])
-            hit, entry = self._find(key.reshape(-1)[inside])
-            score[k, :m].reshape(-1)[inside[hit]] = self.values[entry]
-            ids[k, :m].reshape(-1)[inside[hit]] = self.ids[entry]
-        lone = (score[0] == -np.inf) & (np.arange(width)[:, None] < sizes[None, :])
-        score[0][lone], ids[0][lone] = self.unknown, self.unknown_id
+        entries = np.empty((most, width, n), np.int32)
+        for k, (at, entry) in enumerate(found):
+            score[k].reshape(-1)[at] = self.values[entry]
+            entries[k].reshape(-1)[at] = entry
+        lone = (score[0] == -np.inf) & (places < sizes)
+        score[0][lone], entries[0][lone] = self.unknown, len(self.ids) - 1
         left = np.full((width + 1, n), -np.inf)
         left[0] = 0.0
         came = np.zeros((width + 1, n), np.int8)
@@ -225,8 +323,8 @@ class Lattice:
             for k in range(min(end, most)):
                 new = left[end - 1 - k] + score[k, end - 1 - k]
                 better = new > left[end]
-                left[end][better] = new[better]
-                came[end][better] = k + 1
+                np.copyto(left[end], new, where=better)
+                np.copyto(came[end], np.int8(k + 1), where=better)
         every = np.arange(n)
         right = np.full((width + 1, n), -np.inf)
         right[sizes, every] = 0.0
@@ -240,31 +338,36 @@ class Lattice:
         while (live := at > 0).any():
             k = came[at, every]
             start = at - k
-            path.append(np.where(live, ids[k - 1, start, every], -1))
+            path.append(np.where(live, entries[k - 1, start, every], -1))
             w = every[live]
             through[k[live] - 1, start[live], w] = -np.inf
             at = np.where(live, start, 0)
         second = np.full(n, -np.inf)
         for k in range(most):
             np.maximum(second, (left[: width - k] + through[k, : width - k] + right[k + 1 :]).max(0), out=second)
-        gaps = total - second
         table = np.stack(path[::-1], 1)
-        unknown = (table == self.unknown_id).any(1)
         used = table >= 0
-        flat_ids, counts = table[used].astype("<u4"), used.sum(1)
-        ends = np.cumsum(counts)
-        raw = flat_ids.tobytes()
-        for name, word, a, b, s, g, odd in zip(keys, words, ((ends - counts) * 4).tolist(), (ends * 4).tolist(), total.tolist(), gaps.tolist(), unknown.tolist()):
-            self.memo[name] = (self._with_bytes(word, flat_ids[a // 4 : b // 4].tolist()) if odd else raw[a:b], s, g)
-
-    def _with_bytes(self, word: str, path: list[int]) -> bytes:
+        counts = used.sum(1)
+        ids = self.ids[table[used]]
+        odd = np.flatnonzero((table == len(self.ids) - 1).any(1))
+        if len(odd) and self.byte_ids:
+            own = np.repeat(np.isin(every, odd), counts)
+            ends = np.cumsum(counts)
+            spelled = [self._with_bytes(joined[starts[w] : starts[w] + sizes[w]], ids[ends[w] - counts[w] : ends[w]].tolist()) for w in odd.tolist()]
+            counts[odd] = list(map(len, spelled))
+            plain, ids = ids[~own], np.empty(counts.sum(), np.int32)
+            own = np.repeat(np.isin(every, odd), counts)
+            ids[~own], ids[own] = plain, list(chain.from_iterable(spelled))
+        self.memo.add(keys, ids, counts, total, total - second)
+
+    def _with_bytes(self, word: str, path: list[int]) -> list[int]:
         ids: list[int] = []
         at = 0
         for i in path:
             size = 1 if i == self.unknown_id else self.sizes[i]
             ids += self.ids_of(i, word[at : at + size])
             at += size
-        return np.array(ids, "<u4").tobytes()
+        return ids
 
     # --- texts
 
@@ -298,40 +401,46 @@ class Lattice:
         """The n best segmentations of each text, (score, ids); one without ids for an empty text."""
         parts = [self.words(t) for t in texts]
         if self.weight > self.limit:
-            self.memo.clear()
-            self.lists.clear()
-            self.weight = 0
-        met: set[str] = set()
-        for words in parts:
-            met.update(words)
-        long = self.learn([w for w in met if w not in self.memo])
-        get = (self.memo | long).__getitem__ if long else self.memo.__getitem__
-        for words in parts:
-            ids, scores, gaps = zip(*map(get, words)) if words else ((), (), ())
-            out = [(sum(scores), b"".join(ids))]
+            self._forget()
+        memo, known = self.memo, len(self.memo.scores)
+        long = self.learn(set().union(*parts).difference(memo.rows))
+        sizes = list(map(len, parts))
+        rows = np.fromiter(map(memo.rows.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+        flat, counts, scores, gaps = memo.take(rows)
+        memo.mark(rows[rows < known])
+        memo.drop_last(long)
+        ids, ends = flat.tobytes(), np.append(0, 4 * np.cumsum(counts))
+        a = 0
+        for words, size in zip(parts, sizes):
+            b = a + size
+            out = [(float(scores[a:b].sum()), ids[ends[a] : ends[b]])]
             if n > 1 and words:
-                out += self._others(words, ids, out[0][0], np.array(gaps), n)
+                out += self._others(words, *out[0], ends[a : b + 1] - ends[a], gaps[a:b], n)
             yield out
+            a = b
 
-    def _others(self, words: list[str], ids: tuple[bytes, ...], base: float, gaps: np.ndarray, n: int) -> list[tuple[float, bytes]]:
-        """Second to n-th best: A* over the words with the smallest gaps, whose best losses are exact bounds."""
+    def _others(self, words: list[str], base: float, ids: bytes, ends: np.ndarray, gaps: np.ndarray, n: int) -> list[tuple[float, bytes]]:
+        """Second to n-th best: A* over the words with the smallest gaps, whose best losses are exact bounds. Word i's ids end at ends[i + 1]."""
         smallest = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) >= n else np.arange(len(gaps))
         open_words = sorted(smallest[gaps[smallest] < np.inf].tolist())
+        spans = [(int(ends[i]), int(ends[i + 1])) for i in open_words]
         choices = []
-        for i in open_words:
-            ways = self.list_of(self.spelled(words[i]), n)
-            if ways[0][1] != ids[i]:  # of equal scores, the best path stays first
-                ways = [(ways[0][0], ids[i]), *(w for w in ways if w[1] != ids[i])][:n]
+        for i, (start, end) in zip(open_words, spans):
+            ways, own = self.list_of(self.spelled(words[i]), n), ids[start:end]
+            if ways[0][1] != own:  # of equal scores, the best path stays first
+                ways = [(ways[0][0], own), *(w for w in ways if w[1] != own)][:n]
             choices.append(ways)
         agenda = [(0.0, (0,) * len(choices))]
         seen, out = {agenda[0][1]}, []
         while agenda and len(out) < n:
             loss, picks = heapq.heappop(agenda)
             if any(picks):
-                new = list(ids)
-                for i, k, c in zip(open_words, picks, choices):
-                    new[i] = c[k][1]
-                out.append((base - loss, b"".join(new)))
+                new, done = [], 0
+                for (start, end), k, c in zip(spans, picks, choices):
+                    if k:
+                        new += ids[done:start], c[k][1]
+                        done = end
+                out.append((base - loss, b"".join([*new, ids[done:]])))
                 if len(out) == n - 1:
                     break
             for j, c in enumerate(choices):

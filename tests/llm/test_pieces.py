@@ -137,3 +137,13 @@ def test_whole_table_round_trip(small_docs):
     rows = encode_pieces(small_docs, PATH, digests=True).collect()
     assert len(rows) == small_docs.count() and all(r.round_trip for r in rows)
     assert all(a >= b for r in rows for a, b in zip(r.nbest_scores, r.nbest_scores[1:]))
+
+
+def test_words_met_again_are_learned_once():
+    own = Lattice(PATH, memo=200_000)
+    learned, learn, common = [], own.learn, "some words that begin all texts and".split()
+    own.learn = lambda words: (learned.extend(words), learn(words))[1]
+    texts = [" ".join(common + [f"q{k}x{i}" for i in range(150)]) for k in range(30)]
+    found = [list(own.segment([t], 3)) for t in texts]
+    assert len(learned) > len(own.memo) and [learned.count(w) for w in common] == [1] * len(common)
+    assert found[::15] == [list(Lattice(PATH).segment([t], 3)) for t in texts[::15]]
